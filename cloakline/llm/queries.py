@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import media, packing, simhash, token_files
 from .common import read_table
 from .tokens import tokenizer_path
 
@@ -17,6 +17,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.sniff_media(media.stored_texts(read_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -24,6 +34,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op5_media": op5_media,
+    "op6_simhash": op6_simhash,
     "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}
