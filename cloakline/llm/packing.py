@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_texts, batches_of, small_batches
-from .tokens import Encoder
+from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 #: Sequence ids of a task start at its number times this.
@@ -140,7 +140,7 @@ def pack(documents: DataFrame, tokenizer: str, *, end_id: int = 0, tiers: tuple[
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = None, Packer(tiers)
+        packer = Packer(tiers)
         sequence = group = TaskContext.get().partitionId() * PER_TASK
         held = 0
 
@@ -163,8 +163,7 @@ def pack(documents: DataFrame, tokenizer: str, *, end_id: int = 0, tiers: tuple[
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
         for b in batches_of(batches):
-            encoder = encoder or Encoder(tokenizer)
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_all(as_texts(b.column(1)))):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).encode_all(as_texts(b.column(1)))):
                 packer.add(doc, ids + end)
                 held += len(ids) // 4 + 1
                 if held >= flush_tokens:

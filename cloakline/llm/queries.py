@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, simhash, token_files
-from .common import read_table
+from . import langid, media, packing, resampling, simhash, token_files, toxicity
+from .common import held_out, read_table
 from .tokens import tokenizer_path
 
 
@@ -17,6 +17,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    training = documents.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text").join(labels, "doc_id")
+    rows = toxicity.score(documents, toxicity.fit(training))
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.sniff_media(media.stored_texts(read_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected")
@@ -27,15 +35,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = langid.fit(documents.filter(~held_out("doc_id", 4, 2)))
+    rows = langid.identify(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_grams", "log_weight", "odds", "gumbel_key", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
     "op9_token_files": op9_token_files,
+    "op10_resampling": op10_resampling,
 }
 ORACLES: dict[str, str] = {}

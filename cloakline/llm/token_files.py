@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_texts, batches_of, input_size, small_batches
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC = b"CLKPLANE"
 MANIFEST = "part int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -175,13 +175,12 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, *
         part, writer, sink = TaskContext.get().partitionId(), None, None
         for b in batches_of(batches):
             if writer is None:
-                encoder = Encoder(tokenizer)
                 fs, base = _opened(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.planes"
                 sink = fs.open_output_stream(f"{base}/{name}")
                 writer = PlaneWriter(sink, block_ids, mode, level)
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_all(as_texts(b.column(1)))):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).encode_all(as_texts(b.column(1)))):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             n = writer.close()

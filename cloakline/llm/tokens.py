@@ -6,8 +6,12 @@ not met before go to the library; any other text goes to the library whole. Both
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,10 +27,25 @@ SPLITS = {
 WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_chars() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+BYTE_CHARS = byte_chars()
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text.
+
+    Words are remembered in two generations of at most `most_words` each: a full young generation becomes the old one,
+    and words met again come back to the young one.
+    """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -44,22 +63,63 @@ class Encoder:
             and pre["pretokenizers"][0].get("pattern") == {"Regex": WORDS_PATTERN}
         ):
             self.split, self.lower = SPLITS["Words"], True
+        self.whole.model._resize_cache(0)  # words are remembered here
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Words not met before go to the library together."""
-        cut = [self.split.findall(t.lower() if self.lower else t) if self.split is not None and SAFE.fullmatch(t) else None for t in texts]
+    def _learn(self, words: set[str]) -> None:
+        back = {w: ids for w in words if (ids := self.old.get(w)) is not None}
+        cut = self.whole.model.tokenize  # the library's BPE on a word that is split off already
+        for w in words.difference(back):
+            ids = [t.id for t in cut(w.encode().decode("latin-1").translate(BYTE_CHARS))]
+            back[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known |= back
+
+    def encode_all(self, texts: list[str], most_chars: int = 1_000_000) -> Iterator[bytes]:
+        """Ids of each text. Texts go in runs of about most_chars; a run's words not met before are encoded once."""
+        run, size = [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= most_chars:
+                yield from self._run(run)
+                run, size = [], 0
+        yield from self._run(run)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*(c for c in cut if c)).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self._library(part)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) if c is not None else self._library([t])[0] for c, t in zip(cut, texts)]
+            self.old, self.known = self.known, {}
+        out: list[bytes | None] = []
+        later, new, get = [], set(), self.known.get
+        for k, text in enumerate(texts):
+            if self.split is None or not SAFE.fullmatch(text):
+                out.append(self._library([text])[0])
+                continue
+            words = self.split.findall(text.lower() if self.lower else text)
+            ids = list(map(get, words))
+            if None in ids:
+                gaps = [(n, words[n]) for n, x in enumerate(ids) if x is None]
+                new.update([w for _, w in gaps])
+                later.append((k, ids, gaps))
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        if later:
+            self._learn(new)
+            for k, ids, gaps in later:
+                for n, word in gaps:
+                    ids[n] = self.known[word]
+                out[k] = b"".join(ids)
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, which runs many tasks."""
+    return Encoder(path)
 
 
 def tokenizer_path(name: str) -> str:
