@@ -3,9 +3,9 @@
 A word is the bag of its character n-grams (3 to 5 bytes, with marks at its ends) and of itself, hashed to `buckets`;
 its vector is their average, so an unseen misspelling shares most of its vectors with the word it comes from. A window
 of words is the average of its words' vectors, and a linear softmax gives its probability. Labels are of documents, so
-training picks windows: in the first pass all windows of a toxic document count as toxic; later only the windows that
-score highest in it, against all windows of clean documents. A document's score is that of its highest window,
-calibrated on documents set aside.
+training picks windows: models of two thirds of the sample, for which all windows of a toxic document count as toxic,
+find the highest window in each toxic document of the last third; the final model learns from those against all windows
+of clean documents. A document's score is that of its highest window, calibrated on documents set aside.
 
 The model is fitted on a bounded sample of labelled rows (`sample_rows` of each label). Since the softmax is linear, a
 word comes down to one number, kept in a bounded memory by each worker.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batches_of, quiet, small_batches, words_of
 from .sampling import bounded_sample, fit_logistic
 
-WINDOW, STEP = 8, 4
+WINDOW, STEP = 2, 1
 ORDERS = (3, 4, 5)
 
 
@@ -118,77 +118,96 @@ def fit(training: DataFrame, *, buckets: int = 1 << 17, dims: int = 8, sample_ro
     rows = training.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic").filter("toxic is not null")
     # At most sample_rows texts of each label come to the driver.
     sample = bounded_sample(rows, "toxic", sample_rows).select("text", "toxic").toArrow()
-    texts, labels = as_bytes(sample.column("text")), np.array(sample.column("toxic").to_pylist() or [0]) == 1
+    return fit_texts(as_bytes(sample.column("text")), np.array(sample.column("toxic").to_pylist() or [0]) == 1, buckets, dims, epochs, rate, seed)
+
+
+class Trainer:
+    """Fits embeddings and softmax jointly on windows of a sample's words, by AdaGrad."""
+
+    def __init__(self, texts: list[bytes], buckets: int, dims: int, rate: float, seed: int):
+        self.buckets, self.dims, self.rate, self.seed = buckets, dims, rate, seed
+        number, doc, wins = {}, [], []
+        for k, text in enumerate(texts):
+            ids = [number.setdefault(w, len(number)) for w in words_of(text)]
+            for a, b in windows(len(ids)):
+                wins.append(ids[a:b] + [-1] * (WINDOW - (b - a)))
+                doc.append(k)
+        self.wins, self.doc = np.array(wins, np.int64).reshape(-1, WINDOW), np.array(doc, np.int64)
+        self.length = (self.wins >= 0).sum(1)
+        self.owner, self.bucket = subwords(list(number), buckets)
+        self.size = np.bincount(self.owner, minlength=len(number))
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+
+    def values(self, model: tuple[np.ndarray, float]) -> np.ndarray:
+        """Each window's logit."""
+        own = np.append(np.bincount(self.owner, model[0][self.bucket], len(self.size)) / self.size, 0.0)
+        return own[self.wins].sum(1) / self.length + model[1]
+
+    def train(self, bad: np.ndarray, good: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
+        """Bucket values and bias learned from toxic and clean windows, the fewer weighted up to 10 times."""
+        rng = np.random.default_rng(self.seed)
+        vectors, weights, bias = rng.normal(0, 0.1, (self.buckets, self.dims)), rng.normal(0, 0.3, self.dims), 0.0
+        held_v, held_w, held_b = np.full(self.buckets, 1e-6), np.full(self.dims, 1e-6), 1e-6
+        chosen = np.concatenate((good, bad))
+        y = np.concatenate((np.zeros(len(good)), np.ones(len(bad))))
+        share = np.where(y > 0, np.clip(len(good) / max(1, len(bad)), 1, 10), 1.0)
+        dims = range(self.dims)
+        for _ in range(epochs):
+            turn = rng.permutation(len(chosen))
+            for at in range(0, len(turn), 4096):
+                part = turn[at : at + 4096]
+                own, n = self.wins[chosen[part]], self.length[chosen[part]]
+                used, place = np.unique(own[own >= 0], return_inverse=True)
+                where = np.repeat(np.arange(len(part)), n)
+                size = self.size[used]
+                grams = self.bucket[np.repeat(self.first[used] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                of = np.repeat(np.arange(len(used)), size)
+                # Forward: n-grams to words, words to windows, windows to a logit.
+                word = np.stack([np.bincount(of, vectors[grams, d], len(used)) for d in dims], 1) / size[:, None]
+                x = np.stack([np.bincount(where, word[place, d], len(part)) for d in dims], 1) / n[:, None]
+                g = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y[part]) * share[part]
+                # Backward, the same way.
+                g_w, g_b, by_word = x.T @ g, g.sum(), np.bincount(place, (g / n)[where], len(used)) / size
+                hit, slot = np.unique(grams, return_inverse=True)
+                g_v = np.bincount(slot, by_word[of], len(hit))[:, None] * weights[None, :]
+                held_v[hit] += (g_v**2).mean(1)
+                held_w += g_w**2
+                held_b += g_b**2
+                vectors[hit] -= self.rate * g_v / np.sqrt(held_v[hit])[:, None]
+                weights -= self.rate * g_w / np.sqrt(held_w)
+                bias -= self.rate * g_b / np.sqrt(held_b)
+        return vectors @ weights, float(bias)
+
+
+def fit_texts(texts: list[bytes], labels: np.ndarray, buckets: int = 1 << 17, dims: int = 8, epochs: int = 5, rate: float = 0.5, seed: int = 1) -> ToxicityModel:
+    """The model of a sample's texts and labels (true: toxic)."""
     if not len(texts) or labels.all() or not labels.any():
         return ToxicityModel(np.zeros(buckets), 0.0, 0.0, 30.0 if len(texts) and labels.all() else -30.0)
     rng = np.random.default_rng(seed)
     aside = rng.random(len(texts)) < 0.2
-    number, doc_of, wins = {}, [], []
-    for k, text in enumerate(texts):
-        if aside[k]:
-            continue
-        ids = [number.setdefault(w, len(number)) for w in words_of(text)]
-        for a, b in windows(len(ids)):
-            wins.append(ids[a:b] + [-1] * (WINDOW - (b - a)))
-            doc_of.append(k)
-    wins, doc_of = np.array(wins).reshape(-1, WINDOW), np.array(doc_of)
-    owner, bucket = subwords(list(number), buckets)
-    size = np.bincount(owner, minlength=len(number))
-    first = np.concatenate(([0], np.cumsum(size)))
-    vectors, weights, bias = rng.normal(0, 0.1, (buckets, dims)), rng.normal(0, 0.1, dims), 0.0
-    held_v, held_w, held_b = np.full(buckets, 1e-6), np.full(dims, 1e-6), 1e-6
-    length = (wins >= 0).sum(1)
-    toxic = labels[doc_of]
-
-    def values() -> np.ndarray:
-        own = np.append(np.bincount(owner, (vectors @ weights)[bucket], len(number)) / size, 0.0)
-        return own[wins].sum(1) / length + bias
-
-    def sweep(chosen: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
-        nonlocal bias, vectors, weights, held_v, held_w, held_b
-        turn = rng.permutation(len(chosen))
-        for at in range(0, len(turn), 2048):
-            part = turn[at : at + 2048]
-            own, n = wins[chosen[part]], length[chosen[part]]
-            used, place = np.unique(own[own >= 0], return_inverse=True)
-            where = np.repeat(np.arange(len(part)), n)
-            grams = np.concatenate([np.arange(a, b) for a, b in zip(first[used], first[used + 1])])
-            of = np.repeat(np.arange(len(used)), size[used])
-            word = np.stack([np.bincount(of, vectors[bucket[grams], d], len(used)) for d in range(dims)], 1) / size[used][:, None]
-            x = np.stack([np.bincount(where, word[place, d], len(part)) for d in range(dims)], 1) / n[:, None]
-            g = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y[part]) * share[part]
-            g_w, g_b = x.T @ g / len(part) + 1e-6 * weights, g.mean()
-            g_x = (g / n)[:, None] * weights[None, :]
-            g_word = np.stack([np.bincount(place, g_x[where, d], len(used)) for d in range(dims)], 1) / size[used][:, None]
-            hit, slot = np.unique(bucket[grams], return_inverse=True)
-            g_v = np.stack([np.bincount(slot, g_word[of, d], len(hit)) for d in range(dims)], 1)
-            held_v[hit] += (g_v**2).mean(1)
-            held_w += g_w**2
-            held_b += g_b**2
-            vectors[hit] -= rate * g_v / np.sqrt(held_v[hit])[:, None]
-            weights -= rate * g_w / np.sqrt(held_w)
-            bias -= rate * g_b / np.sqrt(held_b)
-
-    clean = np.flatnonzero(~toxic)
-    for epoch in range(epochs):
-        if epoch == 0:
-            bad = np.flatnonzero(toxic)
-        else:  # a toxic document's windows that come within reach of its highest
-            v = values()
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, doc_of, v)
-            bad = np.flatnonzero(toxic & (v >= best[doc_of] - 1e-9) | toxic & (v > 1.0))
-        chosen = np.concatenate((clean, bad))
-        y = np.concatenate((np.zeros(len(clean)), np.ones(len(bad))))
-        share = np.concatenate((np.ones(len(clean)), np.full(len(bad), min(20.0, max(1.0, len(clean) / max(1, len(bad)))))))
-        sweep(chosen, y, share)
-    model = ToxicityModel(vectors @ weights, float(bias), 1.0, 0.0)
-    raw = np.array(Scorer(model).raw([t for t, a in zip(texts, aside) if a]))
+    used, of = [t for t, a in zip(texts, aside) if not a], labels[~aside]
+    trainer = Trainer(used, buckets, dims, rate, seed)
+    toxic, fold = of[trainer.doc], rng.integers(0, 3, len(used))[trainer.doc]
+    good, picked = np.flatnonzero(~toxic), np.zeros(len(toxic), bool)
+    best = np.full(len(used), -np.inf)
+    # Which windows make a document toxic is asked of models that haven't seen it.
+    for k in range(3):
+        model = trainer.train(np.flatnonzero(toxic & (fold != k)), good[fold[good] != k], 1)
+        v = trainer.values(model)
+        own = np.flatnonzero(toxic & (fold == k))
+        np.maximum.at(best, trainer.doc[own], v[own])
+        picked[own] = v[own] >= best[trainer.doc[own]] - 1e-9
+    model = trainer.train(np.flatnonzero(picked), good, epochs)
+    # Once more, with the other windows that the model is sure of.
+    v = trainer.values(model)
+    line = np.quantile(v[good], 0.9999) if len(good) else 0.0
+    model = trainer.train(np.flatnonzero(toxic & (picked & (v > line) | (v > 2 * max(line, 0) + 1))), good, epochs)
+    out = ToxicityModel(*model, 1.0, 0.0)
+    raw = np.array(Scorer(out).raw([t for t, a in zip(texts, aside) if a]))
     y = labels[aside].astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        # A toxic sample as large as the clean one overstates how common toxic text is; the intercept is kept all the same, as low scores are meant to be acted on.
-        model.slope, model.start = fit_logistic(np.clip(raw, -20, 20), y)
-    return model
+        out.slope, out.start = fit_logistic(np.clip(raw, -20, 20), y)
+    return out
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
