@@ -98,7 +98,7 @@ class Lexicon(dict):
 
     def __init__(self, most: int = 1_000_000):
         super().__init__()
-        self.most, self.hashes = most, []
+        self.most, self.hashes, self.room, self.filled = most, [], np.zeros(1024, np.uint64), 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.hashes)
@@ -111,6 +111,17 @@ class Lexicon(dict):
     def reset(self) -> None:
         self.clear()
         self.hashes.clear()
+        self.filled = 0
+
+    def array(self) -> np.ndarray:
+        """Hashes by number; grows in place."""
+        n = len(self.hashes)
+        if n > len(self.room):
+            self.room = np.concatenate((self.room[: self.filled], np.zeros(2 * n - self.filled, np.uint64)))
+        if n > self.filled:
+            self.room[self.filled : n] = np.array(self.hashes[self.filled :], np.uint64)
+            self.filled = n
+        return self.room[:n]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))

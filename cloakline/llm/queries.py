@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, resampling, simhash, token_files, toxicity
+from . import langid, lm, media, packing, resampling, simhash, token_files, toxicity
 from .common import held_out, read_table
 from .tokens import tokenizer_path
 
@@ -35,6 +35,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    rows = lm.score_texts(documents, documents.filter(~held_out("doc_id", 5, 1)))
+    return rows.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = langid.fit(documents.filter(~held_out("doc_id", 4, 2)))
@@ -48,7 +54,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = resampling.resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    rows = resampling.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_grams", "log_weight", "odds", "gumbel_key", "kept")
 
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_simhash": op6_simhash,
+    "op7_lm": op7_lm,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_resampling": op10_resampling,

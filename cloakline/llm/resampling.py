@@ -5,10 +5,10 @@ text. A document's log importance weight is the log ratio of the two models over
 that length doesn't decide. Labelled rows of both kinds, a bounded sample, turn the average into log odds; Gumbel noise,
 a function of the row, is added, and the k rows with the largest sums are kept: a sample without replacement in
 proportion to the weights. k is the number of rows whose odds favour the target, so far from the boundary noise decides
-nothing.
+nothing. Rows that tie with the k-th are kept with it.
 
 Defined cases: null or empty text has no n-grams and the weight of no evidence; rows without a label count as raw only;
-repeated rows are kept or not by their place where keys tie; labels that repeat an id count once, good if any is; with
+repeated rows are kept or not together; labels that repeat an id count once, good if any is; with
 no label of either kind every row is kept; other columns stay as they are.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Lexicon, Scratch, as_texts, batches_of, chain, quiet, small_batches
-from .sampling import bounded_sample, fit_logistic, top_k
+from .sampling import bounded_sample, fit_logistic, kth_largest
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
@@ -31,22 +32,11 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 def feature_buckets(text: str, lexicon: Lexicon, buckets: int) -> np.ndarray:
     """Buckets of a text's words, runs of signs, and pairs of them, case kept."""
     ids = lexicon.ids([t.encode() for t in TOKENS.findall(text)])
-    h = np.array(lexicon.hashes, np.uint64)[ids] if len(ids) < 64 else lexicon_array(lexicon)[ids]
+    h = lexicon.array()[ids]
     with quiet():
         return (np.concatenate((h, chain(h[:-1], h[1:]))) % np.uint64(buckets)).astype(np.int64)
 
 
-def lexicon_array(lexicon: Lexicon) -> np.ndarray:
-    """The lexicon's hashes as an array, grown when it has new words."""
-    held = getattr(lexicon, "array", np.zeros(0, np.uint64))
-    if len(held) > len(lexicon.hashes):
-        held = np.zeros(0, np.uint64)
-    if len(held) < len(lexicon.hashes):
-        held = np.concatenate((held, np.array(lexicon.hashes[len(held) :], np.uint64)))
-        lexicon.array = held
-    return held
-
-
 def bucket_counts(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of buckets over all rows of (text, good), and over those that are good."""
     small_batches(rows.sparkSession)
@@ -72,44 +62,81 @@ def bucket_counts(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray
     return raw, good
 
 
-def with_log_weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """The rows with log_weight, the average log ratio over their n-grams, and n_grams."""
+@dataclass
+class Resampler:
+    ratios: np.ndarray  # log ratio of the two models by bucket
+    slope: float
+    start: float
+    seed: int
+
+
+def labelled(documents: DataFrame, labels: DataFrame, value: str, most_ids: int = 4_000_000) -> DataFrame:
+    """Documents with their label as _good, null where they have none. Up to most_ids labels are broadcast, so that texts aren't shuffled; more are joined by id."""
+    known = labels.filter(f"doc_id is not null and {value} is not null").groupBy("doc_id").agg(F.max(value).alias("_good"))
+    if known.count() <= most_ids:
+        known = F.broadcast(known)
+    return documents.drop("_good").join(known, "doc_id", "left")
+
+
+def log_weights(documents: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns to keep, log_weight (the average log ratio over a text's n-grams) and n_grams of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
-    names = documents.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "log_weight double", "n_grams long"])
-    text = names.index("text")
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "log_weight double", "n_grams long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lexicon = shared.value, Lexicon()
         for b in batches_of(batches):
             if lexicon.full():
                 lexicon.reset()
-            found = [feature_buckets(t, lexicon, len(own)) for t in as_texts(b.column(text))]
-            weights = [float(own[f].mean()) if len(f) else 0.0 for f in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weights, pa.float64()), pa.array([len(f) for f in found], pa.int64())], names=[*names, "log_weight", "n_grams"])
+            weights, sizes = [], []
+            for text in as_texts(b.column(len(keep))):
+                found = feature_buckets(text, lexicon, len(own))
+                weights.append(float(own[found].mean()) if len(found) else 0.0)
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "log_weight", "n_grams"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def resample(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smoothing: float = 1.0, sample_rows: int = 4000, seed: int = 1) -> DataFrame:
-    """The rows of documents with log_weight, odds, gumbel_key and kept added; exactly k rows are kept.
-
-    labels: doc_id, quality (1 is good).
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "resampling")
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    new = ("log_weight", "n_grams", "odds", "gumbel_key", "kept", "_good", "_uid")
-    rows = documents.drop(*new).join(known, "doc_id", "left")
+def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smoothing: float = 1.0, sample_rows: int = 4000, seed: int = 1) -> Resampler:
+    """Both models, counted over all rows, and the log odds' line. labels: doc_id, quality (1 is good)."""
+    rows = labelled(documents.select("doc_id", "text"), labels, "quality")
     raw, good = bucket_counts(rows.select("text", F.coalesce(F.col("_good") == 1, F.lit(False)).alias("good")), buckets)
     ratios = np.log((good + smoothing) / (good.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets))
-    scored = scratch.table(with_log_weights(rows, ratios).withColumn("_uid", F.monotonically_increasing_id()), "scored")
-    sample = bounded_sample(scored.select("doc_id", "text", "_good", "log_weight").filter("_good is not null"), "_good", sample_rows).select("log_weight", "_good").toPandas()
-    slope, start = fit_logistic(sample["log_weight"].to_numpy(float), (sample["_good"].to_numpy() == 1).astype(float)) if len(sample) else (0.0, float("inf"))
-    # Uniform in (0, 1), from the row's id and text.
-    uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    odds = F.lit(slope) * F.col("log_weight") + F.lit(min(start, 1e6))
-    scored = scored.withColumn("odds", odds).withColumn("gumbel_key", F.col("odds") - F.log(-F.log(uniform)))
-    keys = scratch.table(scored.select("_uid", "odds", "gumbel_key"), "keys")
+    sample = bounded_sample(rows.filter("_good is not null"), "_good", sample_rows)
+    sample = log_weights(sample, ratios, ["_good"]).toPandas()
+    if not len(sample):
+        return Resampler(ratios, 0.0, 1e6, seed)
+    slope, start = fit_logistic(sample["log_weight"].to_numpy(float), (sample["_good"].to_numpy() == 1).astype(float))
+    return Resampler(ratios, slope, min(start, 1e6), seed)
+
+
+def weigh(documents: DataFrame, model: Resampler, keep: list[str]) -> DataFrame:
+    """The columns to keep with n_grams, log_weight, odds and gumbel_key; Gumbel noise is a function of doc_id and text."""
+    small_batches(documents.sparkSession)
+    uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(model.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rows = documents.drop("_noise", "n_grams", "log_weight", "odds", "gumbel_key").withColumn("_noise", -F.log(-F.log(uniform)))
+    rows = log_weights(rows, model.ratios, [*keep, "_noise"])
+    return rows.withColumn("odds", F.lit(model.slope) * F.col("log_weight") + F.lit(model.start)).withColumn("gumbel_key", F.col("odds") + F.col("_noise")).drop("_noise")
+
+
+def cut(keys: DataFrame) -> float:
+    """The smallest key that is kept: the k-th largest, where k rows have odds of 0 or more."""
     k = keys.filter("odds >= 0").count()
-    return scored.withColumn("kept", top_k(keys, "gumbel_key", "_uid", k)).drop("_good", "_uid")
+    return kth_largest(keys, "gumbel_key", k) if k else float("inf")
+
+
+def scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, n_grams, log_weight, odds, gumbel_key and kept of every row."""
+    scratch = Scratch(documents.sparkSession, "resampling")
+    keys = scratch.table(weigh(documents, fit(documents, labels, **options), ["doc_id"]), "keys")
+    return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(cut(keys)))
+
+
+def resample(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows that are kept, with the columns of documents. Keys are a function of the row, so the texts are read again rather than stored."""
+    scratch = Scratch(documents.sparkSession, "resampling")
+    model = fit(documents, labels, **options)
+    line = cut(scratch.table(weigh(documents, model, ["doc_id"]), "keys"))
+    return weigh(documents, model, documents.columns).filter(F.col("gumbel_key") >= F.lit(line)).select(*(F.col(f"`{c}`") for c in documents.columns))

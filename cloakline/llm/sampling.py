@@ -1,9 +1,9 @@
-"""Bounded samples of labelled rows to fit classifiers on, and exact top-k over a table of any size."""
+"""Bounded samples of labelled rows to fit classifiers on, and the k-th largest value of a table of any size."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,24 +44,13 @@ def _boundary(rows: DataFrame, column: str, k: int, enough: int = 5000, bins: in
     return low, high, need
 
 
-def top_k(rows: DataFrame, key: str, uid: str, k: int) -> Column:
-    """Condition that holds for exactly k rows: those with the largest keys, ties by the smallest uid (unique longs).
-
-    Only histogram counts and the few rows around the boundary come to the driver.
-    """
-    if k <= 0:
-        return F.lit(False)
-    low, high, need = _boundary(rows, key, k)
-    near = rows.filter(F.col(key).between(low, high))
-    if low < high:
-        value = near.orderBy(F.desc(key)).limit(need).agg(F.min(key)).first()[0]
-        need -= near.filter(F.col(key) > value).count()
-    else:
-        value = low
-    tied = rows.filter(F.col(key) == value).select((-F.col(uid).cast("double")).alias("u"), uid)
-    a, b, n = _boundary(tied, "u", need)
-    last = tied.filter(F.col("u").between(a, b)).orderBy(F.desc("u")).limit(n).agg(F.max(uid)).first()[0]
-    return (F.col(key) > value) | ((F.col(key) == value) & (F.col(uid) <= last))
+def kth_largest(rows: DataFrame, column: str, k: int) -> float:
+    """The k-th largest value of a column, exactly. Only histogram counts and few rows around it come to the driver."""
+    low, high, need = _boundary(rows, column, k)
+    if low == high:
+        return low
+    near = sorted((r[0] for r in rows.filter(F.col(column).between(low, high)).select(column).collect()), reverse=True)
+    return near[need - 1]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
