@@ -100,7 +100,7 @@ class Lexicon(dict):
         super().__init__()
         self.most, self.hashes, self.room, self.filled = most, [], np.zeros(1024, np.uint64), 0
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         self[word] = n = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(word, SEED))
         return n
@@ -123,7 +123,7 @@ class Lexicon(dict):
             self.filled = n
         return self.room[:n]
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
