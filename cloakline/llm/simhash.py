@@ -8,8 +8,8 @@ some choice of that many groups. Cells are joined by their key; inside a cell th
 exact distance, and a spanning forest of the links leaves the cell, never all pairs.
 
 Only distinct fingerprints are joined, each once with the smallest id of its copies. A cell of more than `cell_rows`
-fingerprints (many near copies of one text) is not compared in one place: its fingerprints are joined by the points
-halfway between them instead (see `halfway`), where a group holds no more than 65 fingerprints at radius 2. Components
+fingerprints (many near copies of one text) is not compared in one place at radius 2: its fingerprints are joined by the
+points halfway between them instead (see `halfway`), where a group holds no more than 65 fingerprints. Components
 come from alternating star contractions over tables in the shared folder.
 
 Defined cases: null or empty text, or text without words, has fingerprint zero, linked like any other; null ids never
@@ -45,16 +45,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(bits.tobytes(), "little")
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each document."""
+def fingerprints(documents: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint fp (as a signed long) and the columns to keep of each document."""
     small_batches(documents.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
 def bit_counts(fps: np.ndarray, width: int) -> np.ndarray:
@@ -94,29 +96,30 @@ def cells(fps: DataFrame, radius: int, groups: int, width: int) -> DataFrame:
 
 
 def forest(fps: np.ndarray, radius: int, width: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's fingerprints."""
-    n = len(fps)
-    root = list(range(n))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    """A spanning forest of the links among a cell's distinct fingerprints.
 
+    A pivot is linked to all within the radius of it. What else these can be linked to lies within twice the radius of
+    the pivot, and is compared with them; then they are done with. Near copies of one text go in a few pivots.
+    """
     counts, out = bit_counts(fps, width).astype(np.int16), []
-    step = max(1, (1 << 22) // max(1, n * counts.shape[1]))
-    for at in range(0, n, step):
-        near = np.abs(counts[at : at + step, None, :] - counts[None, at:, :]).sum(2) <= radius
-        a, b = np.nonzero(near)
-        a, b = a + at, b + at
-        a, b = a[a < b], b[a < b]
-        ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-            rx, ry = top(x), top(y)
-            if rx != ry:
-                root[max(rx, ry)] = min(rx, ry)
-                out.append((x, y))
+    left = np.arange(len(fps))
+
+    def near(one: int, many: np.ndarray, reach: int) -> np.ndarray:
+        """Those of many within reach: the Manhattan bound, then the exact distance."""
+        many = many[np.abs(counts[many] - counts[one]).sum(1) <= reach]
+        return many[np.bitwise_count(fps[many] ^ fps[one]) <= reach]
+
+    while len(left) > 1:
+        pivot, left = int(left[0]), left[1:]
+        around = near(pivot, left, 2 * radius)
+        star = around[np.bitwise_count(fps[around] ^ fps[pivot]) <= radius]
+        out.extend((pivot, int(x)) for x in star)
+        outside = np.setdiff1d(around, star, assume_unique=True)
+        for x in outside.tolist():
+            linked = near(x, star, radius)
+            if len(linked):
+                out.append((x, int(linked[0])))
+        left = np.setdiff1d(left, star, assume_unique=True)
     return out
 
 
@@ -152,7 +155,7 @@ def cell_links(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> Dat
                     held_key, held, size, over = keys[at], [], 0, False
                 part = fps[at:end]
                 size += len(part)
-                if size > cell_rows:
+                if size > cell_rows and radius == 2:
                     over = True
                 if over:
                     for x in [*held, part]:
@@ -173,14 +176,9 @@ def cell_links(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> Dat
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def halfway(fps: DataFrame, radius: int) -> DataFrame:
-    """Links among fingerprints, by the points within radius // 2 (rounded up on one side) of each.
-
-    Two fingerprints within the radius share such a point. At radius 2 or less all that share a point are linked, so a
-    star of them is enough; beyond, the star's links are checked and then joined by the smallest at each point.
-    """
-    reach = (radius + 1) // 2
-    flips = np.array([sum(1 << b for b in c) for r in range(reach + 1) for c in itertools.combinations(range(64), r)], np.uint64)
+def halfway(fps: DataFrame) -> DataFrame:
+    """Links among fingerprints at radius 2: two are linked if and only if both are within one bit of some point, so a star of those at each point is enough."""
+    flips = np.array([0, *(1 << b for b in range(64))], np.uint64)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
@@ -215,23 +213,29 @@ def components(scratch: Scratch, links: DataFrame, name: str = "stars") -> DataF
         edges, done, k = new, state, k + 1
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2, groups: int = 4, width: int = 2, cell_rows: int = 1024) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the smallest doc_id that links of at most `radius` differing bits reach."""
+def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2, groups: int = 4, width: int = 2, cell_rows: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (signed long), component_id (the smallest doc_id that links of at most `radius` differing bits reach), group (the component's own key) and the columns to keep."""
     scratch = Scratch(documents.sparkSession, "simhash")
-    docs = scratch.table(fingerprints(documents, shingle), "fps")
+    docs = scratch.table(fingerprints(documents, shingle, keep), "fps")
     nodes = scratch.table(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     found = scratch.table(cell_links(cells(nodes.select("fp"), radius, groups, width), radius, width, cell_rows), "links")
     links = found.filter("b is not null")
     large = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if not large.isEmpty():
-        if radius <= 2:
-            links = links.union(halfway(large, radius))
-        else:
-            links = links.union(split_cells(scratch, large, radius, groups, width, cell_rows))
+        links = links.union(halfway(large))
     roots = components(scratch, links)
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     # Only fingerprints that are not alone need the join; AQE splits a fingerprint that many documents share.
-    shared = linked.join(ids, "root").filter("n > 1 or component_id <> first").select("fp", "component_id")
+    shared = linked.join(ids, "root").filter("n > 1 or root <> fp or not (component_id <=> first)").select("fp", "root", "component_id")
     shared = scratch.table(shared, "shared")
-    return docs.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return docs.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("group"), *keep)
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """One document of each group of near duplicates, with its columns: the one with the smallest doc_id (null last), of equal ids the one with the smallest hash of its row."""
+    # Rows that are equal in id and text are one document.
+    row = F.xxhash64(F.lit("row"), "doc_id", "text")
+    groups = near_duplicates(documents.withColumn("_row", row), keep=("_row",), **options)
+    chosen = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("one")).select("one._row")
+    return documents.withColumn("_row", row).join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
