@@ -96,7 +96,7 @@ def crc32_u32(ids: np.ndarray) -> int:
 class Lexicon(dict):
     """Words seen by one worker, numbered from 0, with their 64-bit hashes; emptied between batches once it holds `most` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most, self.hashes, self.room, self.filled = most, [], np.zeros(1024, np.uint64), 0
 

@@ -221,8 +221,22 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
     groups = {kind: groups_of(sizes[kind], group_bytes) for kind in (WORDS, PAIRS)}
     middle, floor_p = middles(), 0.5 / (total + 0.5 * (distinct + 1))
 
-    def first_pass(filters) -> DataFrame:
-        """Token counts, the head's part of the base, what is left for the join, and words' levels as far as this group knows them."""
+    def pair_score(h: np.ndarray, levels: np.ndarray, filters) -> float:
+        """Sum of the log probabilities of the tokens whose pair a group holds."""
+        c = middle[np.maximum(levels, 0)]
+        with quiet():
+            pair = filters.levels(pair_keys(h)) if filters else np.zeros(len(h), np.int8)
+        before = np.concatenate((c[-1:], c[:-1]))
+        joint = np.minimum(middle[np.maximum(pair, 0)], np.minimum(before, c))
+        p = (joint + mu * np.maximum(c + 0.5, 0.5) / 0.5 * floor_p) / (before + mu)
+        return float(np.log10(p[pair >= 0]).sum())
+
+    def first_pass(filters, pairs, fused: bool, last: bool) -> DataFrame:
+        """Token counts, the head's part of the base, what is left for the join, and words' levels as far as this group knows them; if fused, the first group of pairs is scored at once."""
+        names = ["doc_id", "text", "n_tokens", "n_known", "base", "left", "times", "levels", "score"]
+        kinds = {"doc_id": "long", "text": "string", "n_tokens": "long", "n_known": "long", "base": "double", "left": "array<long>", "times": "array<long>", "levels": "binary", "score": "double"}
+        if last:
+            names = [n for n in names if n not in ("text", "levels")]
 
         split = line > 1
 
@@ -246,16 +260,18 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
                 known = len(h)
                 rows = []
                 for ids in cut:
+                    own, levels = np.append(h[ids], END), np.append(known_levels[ids], end_level)
                     c = np.append(known_counts[ids], end_count)
-                    left = np.append(h[ids], END)[c == 0] if split else np.zeros(0, np.uint64)
+                    left = own[c == 0] if split else np.zeros(0, np.uint64)
                     left, times = sum_pairs(left, np.ones(len(left), np.int64))
                     seen = c[c > 0]
-                    rows.append((len(c), len(seen), float(np.log10(seen + 0.5).sum()), left.view(np.int64), times, np.append(known_levels[ids], end_level).tobytes()))
+                    rows.append((len(c), len(seen), float(np.log10(seen + 0.5).sum()), left.view(np.int64), times, levels.tobytes(), pair_score(own, levels, pairs.value if pairs else None) if fused else 0.0))
                 cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(x), k) for x, k in zip(cols, kinds))], names=["doc_id", "text", "n_tokens", "n_known", "base", "left", "times", "levels"])
+                arrow = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.float64()]
+                arrays = {"doc_id": b.column(0), "text": b.column(1)} | {n: pa.array(list(x), k) for n, x, k in zip(("n_tokens", "n_known", "base", "left", "times", "levels", "score"), cols, arrow)}
+                yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
 
-        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_tokens long, n_known long, base double, left array<long>, times array<long>, levels binary")
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
     def more_levels(df: DataFrame, filters) -> DataFrame:
         at = df.columns.index("levels")
@@ -282,30 +298,25 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
                     lexicon.reset()
                 out = []
                 for text, levels, score in zip(as_bytes(b.column(1)), b.column(held).to_pylist(), b.column(at).to_pylist()):
-                    h = hashes_of(words_of(text), lexicon)
-                    c = middle[np.maximum(np.frombuffer(levels, np.int8), 0)]
-                    with quiet():
-                        pair = filters.value.levels(pair_keys(h)) if filters else np.zeros(len(h), np.int8)
-                    before = np.concatenate((c[-1:], c[:-1]))
-                    here = pair >= 0
-                    joint = np.minimum(middle[np.maximum(pair, 0)], np.minimum(before, c))
-                    p = (joint + mu * np.maximum(c + 0.5, 0.5) / 0.5 * floor_p) / (before + mu)
-                    out.append(score + float(np.log10(p[here]).sum()))
+                    out.append(score + pair_score(hashes_of(words_of(text), lexicon), np.frombuffer(levels, np.int8), filters.value if filters else None))
                 arrays = {n: x for n, x in zip(b.schema.names, b.columns)} | {"score": pa.array(out, pa.float64())}
                 yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
 
         return df.mapInArrow(run, df.select(*names).schema)
 
     word_groups, pair_groups = groups[WORDS] or [None], groups[PAIRS] or [None]
-    rows = first_pass(load(WORDS, word_groups[0]) if word_groups[0] is not None else None)
+
+    def loaded(kind: int, group: list[int] | None):
+        return load(kind, group) if group is not None else None
+
+    fused = len(word_groups) == 1
+    rows = first_pass(loaded(WORDS, word_groups[0]), loaded(PAIRS, pair_groups[0]) if fused else None, fused, fused and len(pair_groups) == 1)
     for group in word_groups[1:]:
         rows = scratch.table(more_levels(rows, load(WORDS, group)), f"words{group[0]}")
-    rows = rows.withColumn("score", F.lit(0.0))
     for k, group in enumerate(pair_groups):
-        last = k == len(pair_groups) - 1
-        rows = add_pairs(rows, load(PAIRS, group) if group is not None else None, last)
-        if not last:
+        if k or not fused:
             rows = scratch.table(rows, f"pairs{k}")
+            rows = add_pairs(rows, loaded(PAIRS, group), k == len(pair_groups) - 1)
     rows = scratch.table(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
     if line > 1:
         left = rows.filter(F.size("left") > 0).select("uid", F.explode(F.arrays_zip("left", "times")).alias("x")).select("uid", F.col("x.left").alias("h"), F.col("x.times").alias("times"))

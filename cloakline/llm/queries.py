@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lm, media, packing, resampling, simhash, token_files, toxicity
+from . import decontamination, html, langid, lm, media, packing, resampling, sampling, simhash, token_files, toxicity
 from .common import held_out, read_table
 from .tokens import tokenizer_path
 
@@ -27,8 +27,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    training = documents.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text").join(labels, "doc_id")
+    training = sampling.labelled(documents.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text"), read_table(spark, sf_dir, "labels"), "toxic", "toxic")
     rows = toxicity.score(documents, toxicity.fit(training))
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Lexicon, Scratch, as_texts, batches_of, chain, quiet, small_batches
-from .sampling import bounded_sample, fit_logistic, kth_largest
+from .sampling import bounded_sample, fit_logistic, kth_largest, labelled
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
@@ -70,14 +70,6 @@ class Resampler:
     seed: int
 
 
-def labelled(documents: DataFrame, labels: DataFrame, value: str, most_ids: int = 4_000_000) -> DataFrame:
-    """Documents with their label as _good, null where they have none. Up to most_ids labels are broadcast, so that texts aren't shuffled; more are joined by id."""
-    known = labels.filter(f"doc_id is not null and {value} is not null").groupBy("doc_id").agg(F.max(value).alias("_good"))
-    if known.count() <= most_ids:
-        known = F.broadcast(known)
-    return documents.drop("_good").join(known, "doc_id", "left")
-
-
 def log_weights(documents: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns to keep, log_weight (the average log ratio over a text's n-grams) and n_grams of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
@@ -101,7 +93,7 @@ def log_weights(documents: DataFrame, ratios: np.ndarray, keep: list[str]) -> Da
 
 def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smoothing: float = 1.0, sample_rows: int = 4000, seed: int = 1) -> Resampler:
     """Both models, counted over all rows, and the log odds' line. labels: doc_id, quality (1 is good)."""
-    rows = labelled(documents.select("doc_id", "text"), labels, "quality")
+    rows = labelled(documents.select("doc_id", "text"), labels, "quality", "_good")
     raw, good = bucket_counts(rows.select("text", F.coalesce(F.col("_good") == 1, F.lit(False)).alias("good")), buckets)
     ratios = np.log((good + smoothing) / (good.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets))
     sample = bounded_sample(rows.filter("_good is not null"), "_good", sample_rows)

@@ -22,6 +22,17 @@ def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
     return rows.withColumn("_spread", F.xxhash64("doc_id", F.lit("order"))).filter(keep).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_spread", "_rank")
 
 
+def labelled(documents: DataFrame, labels: DataFrame, value: str, name: str, most_ids: int = 4_000_000) -> DataFrame:
+    """Documents with their label under a name, null where they have none; of several labels the largest counts.
+
+    Up to most_ids labels are broadcast, so that texts aren't shuffled; more are joined by id.
+    """
+    known = labels.filter(f"doc_id is not null and {value} is not null").groupBy("doc_id").agg(F.max(value).alias(name))
+    if known.count() <= most_ids:
+        known = F.broadcast(known)
+    return documents.drop(name).join(known, "doc_id", "left")
+
+
 def _boundary(rows: DataFrame, column: str, k: int, enough: int = 5000, bins: int = 4096) -> tuple[float, float, int]:
     """lo, hi, n: exactly k - n rows are above hi, and the k-th largest lies in [lo, hi]. Narrows by histograms until few rows are left or all are equal."""
     low, high, total = rows.agg(F.min(column), F.max(column), F.count(column)).first()
