@@ -130,10 +130,18 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
             for kind, parts_ in held.items():
                 keys = np.concatenate(parts_)
                 keys, counts = sum_pairs(keys, np.ones(len(keys), np.int64))
-                shard = (keys % np.uint64(shards)).astype(np.int32)
-                for at in range(0, len(keys), 100_000):
-                    s = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(np.full(len(keys[s]), kind, np.int8)), pa.array(keys[s].view(np.int64)), pa.array(counts[s])], names=["shard", "kind", "h", "n"])
+                shard = (keys % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                shard, keys, counts = shard[order], keys[order], counts[order].astype("<u4")
+                first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)]))
+                # A row for each shard, its n-grams packed: rows of single n-grams cost more than their counting.
+                for at in range(0, len(cuts), 64):
+                    own = cuts[at : at + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(shard[x]) for x, _ in own], pa.int32()), pa.array([kind] * len(own), pa.int8()), pa.array([keys[x:y].tobytes() for x, y in own], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in own], pa.binary())],
+                        names=["shard", "kind", "h", "n"],
+                    )
                 parts_.clear()
 
         for b in batches_of(batches):
@@ -154,12 +162,8 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
         for b in batches_of(batches):
-            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            h, n = b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()
-            code = shard.astype(np.int64) * 4 + kind
-            for c in np.unique(code).tolist():
-                own = code == c
-                held.setdefault(divmod(c, 4), []).append((h[own], n[own]))
+            for shard, kind, h, n in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((shard, kind), []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, "<u4").astype(np.int64)))
         for (shard, kind), own in held.items():
             keys, counts = sum_pairs(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
             with quiet():
@@ -170,7 +174,7 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
                 names=["shard", "kind", "bits", "keys", "counts", "total"],
             )
 
-    counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "shard int, kind byte, h long, n long")
+    counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "shard int, kind byte, h binary, n binary")
     return counted.repartition(parts, "shard").mapInArrow(gather, "shard int, kind byte, bits binary, keys array<long>, counts array<long>, total long")
 
 
