@@ -1 +1 @@
-"""operators."""
+"""Operators: detectors, identity, collapse, replacement, profiles, selection, summaries, word boxes."""

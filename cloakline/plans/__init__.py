@@ -1 +1 @@
-"""plans."""
+"""Plans: options, presets and whole-document dataflows."""
