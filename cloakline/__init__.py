@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from .plans.options import PRESETS, Options
+
 
 def queries() -> dict:
-    return {}
+    from .queries import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    from .queries import ORACLES
+
+    return dict(ORACLES)
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    from .queries import flagship as run
+
+    return run(spark, sf_dir)
+
+
+__all__ = ["PRESETS", "Options", "flagship", "oracles", "queries"]

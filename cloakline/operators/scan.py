@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,17 @@ def sorted_distinct(findings: str) -> str:
     return f"array_sort({distinct}, (l, r) -> case when l.start <> r.start then l.start - r.start when l.back <> r.back then l.back - r.back else l.seq - r.seq end)"
 
 
-def with_findings(values: DataFrame, options: Options = Options(), seeds: str | None = None) -> DataFrame:
-    """Adds `findings`, an array, to values (a `value` string and context columns). seeds: SQL text of outside seeds."""
+def with_findings(values: DataFrame, options: Options = Options(), seeds: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds `findings`, an array, to values (a `value` string and context columns). seeds: SQL text of outside seeds; only: names of structured detectors to run alone."""
     outside = seeds or identity.NO_SEEDS
     segments = HERE.segments()
     rows = with_context(values).withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit(""))).withColumn("_segments", F.expr(segments))
     rows = rows.withColumns({f"_ev_{label}": F.expr(evidence("_segments", "profile_hints", label)) for label in structured.EVIDENCE})
     rows = rows.withColumn("_ibans", F.expr(structured.ibans("value") if options.on("IBAN") else "cast(array() as array<struct<start:int,stop:int,original:string,ok:boolean>>)"))
     rows = rows.withColumn("_card_context", F.expr(structured.card_context(HERE)))
-    found = list(structured.detectors("value", options).values())
+    found = [e for name, e in structured.detectors("value", options).items() if only is None or name in only]
+    if only is not None:
+        options = replace(options, detect_names=False, categories=frozenset())
     if options.on("PERSON"):
         found.append(identity.labelled("value", HERE))
     if options.detect_names:

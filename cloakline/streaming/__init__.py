@@ -1 +1,27 @@
-"""streaming."""
+"""Scans over streams: values are scanned and redacted as they come; what needs whole documents runs on each micro-batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
+
+from ..operators.redaction import redact_values
+from ..operators.scan import scan_values, with_findings
+from ..plans.options import THRESHOLDS, Options
+
+
+def scan_stream(values: DataFrame, options: Options = Options()) -> DataFrame:
+    """Findings of a stream of values; stateless."""
+    return scan_values(values, options)
+
+
+def redact_stream(values: DataFrame, options: Options = Options(), threshold: float | None = None, mode: str = "redact") -> DataFrame:
+    """A stream of values with `output`; stateless."""
+    return redact_values(with_findings(values, options), THRESHOLDS[options.confidence] if threshold is None else threshold, mode).drop("findings")
+
+
+def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Runs document-scoped work (profiles, seeds, readings) on each micro-batch of whole documents."""
+    return stream.writeStream.foreachBatch(lambda batch, epoch: sink(work(batch), epoch))
