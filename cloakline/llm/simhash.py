@@ -5,7 +5,7 @@ segments and a fingerprint is mapped to its segments' bit counts. Manhattan dist
 exceeds the Hamming distance of the fingerprints, so it is a lower bound. The segments are dealt to `groups` groups;
 of two vectors within distance `radius`, at least groups - radius groups are equal, so both lie in one grid cell of
 some choice of that many groups. Cells are joined by their key; inside a cell the Manhattan bound goes first, then the
-exact distance, and a spanning forest of the links leaves the cell, never all pairs.
+exact distance, and no more links leave the cell than connect it, never all pairs.
 
 Only distinct fingerprints are joined, each once with the smallest id of its copies. A cell of more than `cell_rows`
 fingerprints (many near copies of one text) is not compared in one place at radius 2: its fingerprints are joined by the
@@ -66,11 +66,13 @@ def bit_counts(fps: np.ndarray, width: int) -> np.ndarray:
 
 
 def cells(fps: DataFrame, radius: int, groups: int, width: int) -> DataFrame:
-    """Keys of the grid cells of each fingerprint: a key for each choice of groups - radius groups of segments."""
+    """Keys of the grid cells of each fingerprint: a key for each choice of groups - radius groups of segments, the choice's number in the lowest byte."""
     if groups <= radius:
         raise ValueError("more groups than the radius are needed")
     parts = np.array_split(np.arange(64 // width), groups)
     chosen = list(itertools.combinations(range(groups), groups - radius))
+    if len(chosen) > 256:
+        raise ValueError("a key has room for 256 choices")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
@@ -89,14 +91,14 @@ def cells(fps: DataFrame, radius: int, groups: int, width: int) -> DataFrame:
                         h = np.full(len(own), n, np.uint64)
                         for g in c:
                             h = chain(h, by_group[g])
-                        keys.append(h)
+                        keys.append(h << np.uint64(8) | np.uint64(n))  # the choice can be read from the key
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(own, len(keys)).view(np.int64))], names=["key", "fp"])
 
     return fps.mapInArrow(run, "key long, fp long")
 
 
 def forest(fps: np.ndarray, radius: int, width: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's distinct fingerprints.
+    """Links among a cell's distinct fingerprints that connect all that are linked there; about as many as fingerprints.
 
     A pivot is linked to all within the radius of it. What else these can be linked to lies within twice the radius of
     the pivot, and is compared with them; then they are done with. Near copies of one text go in a few pivots.
@@ -123,8 +125,25 @@ def forest(fps: np.ndarray, radius: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def cell_links(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> DataFrame:
-    """Links a, b found in cells; fingerprints of cells that are too large come as a alone, once a task."""
+def cell_links(keyed: DataFrame, radius: int, groups: int, width: int, cell_rows: int) -> DataFrame:
+    """Links a, b found in cells; fingerprints of cells that are too large come as a alone, once a task.
+
+    Two fingerprints that agree in more groups than a choice has meet in several cells. A cell leaves out a link that the
+    cell of an earlier choice has too: that one connects the two as well, as a forest connects all that are linked in it.
+    """
+    parts = np.array_split(np.arange(64 // width), groups)
+    chosen = list(itertools.combinations(range(groups), groups - radius))
+
+    def first_seen(fps: np.ndarray, found: list[tuple[int, int]], choice: int) -> list[tuple[int, int]]:
+        if not found:
+            return []
+        a, b = fps[[x for x, _ in found]], fps[[y for _, y in found]]
+        same = bit_counts(a, width) == bit_counts(b, width)
+        agree = np.stack([same[:, p].all(1) for p in parts], 1)
+        earliest = np.cumsum(agree, 1) <= groups - radius
+        wanted = np.isin(np.arange(groups), chosen[choice])
+        keep = ((agree & earliest) == wanted).all(1)
+        return list(zip(a[keep].view(np.int64).tolist(), b[keep].view(np.int64).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large: set[int] = set()
@@ -134,7 +153,7 @@ def cell_links(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> Dat
         def close() -> None:
             if not over and size > 1:
                 fps = np.unique(np.concatenate(held))
-                links.extend((int(fps[x].view(np.int64)), int(fps[y].view(np.int64))) for x, y in forest(fps, radius, width))
+                links.extend(first_seen(fps, forest(fps, radius, width), int(held_key) & 255))
 
         def out() -> pa.RecordBatch:
             a, b = zip(*links)
@@ -218,7 +237,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2,
     scratch = Scratch(documents.sparkSession, "simhash")
     docs = scratch.table(fingerprints(documents, shingle, keep), "fps")
     nodes = scratch.table(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    found = scratch.table(cell_links(cells(nodes.select("fp"), radius, groups, width), radius, width, cell_rows), "links")
+    found = scratch.table(cell_links(cells(nodes.select("fp"), radius, groups, width), radius, groups, width, cell_rows), "links")
     links = found.filter("b is not null")
     large = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if not large.isEmpty():
