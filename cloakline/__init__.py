@@ -6,19 +6,19 @@ from .plans.options import PRESETS, Options
 
 
 def queries() -> dict:
-    from .queries import QUERIES
+    from .catalogue import QUERIES
 
     return dict(QUERIES)
 
 
 def oracles() -> dict:
-    from .queries import ORACLES
+    from .catalogue import ORACLES
 
     return dict(ORACLES)
 
 
 def flagship(spark, sf_dir: str):
-    from .queries import flagship as run
+    from .catalogue import flagship as run
 
     return run(spark, sf_dir)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import Context, evidence
 from ..plans.options import Options
+from ..plans.storage import stored
 from . import identity, structured
 
 #: Columns of a value's context; a scan adds those that a table lacks as nulls.
@@ -78,8 +79,9 @@ def scan_collection(values: DataFrame, options: Options = Options()) -> DataFram
     """
     from .profiles import with_profiles
 
-    values = with_context(with_profiles(with_context(values)))
-    first = with_findings(values, options)
+    # The profiled values are read by both passes, the first pass's findings by the seeds and by the result.
+    values = stored(with_context(with_profiles(with_context(values))))
+    first = stored(with_findings(values, options))
     if not options.detect_names or not (options.on("PERSON") or options.on("PLACE")):
         return exploded(first)
     own = first.select("doc_id", "value_seq", F.posexplode_outer(F.expr(identity.seeds_of("findings"))).alias("at", "seed")).filter("at is not null")

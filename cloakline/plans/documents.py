@@ -19,6 +19,7 @@ from ..operators.redaction import finalised, numbered, redact_findings
 from ..operators.scan import scan_collection, scan_values
 from ..sources import parsers
 from .options import Options
+from .storage import stored
 
 PLACES = ("table_index", "row_index", "column_index", "sheet_index", "segment_index")
 FIELDS = (
@@ -96,7 +97,7 @@ def scan_documents(documents: DataFrame, options: Options = Options()) -> DataFr
 
     Spans of text are of the document, spans of cells are of the cell.
     """
-    values = document_values(documents)
+    values = stored(document_values(documents))
     whole = scan_values(values.filter("unit = 'whole'"), options)
     pipes = values.filter("unit = 'pipe'").selectExpr("*", "'PERSON' as label", "'identity' as category", "0.8D as confidence", "span_start as start", "span_stop as stop", "value as original", "array('pipe_row_person_context') as reasoning")
     # Readings of one document share no profile and no seeds: their key is the document and the reading.
@@ -106,7 +107,7 @@ def scan_documents(documents: DataFrame, options: Options = Options()) -> DataFr
     text = whole.select(*COLUMNS).unionByName(tabled.select(*COLUMNS))
     text = text.unionByName(pipes.select(*COLUMNS))
     plain = finalised(text.filter("reading = 'text'"), ["doc_id", "reading"])
-    every = plain.unionByName(text.filter("reading <> 'text'")).unionByName(found.filter("reading <> 'text'").select(*COLUMNS))
+    every = stored(plain.unionByName(text.filter("reading <> 'text'")).unionByName(found.filter("reading <> 'text'").select(*COLUMNS)))
     # Readings are counted also where they find nothing.
     readings = values.select("doc_id", "reading", "preferred", F.coalesce("sure", F.lit(False)).alias("sure")).distinct()
     totals = readings.join(every.groupBy("doc_id", "reading").agg(F.count("*").alias("total")), ["doc_id", "reading"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
@@ -151,7 +152,7 @@ def redact_documents(documents: DataFrame, findings: DataFrame, mode: str = "red
         mode,
     ).filter("n_replaced > 0")
     changed = cells.groupBy("doc_id", "reading").agg(F.collect_list(F.struct("sheet_index", "row_index", "column_index", "span_start", "span_stop", "output")).alias("cells"), F.sum("n_replaced").alias("n_replaced"))
-    changed = changed.unionByName(texts.filter("n_replaced > 0").select("doc_id", "reading", F.col("n_replaced").cast("long").alias("n_replaced"), F.col("output").alias("whole")), allowMissingColumns=True)
+    changed = changed.unionByName(texts.filter("n_replaced > 0 or reading = 'docx'").select("doc_id", "reading", F.col("n_replaced").cast("long").alias("n_replaced"), F.col("output").alias("whole")), allowMissingColumns=True)
     name = F.col("name").cast("string") if "name" in documents.columns else F.lit(None).cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("name"), "content" if binary else F.col("text").cast("string").alias("text")).join(changed, "doc_id", "left").select("doc_id", "name", "content" if binary else "text", "reading", "whole", "cells", "n_replaced")
 
@@ -165,7 +166,7 @@ def redact_documents(documents: DataFrame, findings: DataFrame, mode: str = "red
                 elif whole is not None:
                     text = whole
                 elif binary:
-                    text = parsers.document_text(body) if (own or "").lower().endswith(".docx") else None
+                    text = None  # refused
                 else:
                     text = rewritten(reading, body or "", cells_) if cells_ else body
                 out.append(text)
