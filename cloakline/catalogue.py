@@ -35,13 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A plain scan's rows over all cores where the files give fewer tasks than that, as one small file does; larger inputs aren't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else rows
+
+
 def sample_values(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(samples.VALUES), "doc_id long, label string, category string, value string, key_hint string")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents and our samples, as values without a field."""
-    own = table(spark, sf_dir, "documents").selectExpr("doc_id", "text as value")
+    own = dealt(table(spark, sf_dir, "documents").selectExpr("doc_id", "text as value"))
     return with_context(own.union(sample_values(spark).select("doc_id", "value"))).withColumn("kind", F.lit("text"))
 
 
@@ -138,7 +144,7 @@ def detect_drivers_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT page_id, 'EMAIL' AS label, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id AS page_id FROM {spans_sql('(SELECT page_id AS doc_id, html AS value FROM pages)', 'EMAIL')}) GROUP BY 1 UNION ALL SELECT page_id, 'BIC', count(*) FROM (SELECT doc_id AS page_id FROM {spans_sql('(SELECT page_id AS doc_id, html AS value FROM pages)', 'BIC')} WHERE regexp_matches(original, {re2('BIC_COUNTRY')})) GROUP BY 1",
 )
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_context(table(spark, sf_dir, "pages").selectExpr("page_id", "html as value")).withColumn("kind", F.lit("text"))
+    rows = with_context(dealt(table(spark, sf_dir, "pages").selectExpr("page_id", "html as value"))).withColumn("kind", F.lit("text"))
     return found(rows, ("EMAIL", "BIC")).groupBy("page_id", "label").agg(F.count("*").alias("n"))
 
 
