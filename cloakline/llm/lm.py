@@ -36,7 +36,7 @@ from .common import SEED, Lexicon, Scratch, as_bytes, batches_of, chain, input_s
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", SEED))
 WORDS, PAIRS = 1, 2
 #: Bits set for a level of an n-gram, and filter bits for it.
-BITS, SPACE = 4, 14
+BITS, SPACE = 4, 10
 LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
