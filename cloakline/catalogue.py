@@ -119,7 +119,24 @@ def detect_url_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(texts(spark, sf_dir), ("URL_SECRET",)).select(*FOUND)
 
 
-@query("detect_street_address")
+def trimmed_sql(v: str) -> str:
+    return f"regexp_replace({v}, '^\\s+|\\s+$', '', 'g')"
+
+
+def address_sql(v: str, t: str) -> str:
+    """DuckDB: a trimmed value v with the tokens t reads as an address."""
+    not_these = " AND ".join(f"NOT regexp_matches({v}, {re2(n)})" for n in ("NOT_ADDRESS", "DATE", "EMAIL_VALUE", "PHONE_VALUE", "IPV4_VALUE", "IPV4_CIDR_VALUE"))
+    near = f"list_bool_or(list_transform(generate_series(1, len({t})), lambda i: regexp_matches({t}[i], {re2('HOUSE_NUMBER')}) AND list_bool_or(list_transform(generate_series(1, len({t})), lambda j: regexp_matches({t}[j], {re2('STREET_WORD')}) AND abs(i - j) <= 5))))"
+    return f"length({v}) BETWEEN 5 AND 160 AND regexp_matches({v}, '[0-9]') AND regexp_matches({v}, '\\p{{Latin}}') AND {not_these} AND len({t}) BETWEEN 2 AND 10 AND len(list_filter({t}, lambda x: regexp_matches(x, '[0-9]'))) <= 2 AND coalesce({near}, FALSE)"
+
+
+@query(
+    "detect_street_address",
+    f"""WITH l AS (SELECT doc_id, start, regexp_replace(original, '\r$', '') AS line FROM {spans_sql(TEXTS_SQL, '[^\n]+')} m),
+    p AS (SELECT doc_id, start, line, 1 AS k, {trimmed_sql("substr(line, strpos(line, ':') + 1)")} AS v FROM l WHERE contains(line, ':') UNION ALL SELECT doc_id, start, line, 2, {trimmed_sql('line')} FROM l),
+    t AS (SELECT *, regexp_extract_all(v, {re2('ADDRESS_TOKEN')}) AS t FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY k) AS rn FROM t WHERE {address_sql('v', 't')})
+    SELECT doc_id, CAST(start + strpos(line, v) - 1 AS INTEGER) AS start, CAST(start + strpos(line, v) - 1 + length(v) AS INTEGER) AS stop, v AS original, CAST(CASE WHEN regexp_matches(v, {re2('POSTAL_CODE')}) THEN 780 ELSE 720 END AS INTEGER) AS conf_milli FROM o WHERE rn = 1""",
+)
 def detect_street_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(texts(spark, sf_dir), ("STREET_ADDRESS",)).select(*FOUND)
 
@@ -331,7 +348,19 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pseudonym", F.expr(text.pseudonym("label", "original")))
 
 
-@query("pseudonymise_documents")
+_PSEUDONYM_SQL = """CASE label WHEN 'EMAIL' THEN 'user+' || substr(stream, 1, 10) || '@example.test' WHEN 'IPV4' THEN '198.51.100.' || CAST(seed % 253 + 1 AS VARCHAR)
+      WHEN 'CREDIT_CARD' THEN '4111 1111 ' || substr(CAST(seed % 10000 + 1000 AS VARCHAR), 1, 4) || ' ' || substr(CAST((seed >> 2) % 10000 + 1000 AS VARCHAR), 1, 4) ELSE 'redact-' || substr(stream, 1, 16) END"""
+
+
+@query(
+    "pseudonymise_documents",
+    WITH_SIMPLE + "g AS (SELECT * FROM f WHERE conf_milli >= 800), " + _ISLANDS + f""",
+    k AS (SELECT c.doc_id, c.start, c.stop, c.label, c.label || ':' || substr(t.value, c.start + 1, c.stop - c.start) AS k, t.value FROM c JOIN {TEXTS_SQL} t ON t.doc_id = c.doc_id),
+    h AS (SELECT *, {_HASH} AS seed FROM k), s AS (SELECT *, {_STEPS} FROM h), w AS (SELECT *, {_STREAM} AS stream FROM s),
+    p AS (SELECT *, {_PSEUDONYM_SQL} AS mask, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM w),
+    r AS (SELECT doc_id, string_agg(substr(value, before + 1, start - before) || mask, '' ORDER BY start) AS head, max(stop) AS last, count(*) AS n FROM p GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(r.head || substr(t.value, r.last + 1), t.value) AS pseudonymised_text, CAST(coalesce(r.n, 0) AS INTEGER) AS n_replaced FROM {TEXTS_SQL} t LEFT JOIN r ON r.doc_id = t.doc_id""",
+)
 def pseudonymise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = redaction.redact_values(with_findings(texts(spark, sf_dir), only=SIMPLE), 0.8, "pseudo")
     return rows.select("doc_id", F.col("output").alias("pseudonymised_text"), "n_replaced")
@@ -417,7 +446,7 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shapes_sql(v: str) -> str:
-    """DuckDB: shape labels of a value, but for street addresses, which these columns don't hold."""
+    """DuckDB: shape labels of a trimmed value."""
     d = f"length(regexp_replace({v}, '[^0-9]', '', 'g'))"
     whole = lambda name, x=v: f"regexp_matches({x}, {re2(name)})"
     date = f"regexp_matches({v}, {re2('DATE')})"
@@ -425,7 +454,7 @@ def _shapes_sql(v: str) -> str:
         ("EMAIL", whole("EMAIL_VALUE")), ("PHONE", f"{whole('PHONE_VALUE')} AND NOT {date} AND {d} BETWEEN 7 AND 15"), ("CREDIT_CARD", whole("CARD_VALUE")), ("IBAN", whole("IBAN_VALUE", f"upper(regexp_replace({v}, '\\s+', ' ', 'g'))")),
         ("BIC", whole("BIC_VALUE", f"upper({v})")), ("VAT_ID", whole("VAT_VALUE", f"upper(regexp_replace({v}, '[\\s.-]', '', 'g'))")), ("IPV4_CIDR", whole("IPV4_CIDR_VALUE")), ("IPV4", whole("IPV4_VALUE")), ("IPV6", whole("IPV6_VALUE")),
         ("MAC_ADDRESS", whole("MAC_VALUE")), ("VIN", whole("VIN_VALUE")), ("PASSPORT", f"{whole('PASSPORT_VALUE')} AND regexp_matches({v}, '[A-Z]') AND regexp_matches({v}, '[0-9]')"), ("DRIVERS_LICENSE", whole("LICENSE_VALUE")),
-        ("US_TAX_ID", whole("TAX_VALUE")), ("POTENTIAL_SECRET", whole("SECRET_VALUE")), ("PERSON", f"NOT {date} AND {whole('PERSON_VALUE')} AND regexp_matches({v}, '\\s')"), ("PLACE", f"NOT {date} AND {whole('PERSON_VALUE')}"),
+        ("US_TAX_ID", whole("TAX_VALUE")), ("POTENTIAL_SECRET", whole("SECRET_VALUE")), ("STREET_ADDRESS", address_sql(v, f"regexp_extract_all({v}, {re2('ADDRESS_TOKEN')})")), ("PERSON", f"NOT {date} AND {whole('PERSON_VALUE')} AND regexp_matches({v}, '\\s')"), ("PLACE", f"NOT {date} AND {whole('PERSON_VALUE')}"),
         ("ORG", f"NOT {date} AND {whole('ORG_VALUE')} AND regexp_matches({v}, '\\p{{Latin}}')"),
     ]
     return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{label}' END" for label, t in tests) + "], lambda x: x IS NOT NULL)"
@@ -446,7 +475,7 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.column_profiles(keyed).select("group_key", "label", "n", "total", "hinted")
 
 
-@query("value_shapes")
+@query("value_shapes", f"SELECT doc_id, array_to_string({_shapes_sql('v')}, ',') AS shapes FROM (SELECT doc_id, {trimmed_sql('value')} AS v FROM {SAMPLES_SQL})")
 def value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_values(spark).select("doc_id", F.array_join(F.expr(shape_labels("value")), ",").alias("shapes"))
 

@@ -78,8 +78,10 @@ def tokens(value: str) -> str:
 
 
 def same_tokens(left: str, right: str) -> str:
-    """As many tokens, each equal or, from four letters on, within one edit."""
-    return f"(size({left}) > 0 and size({left}) = size({right}) and forall(zip_with({left}, {right}, (p, q) -> p = q or length(p) >= 4 and length(q) >= 4 and levenshtein(p, q, 1) >= 0), e -> e))"
+    """As many tokens, each equal or, from four letters on, within one edit. The first tokens are compared alone before arrays are walked."""
+    near = "p = q or length(p) >= 4 and length(q) >= 4 and abs(length(p) - length(q)) <= 1 and levenshtein(p, q, 1) >= 0"
+    first = near.replace("(p)", "(_p)").replace("(q)", "(_q)").replace("p = q", "_p = _q").replace("(p, q, 1)", "(_p, _q, 1)").replace("_p", f"get({left}, 0)").replace("_q", f"get({right}, 0)")
+    return f"(size({left}) > 0 and size({left}) = size({right}) and ({first}) and (size({left}) = 1 or forall(zip_with({left}, {right}, (p, q) -> {near}), e -> e)))"
 
 
 def units(value: str) -> str:
