@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import samples
 from .functions import text
 from .functions.evidence import Context, evidence, shape_labels
-from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, GENERIC_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2
+from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2
 from .operators import identity, profiles, redaction, scan, words
 from .operators.scan import exploded, scan_values, with_context, with_findings
 from .plans import documents as plan
@@ -235,12 +235,44 @@ def identity_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_rows(spark, sf_dir, identity.labelled("value", scan.HERE))
 
 
-@query("identity_contact_lines")
+def listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_LINES_SQL = f"(SELECT doc_id, start, regexp_replace(original, '\\r$', '') AS line FROM {spans_sql(TEXTS_SQL, '[^' + chr(92) + 'n]+')} m)"
+
+
+@query(
+    "identity_contact_lines",
+    f"""WITH l AS (SELECT doc_id, start, string_split(line, ',') AS raw FROM {_LINES_SQL} WHERE contains(line, ',') AND contains(line, '@')),
+    q AS (SELECT l.doc_id, l.start, l.raw, r.i FROM l, LATERAL (SELECT unnest(generate_series(1, len(l.raw))) AS i) r),
+    z AS (SELECT doc_id, start, i, {trimmed_sql('raw[i]')} AS p, start + coalesce(list_sum(list_transform(raw[1:i - 1], lambda x: length(x) + 1)), 0) + length(raw[i]) - length(regexp_replace(raw[i], '^\\s+', '')) AS place FROM q),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, start) AS n FROM z WHERE p <> ''),
+    m AS (SELECT *, min(CASE WHEN regexp_matches(p, {re2('EMAIL_LOOSE')}) THEN k END) OVER (PARTITION BY doc_id, start) AS mail FROM n WHERE n BETWEEN 2 AND 6),
+    c AS (SELECT *, min(CASE WHEN k > mail AND lower(p) IN ({listed(COUNTRIES)}) THEN k END) OVER (PARTITION BY doc_id, start) AS country FROM m WHERE mail IS NOT NULL)
+    SELECT doc_id, CASE WHEN k < mail THEN 'PERSON' ELSE 'PLACE' END AS label, CAST(place AS INTEGER) AS start, CAST(place + length(p) AS INTEGER) AS stop, p AS original, CAST(CASE WHEN k > mail THEN 720 WHEN n = 2 THEN 780 ELSE 740 END AS INTEGER) AS conf_milli FROM c
+    WHERE (k < mail AND regexp_matches(p, {re2('NAME')})) OR (k > mail AND regexp_matches(p, {re2('PLACE_NAME')}) AND (k = country OR (k = country - 1 AND country > mail + 1)))""",
+)
 def identity_contact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_rows(spark, sf_dir, identity.contact_lines("value"))
 
 
-@query("identity_standalone_names")
+_PLACED = "list_sum(list_transform({gs}[1:{i}], lambda x: length(x))) + coalesce(list_sum(list_transform({ms}[1:{i} - 1], lambda x: length(x))), 0)"
+
+
+@query(
+    "identity_standalone_names",
+    f"""WITH t AS (SELECT doc_id, start + strpos(line, {trimmed_sql('line')}) - 1 AS start, {trimmed_sql('line')} AS t FROM {_LINES_SQL} WHERE {trimmed_sql('line')} <> ''),
+    g AS (SELECT *, string_split_regex(t, '\\s+') AS raw, regexp_matches(t, {re2('NAME')}) AS alone FROM t WHERE NOT regexp_matches(t, '[,@0-9]') AND NOT regexp_matches(t, {re2('NOT_A_NAME')}) AND lower(t) NOT IN ({listed(COUNTRIES)}) AND NOT list_has_any(string_split_regex(lower(t), '\\s+'), [{listed(NON_NAME_TOKENS)}])),
+    k AS (SELECT DISTINCT doc_id, lower(raw[1] || ' ' || raw[2]) AS pair FROM g WHERE alone AND len(raw) = 2),
+    a AS (SELECT *, regexp_extract_all(t, '\\S+') AS ms, string_split_regex(t, '\\S+') AS gs FROM g WHERE NOT alone AND len(raw) BETWEEN 4 AND 20 AND len(raw) % 2 = 0),
+    u AS (SELECT a.doc_id, a.start, a.t, a.ms, a.gs, r.i, lower(a.raw[r.i] || ' ' || a.raw[r.i + 1]) AS pair FROM a, LATERAL (SELECT unnest(generate_series(1, len(a.raw) - 1, 2)) AS i) r),
+    v AS (SELECT u.*, count(*) OVER (PARTITION BY u.doc_id, u.start, u.pair) > 1 OR k.pair IS NOT NULL AS ok FROM u LEFT JOIN k ON k.doc_id = u.doc_id AND k.pair = u.pair),
+    w AS (SELECT *, bool_and(ok) OVER (PARTITION BY doc_id, start) AS fine FROM v),
+    e AS (SELECT doc_id, start, start + length(t) AS stop, t AS original FROM g WHERE alone UNION ALL
+      SELECT doc_id, start + {_PLACED.format(gs='gs', ms='ms', i='i')}, start + {_PLACED.format(gs='gs', ms='ms', i='(i + 1)')} + length(ms[i + 1]), substr(t, CAST({_PLACED.format(gs='gs', ms='ms', i='i')} + 1 AS BIGINT), CAST({_PLACED.format(gs='gs', ms='ms', i='(i + 1)')} + length(ms[i + 1]) - ({_PLACED.format(gs='gs', ms='ms', i='i')}) AS BIGINT)) FROM w WHERE fine)
+    SELECT doc_id, 'PERSON' AS label, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, original, CAST(greatest(CASE WHEN count(*) OVER (PARTITION BY doc_id) >= 2 THEN 840 ELSE 630 END, CASE WHEN list_bool_and(list_transform(string_split_regex(original, '\\s+'), lambda x: regexp_matches(x, {re2('PROPER_TOKEN')}))) THEN 820 ELSE 630 END) AS INTEGER) AS conf_milli FROM e""",
+)
 def identity_standalone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_rows(spark, sf_dir, identity.name_lines("value", identity.NO_SEEDS))
 
