@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import replacement
+from ..functions.text import RUN, replacement
 from ..plans.options import THRESHOLDS
 
 SPAN = "struct<start:int,stop:int,label:string,confidence:double,reasoning:array<string>>"
@@ -14,22 +14,35 @@ SPAN = "struct<start:int,stop:int,label:string,confidence:double,reasoning:array
 def collapse(findings: str, mode: str) -> str:
     """Disjoint spans of an array of findings, inside the row: overlapping ones merge, those that touch don't.
 
-    A merged span takes the label of the first finding with the highest confidence; when redacting it is REDACTED.
+    A merged span takes the label of the first finding with the highest confidence; when redacting it is REDACTED. Closed
+    spans are gathered in runs, so that appending copies few of them.
     """
     ordered = f"array_sort(filter({findings}, f -> f.stop > f.start), (l, r) -> case when l.start <> r.start then l.start - r.start when l.stop <> r.stop then l.stop - r.stop when l.confidence > r.confidence then -1 when l.confidence < r.confidence then 1 else 0 end)"
-    last = "element_at(a, -1)"
-    label = "'REDACTED'" if mode == "redact" else f"if(x.confidence > {last}.confidence, x.label, {last}.label)"
-    merged = f"named_struct('start', {last}.start, 'stop', greatest({last}.stop, x.stop), 'label', {label}, 'confidence', greatest({last}.confidence, x.confidence), 'reasoning', array_distinct(concat({last}.reasoning, x.reasoning, array('overlap_collapsed'))))"
+    label = "'REDACTED'" if mode == "redact" else "if(x.confidence > c.last.confidence, x.label, c.last.label)"
+    merged = f"named_struct('start', c.last.start, 'stop', greatest(c.last.stop, x.stop), 'label', {label}, 'confidence', greatest(c.last.confidence, x.confidence), 'reasoning', array_distinct(concat(c.last.reasoning, x.reasoning, array('overlap_collapsed'))))"
     own = "named_struct('start', x.start, 'stop', x.stop, 'label', x.label, 'confidence', x.confidence, 'reasoning', x.reasoning)"
-    return f"aggregate({ordered}, cast(array() as array<{SPAN}>), (a, x) -> case when size(a) = 0 then array({own}) when x.start >= {last}.stop then concat(a, array({own})) else concat(slice(a, 1, size(a) - 1), array({merged})) end)"
+    none = f"cast(null as {SPAN})"
+    step = f"""case when c.last is null then named_struct('last', {own}, 'out', c.out)
+      when x.start >= c.last.stop then named_struct('last', {own}, 'out', concat(c.out, array(c.last))) else named_struct('last', {merged}, 'out', c.out) end"""
+    run = f"aggregate(slice(o, b * {RUN} + 1, {RUN}), named_struct('last', a.last, 'out', cast(array() as array<{SPAN}>)), (c, x) -> {step})"
+    return f"""get(transform(array({ordered}), o -> if(size(o) = 0, cast(array() as array<{SPAN}>),
+      aggregate(sequence(0, (size(o) - 1) div {RUN}), named_struct('last', {none}, 'out', cast(array() as array<array<{SPAN}>>)),
+        (a, b) -> get(transform(array({run}), k -> named_struct('last', k.last, 'out', concat(a.out, array(k.out)))), 0),
+        a -> flatten(concat(a.out, array(array(a.last))))))), 0)"""
 
 
 def spliced(value: str, spans: str, mode: str) -> str:
-    """The value with each of its disjoint, ordered spans replaced; built from left to right."""
-    original = f"substring({value}, s.start + 1, s.stop - s.start)"
-    return f"""aggregate({spans}, named_struct('at', 0, 'out', ''),
-      (a, s) -> named_struct('at', s.stop, 'out', concat(a.out, substring({value}, a.at + 1, s.start - a.at), {replacement('s.label', original, mode)})),
-      a -> concat(a.out, substring({value}, a.at + 1)))"""
+    """The value with each of its disjoint, ordered spans replaced; spans is a column.
+
+    A run of spans is cut from the value once and its pieces from that, as a place in a string is found by counting from its start.
+    """
+    before = "(coalesce(get(r.p, i - 1).stop, r.base) - r.base)"
+    original = "substring(t, s.start - r.base + 1, s.stop - s.start)"
+    piece = f"concat(substring(t, {before} + 1, s.start - r.base - {before}), {replacement('s.label', original, mode)})"
+    run = f"named_struct('p', slice({spans}, b * {RUN} + 1, {RUN}), 'base', coalesce(get({spans}, b * {RUN} - 1).stop, 0))"
+    text = f"get(transform(array({run}), r -> get(transform(array(substring({value}, r.base + 1, element_at(r.p, -1).stop - r.base)), t -> array_join(transform(r.p, (s, i) -> {piece}), '')), 0)), 0)"
+    runs = f"transform(sequence(0, (size({spans}) - 1) div {RUN}), b -> {text})"
+    return f"if(size({spans}) = 0, {value}, concat(array_join({runs}, ''), substring({value}, element_at({spans}, -1).stop + 1)))"
 
 
 def redact_values(scanned: DataFrame, threshold: float = THRESHOLDS["high"], mode: str = "redact") -> DataFrame:
