@@ -168,7 +168,7 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_conversations")
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as values of one document each conversation: seeds of names spread over a conversation."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("value_seq"), F.col("text").alias("value"), F.lit("text").alias("kind"))
+    rows = dealt(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("value_seq"), F.col("text").alias("value"), F.lit("text").alias("kind"))
     return scan.scan_collection(rows).select("doc_id", "value_seq", "label", "start", "stop", "original", F.col("milli").alias("conf_milli"))
 
 
