@@ -1,0 +1,78 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from cloakline.llm import minhash
+from cloakline.llm.common import Lexicon
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, n):
+    copy = list(words)
+    for at in rng.sample(range(len(copy)), n):
+        copy[at] = f"e{rng.random()}"
+    return copy
+
+
+def brute(rows):
+    """Ids that stay: the smallest of each component of pairs of similarity 0.8 or more."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if alike(sets[i], sets[j]) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(i, least.get(r, i))
+    return set(least.values())
+
+
+def test_stage_links_at_similarity_and_no_further(spark):
+    rng, texts = random.Random(5), []
+    for g in range(20):
+        words = [f"g{g}w{rng.randrange(900)}" for _ in range(rng.choice((120, 300)))]
+        texts.append(" ".join(words))
+        for n in (1, 2, 3, 5, 8, 12):
+            texts.append(" ".join(edited(rng, words, n)))
+    line = "this line stands in all of these texts again and again without any end".split()
+    texts += [" ".join(line * 20 + [f"own{k}x{j}" for j in range(60)]) for k in range(30)]
+    texts += [None, "", " \t", "short text", "Short  text", "short text too"]
+    ids = rng.sample(range(10_000), len(texts))
+    rows = list(zip(ids, texts))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_recall_of_candidates_at_the_least_similarity():
+    rng, lexicon, met, all_pairs = random.Random(1), Lexicon(), 0, 0
+    while all_pairs < 1000:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 800))]
+        a, b = (minhash.shingle_set(" ".join(w).encode(), lexicon) for w in (words, edited(rng, words, max(1, len(words) // 48))))
+        if 0.8 <= minhash.jaccard(a, b) < 0.85:
+            all_pairs += 1
+            x, y = minhash.minima(a), minhash.minima(b)
+            agree = sum(p == q for p, q in zip(minhash.short(x), minhash.short(y)))
+            met += bool((minhash.band_keys(x) == minhash.band_keys(y)).any()) and agree >= minhash.LEAST_SAME
+    assert met >= 995
+
+
+def test_links_connect_what_pairs_connect():
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((base[3 * k :], np.arange(1000, 1000 + 3 * k, dtype=np.uint64)))) for k in range(12)]
+    root = list(range(12))
+    for _ in sets:
+        for x, y in minhash.exact_links(sets, 0.8):
+            assert minhash.jaccard(sets[x], sets[y]) >= 0.8
+            root[x] = root[y] = min(root[x], root[y])
+    assert set(root) == {0}
