@@ -117,7 +117,10 @@ def _made(rows: DataFrame, label: str, category: str, confidence: float, reason:
 
 
 def form_heuristics(line_rows: DataFrame, pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """Name fields, document field rows (image mode document_safe), signature blocks of up to four lines, sign-off names."""
+    """Name fields, document field rows (image mode document_safe), signature blocks of up to four lines, sign-off names.
+
+    Fixed values: the trigger words, margins and confidences.
+    """
     own = "named_struct('x0', cast(x0 as double), 'y0', cast(y0 as double), 'x1', cast(x1 as double), 'y1', cast(y1 as double))"
     order = Window.partitionBy("doc_id", "page").orderBy("line_no")
     rows = line_rows.join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"]).withColumn("own", F.expr(own)).withColumn("preview_path", F.concat(F.lit("Page "), "page")).withColumn("lower", F.lower("text"))
@@ -145,7 +148,10 @@ def form_heuristics(line_rows: DataFrame, pages: DataFrame, options: Options = O
 
 
 def passport_zones(line_rows: DataFrame, pages: DataFrame, options: Options = Options(), aggressive: bool = False) -> DataFrame:
-    """Machine-readable lines in the lowest 36 % of passport-like images, and passport numbers on their right side; when aggressive, all text of the page's body."""
+    """Machine-readable lines in the lowest 36 % of passport-like images, and passport numbers on their right side; when aggressive, all text of the page's body.
+
+    Fixed values: the trigger words, shares of the page, margins and confidences.
+    """
     own = "named_struct('x0', cast(x0 as double), 'y0', cast(y0 as double), 'x1', cast(x1 as double), 'y1', cast(y1 as double))"
     of_doc = Window.partitionBy("doc_id", "page")
     rows = line_rows.join(pages.select("doc_id", "page", "width", "height", "name"), ["doc_id", "page"]).withColumn("own", F.expr(own)).withColumn("preview_path", F.concat(F.lit("ocr.line_"), "line_no"))

@@ -14,8 +14,9 @@ from cloakline.streaming import redact_stream, scan_stream
 
 #: Worked out by hand from the published hash and generator constants.
 PSEUDONYMS = [
-    ("EMAIL", "alice@example.com", "user+5f2tsb10lj@example.test"), ("PERSON", "James Wright", "Person_1l8y5f21"), ("PLACE", "Helsinki", "Place_ova5li"), ("ORG", "Acme Holdings Ltd", "Org_kidgpg1"),
-    ("IPV4", "203.0.113.42", "198.51.100.53"), ("IPV6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::9ec2"), ("CREDIT_CARD", "4111 1111 1111 1111", "4111 1111 6242 9810"), ("SSN", "123-45-6789", "redact-uu6z2h1t18btg18i"),
+    ("EMAIL", "ivo.b@post.example", "user+1hugsfw7ph@example.test"), ("PERSON", "Ivo Brandt", "Person_1kyts5kf"), ("PLACE", "Bergen", "Place_157gun"),
+    ("ORG", "Ekdahl Verk AB", "Org_6bbwai1"), ("IPV4", "203.0.113.77", "198.51.100.179"), ("IPV6", "2001:db8:0:7::9", "2001:db8::7d29"),
+    ("CREDIT_CARD", "4000 0000 0000 0002", "4111 1111 7703 2675"), ("SSN", "078-05-1120", "redact-1idltj01sin5kb1p"),
 ]
 
 
