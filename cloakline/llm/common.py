@@ -32,12 +32,14 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cloakline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -79,7 +81,9 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def as_texts(column: pa.Array) -> list[str]:
-    """Texts of a string column; null counts as empty."""
+    """Texts of a column, cast to strings; null counts as empty."""
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.string())
     return [x or "" for x in column.to_pylist()]
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Lexicon, as_texts, batches_of, quiet, shingle_hashes, small_batches
 
@@ -138,32 +139,42 @@ class ItemIndex:
         return [best[x] for x in sorted(best)]
 
 
+class Items:
+    """A group of items, as it is broadcast; its index is built once in each worker."""
+
+    def __init__(self, items: list[tuple[int, str]], shingle: int):
+        self.items, self.shingle, self.built = items, shingle, None
+
+    def index(self) -> ItemIndex:
+        self.built = self.built or ItemIndex(self.items, self.shingle)
+        return self.built
+
+
 MATCHES = "array<struct<item_id:long,start_word:long,n_words:long,distance:int,similarity:double>>"
 
 
-def with_matches(documents: DataFrame, items: list[tuple[int, str]], least: float, shingle: int, keep: list[str]) -> DataFrame:
-    """The columns to keep and `matches` of every row, for one group of items."""
+def with_matches(documents: DataFrame, items: list[tuple[int, str]], least: float, shingle: int) -> DataFrame:
+    """own (each row, as a struct) and `matches`, for one group of items."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((items, shingle))
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"matches {MATCHES}"])
+    shared = spark.sparkContext.broadcast(Items(items, shingle))
+    text = documents.columns.index("text")
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
     fields = ("item_id", "start_word", "n_words", "distance", "similarity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, lexicon = None, Lexicon()
+        lexicon = Lexicon()
         for b in batches_of(batches):
-            index = index or ItemIndex(*shared.value)
+            index = shared.value.index()
             if lexicon.full():
                 lexicon.reset()
             found = []
-            for text in as_texts(b.column(len(keep))):
-                ids = lexicon.ids(WORD.findall(text.lower()))
+            for t in as_texts(b.column(0).field(text)):
+                ids = lexicon.ids(WORD.findall(t.lower()))
                 found.append([dict(zip(fields, m)) for m in index.matches(lexicon.array()[ids], least)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, arrow)], names=[*keep, "matches"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, arrow)], names=["own", "matches"])
 
-    return documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("own")).mapInArrow(run, StructType().add("own", documents.schema).add(StructType.fromDDL(f"matches {MATCHES}")[0]))
 
 
 def item_groups(items: DataFrame, group_items: int) -> Iterator[list[tuple[int, str]]]:
@@ -179,7 +190,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, least: float = 0.8, shingle
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for group in item_groups(items, group_items):
-        own = with_matches(rows, group, least, shingle, ["doc_id"]).select("doc_id", F.inline("matches"))
+        own = with_matches(rows, group, least, shingle).select("own.doc_id", F.inline("matches"))
         out = own if out is None else out.union(own)
     if out is None:
         out = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double")
@@ -190,5 +201,5 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, least: float = 0.8,
     """The documents that hold no item, as they are."""
     columns = documents.columns
     for group in item_groups(items, group_items):
-        documents = with_matches(documents.drop("matches"), group, least, shingle, [c for c in columns if c != "matches"]).filter(F.size("matches") == 0).drop("matches")
+        documents = with_matches(documents, group, least, shingle).filter(F.size("matches") == 0).select(*(F.col("own").getField(c).alias(c) for c in columns))
     return documents

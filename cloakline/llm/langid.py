@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import batches_of, quiet, small_batches
 from .sampling import bounded_sample
@@ -166,6 +167,8 @@ def fit(training: DataFrame, *, buckets: int = 1 << 17, sample_rows: int = 500,
     # The sample's sparse rows, sample_rows for each language, come to the driver.
     sample = bounded_sample(training, "lang", sample_rows).select("lang", "text").mapInArrow(features, "lang string, at array<int>, tf array<float>").toArrow().to_pydict()
     languages = sorted(set(sample["lang"]))
+    if not languages:
+        return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, buckets)
     labels = np.array([languages.index(x) for x in sample["lang"]])
     rows = [(np.array(a), np.array(t) * idf[a] * scale) for a, t in zip(sample["at"], sample["tf"])]
     turn = np.random.default_rng(7).permutation(len(rows))
@@ -175,19 +178,28 @@ def fit(training: DataFrame, *, buckets: int = 1 << 17, sample_rows: int = 500,
     return LanguageModel(languages, (w * idf[:, None] * scale).astype(np.float32), bias, fit_temperature(logits, labels[held]), buckets)
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of a table with lang_pred and score added (columns of these names are replaced)."""
+def predicted(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """own (each row, as a struct), lang_pred and score."""
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # buckets x languages float32
-    kept = [f for f in documents.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    text = [f.name for f in kept].index("text")
+    text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches_of(batches):
-            got = [own.predict(t) for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
+            got = [own.predict(t) for t in b.column(0).field(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["own", "lang_pred", "score"])
+
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("own")).mapInArrow(run, StructType().add("own", documents.schema).add("lang_pred", "string").add("score", "double"))
+
+
+def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of a table with lang_pred and score added (columns of these names are replaced)."""
+    return predicted(documents, model).select(*(F.col("own").getField(c).alias(c) for c in documents.columns if c not in ("lang_pred", "score")), "lang_pred", "score")
+
 
-    return documents.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+def of_known_language(documents: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows whose language is found with a score of `least` or more, as they are."""
+    rows = predicted(documents, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return rows.select(*(F.col("own").getField(c).alias(c) for c in documents.columns))

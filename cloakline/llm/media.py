@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds every magic number in one pass over the bytes; a validator of that format then reads
 the structure (chunk lengths, checksums, headers) from there and gives the end, or refuses. A valid medium at byte 0
 decides the type and corrects a wrong declared one; valid media further in are carved as spans. Spans don't overlap:
-what starts inside an accepted medium belongs to it.
+what starts inside an accepted medium belongs to it. A TIFF reaches to the last byte that its directories name, a FLAC to
+the last frame whose checksum holds.
 
 Defined cases: null or empty bytes have type "empty" and no spans; bytes without a valid medium at 0 have type "text"
 if they are UTF-8 without control characters, else "binary"; null declared types are corrected; repeated rows give
@@ -139,18 +140,80 @@ def _riff(data: bytes, at: int):
 
 def _aiff(data: bytes, at: int):
     end = at + 8 + u32(data, at + 4, ">")
-    return ("aiff", end) if data[at + 8 : at + 12] in (b"AIFF", b"AIFC") and end <= len(data) else None
+    if data[at + 8 : at + 12] not in (b"AIFF", b"AIFC") or end > len(data):
+        return None
+    seen, here = set(), at + 12
+    while here + 8 <= end:
+        seen.add(data[here : here + 4])
+        here += 8 + u32(data, here + 4, ">")
+        here += here - at & 1
+    return ("aiff", end) if here in (end, end + 1) and b"COMM" in seen else None
+
+
+def crc_table(poly: int, bits: int) -> list[int]:
+    """Remainders of a byte, highest bit first."""
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        r = byte << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ poly if r & top else r << 1) & mask
+        out.append(r)
+    return out
+
+
+CRC8, CRC16 = crc_table(0x07, 8), crc_table(0x8005, 16)
+
+
+def flac_header(data: bytes, at: int) -> tuple[int, int] | None:
+    """(end, samples) of a frame's header whose checksum holds."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
+        return None
+    size, rate = data[at + 2] >> 4, data[at + 2] & 15
+    if not size or rate == 15 or data[at + 3] >> 4 > 10 or data[at + 3] & 1:
+        return None
+    lead, here = data[at + 4], at + 5
+    while lead & 0x80 and lead & 0x40:  # the number's further bytes
+        if data[here] & 0xC0 != 0x80:
+            return None
+        lead, here = lead << 1 & 0xFF, here + 1
+    samples = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << max(0, size - 8)
+    if size in (6, 7):
+        samples = int.from_bytes(data[here : here + size - 5], "big") + 1
+        here += size - 5
+    here += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    check = 0
+    for b in data[at:here]:
+        check = CRC8[check ^ b]
+    return (here + 1, samples) if here < len(data) and data[here] == check else None
 
 
 def _flac(data: bytes, at: int):
-    at, first = at + 4, True
+    at, first, total = at + 4, True, 0
     while True:
         last, kind, n = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
         if first and (kind, n) != (0, 34) or kind == 127 or at + 4 + n > len(data):
             return None
+        if first:
+            total = int.from_bytes(data[at + 17 : at + 22], "big") & (1 << 36) - 1
         at, first = at + 4 + n, False
-        if last:  # frames carry no length: they go on to the end
-            return ("flac", len(data)) if at == len(data) or data[at : at + 1] == b"\xff" else None
+        if last:
+            break
+    # A frame has no length: it ends where the checksum over it comes out as zero and the next one starts, where all samples are there, or, if their number isn't declared, where it first is zero.
+    done = 0
+    while (head := flac_header(data, at)) and not (total and done >= total):
+        check, possible = 0, None
+        done += head[1]
+        for here, b in enumerate(memoryview(data)[at:], at + 1):
+            check = (check << 8 & 0xFFFF) ^ CRC16[check >> 8 ^ b]
+            if not check and here > head[0] + 2:
+                possible = possible or here
+                if total and done >= total or flac_header(data, here):
+                    possible = here
+                    break
+        if possible is None or total and done < total and possible != here:
+            return None
+        at = possible
+    return ("flac", at) if not total or done >= total else None
 
 
 def _ogg(data: bytes, at: int):
@@ -198,37 +261,78 @@ def _pdf(data: bytes, at: int):
     return ("pdf", end + 5) if end > 0 and data.rfind(b"startxref", at, end) > 0 else None
 
 
-def _zip(data: bytes, at: int):
-    end = data.find(b"PK\x05\x06", at)
-    while end > 0 and end + 22 <= len(data):
+def zip_ends(data: bytes) -> dict[int, int]:
+    """Ends of archives by their first byte, read from their end records in one pass; of several the first counts."""
+    out, end = {}, data.find(b"PK\x05\x06")
+    while 0 <= end <= len(data) - 22:
         size, offset, note = *struct.unpack_from("<II", data, end + 12), struct.unpack_from("<H", data, end + 20)[0]
-        if at + offset + size == end and (size == 0 or data[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(data):
-            return "zip", end + 22 + note
+        first = end - offset - size
+        if first >= 0 and end + 22 + note <= len(data) and (size == 0 or data[first + offset : first + offset + 4] == b"PK\x01\x02"):
+            out.setdefault(first, end + 22 + note)
         end = data.find(b"PK\x05\x06", end + 4)
-    return None
+    return out
 
 
 def _gzip(data: bytes, at: int):
-    stream, here = zlib.decompressobj(31), at
+    """Names and comments of at most 4096 bytes are read."""
+    flags, here = data[at + 3], at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        here += 2 + struct.unpack_from("<H", data, here)[0]
+    for flag in (8, 16):
+        if flags & flag:
+            here = data.index(b"\x00", here, here + 4097) + 1
+    here += 2 if flags & 2 else 0
+    stream, check, size, piece = zlib.decompressobj(-15), 0, 0, 256
     while not stream.eof:
-        part = stream.unconsumed_tail or data[here : here + 65536]
+        part = stream.unconsumed_tail
         if not part:
-            return None
-        if not stream.unconsumed_tail:
-            here += len(part)
-        stream.decompress(part, 1 << 20)
-    return "gzip", here - len(stream.unused_data)
+            part, here, piece = data[here : here + piece], here + piece, 65536
+            if not part:
+                return None
+        out = stream.decompress(part, 1 << 20)
+        check, size = zlib.crc32(out, check), size + len(out)
+    here = min(here, len(data)) - len(stream.unused_data)
+    return ("gzip", here + 8) if struct.unpack_from("<II", data, here) == (check, size & 0xFFFFFFFF) else None
+
+
+#: Bytes of a value of each TIFF type from 1 on; pairs of tags that hold places and lengths of strips and tiles.
+TIFF_SIZES = (1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4)
+TIFF_DATA = ((273, 279), (324, 325), (513, 514))
 
 
 def _tiff(data: bytes, at: int):
-    order = "<" if data[at] == 0x49 else ">"
-    first = at + u32(data, at + 4, order)
-    n = struct.unpack_from(order + "H", data, first)[0] if first >= at + 8 else 0
-    kinds = [struct.unpack_from(order + "H", data, first + 2 + 12 * k + 2)[0] for k in range(min(n, 8))]
-    return ("tiff", len(data)) if 0 < n and first + 2 + 12 * n + 4 <= len(data) and all(1 <= k <= 18 for k in kinds) else None
+    order, here, seen, end = "<" if data[at] == 0x49 else ">", u32(data, at + 4, "<" if data[at] == 0x49 else ">"), set(), at + 8
+    while here and here not in seen and len(seen) < 1000:  # directories are a chain
+        seen.add(here)
+        n = struct.unpack_from(order + "H", data, at + here)[0]
+        if not n or here < 8 or at + here + 6 + 12 * n > len(data):
+            return None
+        end, held = max(end, at + here + 6 + 12 * n), {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + here + 2 + 12 * k)
+            if not 1 <= kind <= len(TIFF_SIZES):
+                return None
+            size, place = TIFF_SIZES[kind - 1] * count, at + here + 2 + 12 * k + 8
+            if size > 4:
+                place = at + u32(data, place, order)
+            if place + size > len(data):
+                return None
+            end = max(end, place + size if size > 4 else 0)
+            if kind in (3, 4) and any(tag in pair for pair in TIFF_DATA):
+                held[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", data, place)
+        for places, lengths in TIFF_DATA:
+            if len(held.get(places, ())) != len(held.get(lengths, ())):
+                return None
+            end = max([end, *(at + p + n for p, n in zip(held.get(places, ()), held.get(lengths, ())))])
+        if end > len(data):
+            return None
+        here = u32(data, at + here + 2 + 12 * n, order)
+    return "tiff", end
 
 
-VALID = {"png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "riff": _riff, "aiff": _aiff, "flac": _flac, "ogg": _ogg, "mp3": _mp3, "mp4": _mp4, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "tiff": _tiff}
+VALID = {"png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "riff": _riff, "aiff": _aiff, "flac": _flac, "ogg": _ogg, "mp3": _mp3, "mp4": _mp4, "pdf": _pdf, "gzip": _gzip, "tiff": _tiff}
 
 
 class Sniffer:
@@ -242,13 +346,17 @@ class Sniffer:
 
     def spans(self, data: bytes) -> list[tuple[str, int, int]]:
         """(format, first byte, end) of valid media, in order, none inside another."""
-        out, end = [], 0
+        out, end, archives = [], 0, None
         starts = sorted((last - back, kind) for last, (kind, back) in self.found.iter(data.decode("latin-1")) if last >= back)
         for at, kind in starts:
             if at < end:
                 continue
             try:
-                got = VALID[kind](data, at)
+                if kind == "zip":
+                    archives = zip_ends(data) if archives is None else archives
+                    got = ("zip", archives[at]) if at in archives else None
+                else:
+                    got = VALID[kind](data, at)
             except (IndexError, ValueError, struct.error, zlib.error):  # cut short or broken: not a medium
                 got = None
             if got and got[1] <= len(data):
@@ -313,8 +421,10 @@ SNIFFED = "media_type string, corrected boolean, carved array<struct<type:string
 
 def sniff_media(media: DataFrame, content: str = "media", declared: str = "declared") -> DataFrame:
     """Adds to a table the type that the bytes show, whether it corrects the declared one, carved media, and digests and
-    features of the samples read back from the stored bytes (of the bytes themselves where no samples can be read)."""
-    kept = [f for f in media.schema.fields if f.name not in (content, declared)]
+    features of the samples read back from the stored bytes (of the bytes themselves where no samples can be read). Columns of
+    the table with the names of those are replaced."""
+    made = [x.split()[0] for x in re.split(r", (?=[a-z_0-9]+ )", SNIFFED)]
+    kept = [f for f in media.schema.fields if f.name not in (content, declared, *made)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SNIFFED])
     small_batches(media.sparkSession, 256)
 
@@ -328,8 +438,11 @@ def sniff_media(media: DataFrame, content: str = "media", declared: str = "decla
                 kind, carved = sniffer.sniff(data)
                 payload, shape = data, "raw"
                 if kind == "image/png" and not carved:
-                    width, height, payload = read_png(data)
-                    shape = f"{width}x{height}"
+                    try:
+                        width, height, payload = read_png(data)
+                        shape = f"{width}x{height}"
+                    except (ValueError, KeyError, zlib.error):  # an image of another layout: its bytes as they are
+                        pass
                 carved = [{"type": TYPES[t], "start": s, "length": e - s} for t, s, e in carved]
                 values = np.frombuffer(payload, np.uint8)
                 share = np.bincount(values, minlength=256) / max(1, len(values))
@@ -341,6 +454,6 @@ def sniff_media(media: DataFrame, content: str = "media", declared: str = "decla
             cols = list(zip(*rows))
             span = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
             kinds = [pa.string(), pa.bool_(), span, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*names, *(x.split()[0] for x in re.split(r", (?=[a-z_0-9]+ )", SNIFFED))])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*names, *made])
 
     return media.select(*(F.col(f"`{f.name}`") for f in kept), F.col(content).alias("_content"), F.col(declared).alias("_declared")).mapInArrow(run, schema)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Lexicon, Scratch, as_texts, batches_of, chain, quiet, small_batches
 from .sampling import bounded_sample, fit_logistic, kth_largest, labelled
@@ -70,11 +71,10 @@ class Resampler:
     seed: int
 
 
-def log_weights(documents: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns to keep, log_weight (the average log ratio over a text's n-grams) and n_grams of every row."""
+def log_weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """own (each row, as a struct), log_weight (the average log ratio over a text's n-grams) and n_grams."""
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "log_weight double", "n_grams long"])
+    text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lexicon = shared.value, Lexicon()
@@ -82,13 +82,13 @@ def log_weights(documents: DataFrame, ratios: np.ndarray, keep: list[str]) -> Da
             if lexicon.full():
                 lexicon.reset()
             weights, sizes = [], []
-            for text in as_texts(b.column(len(keep))):
-                found = feature_buckets(text, lexicon, len(own))
+            for t in as_texts(b.column(0).field(text)):
+                found = feature_buckets(t, lexicon, len(own))
                 weights.append(float(own[found].mean()) if len(found) else 0.0)
                 sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=["own", "log_weight", "n_grams"])
 
-    return documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("own")).mapInArrow(run, StructType().add("own", documents.schema).add("log_weight", "double").add("n_grams", "long"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smoothing: float = 1.0, sample_rows: int = 4000, seed: int = 1) -> Resampler:
@@ -97,20 +97,19 @@ def fit(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smoo
     raw, good = bucket_counts(rows.select("text", F.coalesce(F.col("_good") == 1, F.lit(False)).alias("good")), buckets)
     ratios = np.log((good + smoothing) / (good.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets))
     sample = bounded_sample(rows.filter("_good is not null"), "_good", sample_rows)
-    sample = log_weights(sample, ratios, ["_good"]).toPandas()
+    sample = log_weights(sample.select("text", "_good"), ratios).select("own._good", "log_weight").toPandas()
     if not len(sample):
         return Resampler(ratios, 0.0, 1e6, seed)
     slope, start = fit_logistic(sample["log_weight"].to_numpy(float), (sample["_good"].to_numpy() == 1).astype(float))
     return Resampler(ratios, slope, min(start, 1e6), seed)
 
 
-def weigh(documents: DataFrame, model: Resampler, keep: list[str]) -> DataFrame:
-    """The columns to keep with n_grams, log_weight, odds and gumbel_key; Gumbel noise is a function of doc_id and text."""
+def weigh(documents: DataFrame, model: Resampler) -> DataFrame:
+    """own (each row, as a struct) with n_grams, log_weight, odds and gumbel_key; Gumbel noise is a function of doc_id and text."""
     small_batches(documents.sparkSession)
-    uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(model.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = documents.drop("_noise", "n_grams", "log_weight", "odds", "gumbel_key").withColumn("_noise", -F.log(-F.log(uniform)))
-    rows = log_weights(rows, model.ratios, [*keep, "_noise"])
-    return rows.withColumn("odds", F.lit(model.slope) * F.col("log_weight") + F.lit(model.start)).withColumn("gumbel_key", F.col("odds") + F.col("_noise")).drop("_noise")
+    uniform = (F.pmod(F.xxhash64("own.doc_id", "own.text", F.lit(model.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rows = log_weights(documents, model.ratios).withColumn("odds", F.lit(model.slope) * F.col("log_weight") + F.lit(model.start))
+    return rows.withColumn("gumbel_key", F.col("odds") - F.log(-F.log(uniform)))
 
 
 def cut(keys: DataFrame) -> float:
@@ -122,7 +121,8 @@ def cut(keys: DataFrame) -> float:
 def scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, n_grams, log_weight, odds, gumbel_key and kept of every row."""
     scratch = Scratch(documents.sparkSession, "resampling")
-    keys = scratch.table(weigh(documents, fit(documents, labels, **options), ["doc_id"]), "keys")
+    keys = weigh(documents.select("doc_id", "text"), fit(documents, labels, **options))
+    keys = scratch.table(keys.select("own.doc_id", "n_grams", "log_weight", "odds", "gumbel_key"), "keys")
     return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(cut(keys)))
 
 
@@ -130,5 +130,5 @@ def resample(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that are kept, with the columns of documents. Keys are a function of the row, so the texts are read again rather than stored."""
     scratch = Scratch(documents.sparkSession, "resampling")
     model = fit(documents, labels, **options)
-    line = cut(scratch.table(weigh(documents, model, ["doc_id"]), "keys"))
-    return weigh(documents, model, documents.columns).filter(F.col("gumbel_key") >= F.lit(line)).select(*(F.col(f"`{c}`") for c in documents.columns))
+    line = cut(scratch.table(weigh(documents.select("doc_id", "text"), model).select("odds", "gumbel_key"), "keys"))
+    return weigh(documents, model).filter(F.col("gumbel_key") >= F.lit(line)).select(*(F.col("own").getField(c).alias(c) for c in documents.columns))

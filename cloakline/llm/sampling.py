@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of each label: those with the smallest hashes of doc_id, the same on every run.
+def bounded_sample(rows: DataFrame, label: str, most: int, most_chars: int = 16_000_000) -> DataFrame:
+    """At most `most` rows of each label, and of whole texts of at most most_chars characters together: those with the
+    smallest hashes of doc_id, the same on every run. A text of more than a sixteenth of most_chars is never sampled.
 
     Labels are counted over all rows first; a threshold on the hash then leaves about 1.2 times the bound, and only
     those rows are ranked.
@@ -18,8 +19,11 @@ def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
     keep = F.lit(False)
     for value, n in counts.items():
         keep = F.when(F.col(label) == F.lit(value), spread < int(min(1.0, 1.2 * most / n + 20 / n) * 1_000_000) + 1).otherwise(keep)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_spread", "doc_id", "text"))
-    return rows.withColumn("_spread", F.xxhash64("doc_id", F.lit("order"))).filter(keep).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_spread", "_rank")
+    order = Window.partitionBy(label).orderBy("_spread", "doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = rows.withColumn("_spread", F.xxhash64("doc_id", F.lit("order"))).filter(keep & (size <= most_chars // 16))
+    rows = rows.withColumn("_rank", F.row_number().over(order)).withColumn("_chars", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter((F.col("_rank") <= most) & (F.col("_chars") <= most_chars)).drop("_spread", "_rank", "_chars")
 
 
 def labelled(documents: DataFrame, labels: DataFrame, value: str, name: str, most_ids: int = 4_000_000) -> DataFrame:
@@ -60,8 +64,13 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     low, high, need = _boundary(rows, column, k)
     if low == high:
         return low
-    near = sorted((r[0] for r in rows.filter(F.col(column).between(low, high)).select(column).collect()), reverse=True)
-    return near[need - 1]
+    # Few rows, or few values that floating point can tell apart: values with their counts.
+    near = rows.filter(F.col(column).between(low, high)).groupBy(F.col(column).alias("value")).count().collect()
+    for value, n in sorted(map(tuple, near), reverse=True):
+        need -= n
+        if need <= 0:
+            break
+    return value
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

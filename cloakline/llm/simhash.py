@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bands
 from .common import SEED, Scratch, as_bytes, batches_of, chain, mix, quiet, small_batches, words_of
 
 
@@ -211,22 +212,71 @@ def halfway(fps: DataFrame) -> DataFrame:
     return own.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
 
 
+#: Parts that a key's rows are dealt to where a small table is joined to them.
+SALTS = 16
+
+
+def row_hashes(rows: DataFrame) -> Column:
+    """128 bits of a row's columns, as its identity."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(f"`{f.name}`") for f in rows.schema.fields]
+    # A null counts: xxhash64 alone passes over it.
+    empty = F.concat_ws("", *(F.when(p.isNull(), F.lit("0")).otherwise(F.lit("1")) for p in parts))
+    return F.struct(F.xxhash64(F.lit("row"), empty, *parts).alias("a"), F.xxhash64(F.lit("identity"), *reversed(parts), empty).alias("b"))
+
+
+def contracted(links: DataFrame, most: int = 500_000) -> DataFrame:
+    """Links a > b that connect what the links of a task connect: each node to the smallest that it reaches there. A task holds at most about `most` nodes and gives out what it holds in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            root = x
+            while (y := up.setdefault(root, root)) != root:
+                root = y
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        def out() -> pa.RecordBatch:
+            pairs = [(x, top(x)) for x in list(up)]
+            a, b = zip(*[(x, y) for x, y in pairs if x != y] or [((), ())])
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches_of(batches):
+            for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > most:
+                yield out()
+        if up:
+            yield out()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def state_of(links: DataFrame) -> tuple:
+    """A digest of a table of links."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(scratch: Scratch, links: DataFrame, name: str = "stars") -> DataFrame:
-    """node, root: the smallest node that each linked node reaches, by alternating large and small stars."""
-    edges, done, k = scratch.table(links.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), f"{name}0"), None, 0
+    """node, root: the smallest node that each linked node reaches. Each task contracts its own links first; what is left goes through alternating large and small stars."""
+    edges, k = scratch.table(contracted(links).distinct(), f"{name}0"), 0
+    done = state_of(edges)
     while True:
         # Large star: a node's larger neighbours go to the smallest of its neighbourhood.
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large, f"{name}{k}l")
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.toDF("a", "b")).filter("a <> b").distinct()
         new = scratch.table(small, f"{name}{k + 1}")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (f"{name}{k}", f"{name}{k}l"):
-            scratch.drop(old)
+        state = state_of(new)
+        scratch.drop(f"{name}{k}")
         if state == done or not state[0]:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
         edges, done, k = new, state, k + 1
@@ -243,18 +293,80 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2,
     if not large.isEmpty():
         links = links.union(halfway(large))
     roots = components(scratch, links)
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # Linked fingerprints only; a root's own row is added. A root that a third of all rows share is dealt to salts.
+    linked = roots.union(roots.select("root", "root")).distinct().join(nodes.withColumnRenamed("fp", "node"), "node")
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Only fingerprints that are not alone need the join; AQE splits a fingerprint that many documents share.
-    shared = linked.join(ids, "root").filter("n > 1 or root <> fp or not (component_id <=> first)").select("fp", "root", "component_id")
+    salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS))))
+    shared = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(ids.withColumn("salt", salts), ["root", "salt"]).select(F.col("node").alias("fp"), "root", "component_id")
+    # Copies of a fingerprint without links; those that stand alone need no join. AQE splits a fingerprint that many documents share.
+    copies = nodes.filter("n > 1").join(shared.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    shared = shared.union(copies)
     shared = scratch.table(shared, "shared")
     return docs.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("group"), *keep)
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """One document of each group of near duplicates, with its columns: the one with the smallest doc_id (null last), of equal ids the one with the smallest hash of its row."""
-    # Rows that are equal in id and text are one document.
-    row = F.xxhash64(F.lit("row"), "doc_id", "text")
-    groups = near_duplicates(documents.withColumn("_row", row), keep=("_row",), **options)
-    chosen = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("one")).select("one._row")
-    return documents.withColumn("_row", row).join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+def near_pairs(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> DataFrame:
+    """Candidate links a, b between nodes of a cell (key, node, fp): the Manhattan bound of the bit counts, then the exact distance. What a cell holds beyond cell_rows is linked to its first node, for the exact check to decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, first = [], [], 0
+        for _, again, parts in bands.groups_of(batches, cell_rows):
+            nodes = np.concatenate([p[0].to_numpy(zero_copy_only=False) for p in parts])
+            if again:
+                a += [first] * len(nodes)
+                b += nodes.tolist()
+            elif len(nodes) > 1:
+                first = int(nodes[0])
+                fps = np.concatenate([p[1].to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
+                counts = bit_counts(fps, width).astype(np.int16)
+
+                def near(one: int, many: np.ndarray) -> np.ndarray:
+                    many = many[np.abs(counts[many] - counts[one]).sum(1) <= radius]
+                    return many[np.bitwise_count(fps[many] ^ fps[one]) <= radius]
+
+                for x, y in bands.reached(len(nodes), near):
+                    a.append(int(nodes[x]))
+                    b.append(int(nodes[y]))
+            else:
+                first = int(nodes[0])
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(documents: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 22, width: int = 2, cell_rows: int = 100_000, chunk: int = 20_000) -> DataFrame:
+    """One document of each group of near duplicates, with its columns: texts whose sets of five-word shingles have a
+    Jaccard similarity of `least` or more are linked. The document with the smallest doc_id stays (null last), of equal
+    ids the one with the smallest hash of its row; rows that are equal in every column are one document.
+
+    Cells come from bands of minimal hashes (see bands.py); in a cell the fingerprints' bit counts bound the distance,
+    then the fingerprints decide at `radius`, and of the candidates left the shingle sets decide.
+    """
+    scratch = Scratch(documents.sparkSession, "simhash")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_own"), row_hashes(documents).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("empty"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row"))
+    found = bands.sketches(rows.select("text", place.alias("place")), shingle, ("place",))
+    # Equal sets are one node.
+    nodes = scratch.table(found.groupBy("node").agg(F.min("place").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
+    links = scratch.table(near_pairs(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius, width, cell_rows), "links")
+    alike = components(scratch, links, "candidates")
+    # A component's smallest node is its root and has no row of its own.
+    alike = scratch.table(alike.union(alike.select("root", "root")).distinct().join(nodes.select("node", "first.row"), "node"), "alike")
+    # Roots of more than a chunk of nodes: one for each `chunk` nodes at most.
+    large = alike.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).filter("chunks > 1")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("root", F.least(c, F.col("own")), F.greatest(c, F.col("own"))))
+    blocks = alike.join(F.broadcast(large), "root", "left").withColumn("own", own).select(F.col("row").alias("_row"), "node", pairs.alias("blocks"))
+    texts = rows.select("_row", "text").join(blocks, "_row").dropDuplicates(["_row"]).select(F.explode("blocks").alias("block"), "node", "text")
+    sure = components(scratch, scratch.table(bands.checked_links(texts, shingle, least), "checked"), "sure")
+    sure = sure.union(sure.select("root", "root")).distinct().join(nodes.select("node", "first"), "node")
+    kept = sure.groupBy("root").agg(F.min("first").alias("kept"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS))))
+    dropped = scratch.table(sure.withColumn("salt", salt).join(kept.withColumn("salt", salts), ["root", "salt"]).filter("first <> kept").select("node"), "dropped")
+    chosen = nodes.select("node", F.col("first.row").alias("_row")).join(dropped, "node", "left_anti").select("_row")
+    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*(F.col("_own").getField(c).alias(c) for c in documents.columns))

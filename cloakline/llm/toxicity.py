@@ -7,7 +7,8 @@ training picks windows: models of two thirds of the sample, for which all window
 find the highest window in each toxic document of the last third; the final model learns from those against all windows
 of clean documents. A document's score is that of its highest window, calibrated on documents set aside.
 
-The model is fitted on a bounded sample of labelled rows (`sample_rows` of each label). Since the softmax is linear, a
+The model is fitted on a bounded sample of labelled rows (`sample_rows` whole texts of each label, and 16 million
+characters of each). Since the softmax is linear, a
 word comes down to one number, kept in a bounded memory by each worker.
 
 Defined cases: null or empty text scores as a window without words; labels that repeat an id count once, toxic if any
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batches_of, quiet, small_batches, words_of
 from .sampling import bounded_sample, fit_logistic
 
-WINDOW, STEP = 2, 1
+#: Words of a window.
+WINDOW = 2
 ORDERS = (3, 4, 5)
 
 
@@ -54,14 +56,6 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[order], bucket[order]
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Bounds of the windows over n words; they cover all words, and are one for a short text."""
-    if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = [*range(0, n - WINDOW, STEP), n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
-
-
 @dataclass
 class ToxicityModel:
     values: np.ndarray  # one number for each bucket: its embedding times the softmax's weights
@@ -108,7 +102,7 @@ class Scorer:
                 continue
             sums = np.concatenate(([0.0], np.cumsum(np.fromiter(map(get, words), float, n))))
             w = min(n, WINDOW)
-            starts = np.append(np.arange(0, n - w, STEP), n - w)
+            starts = np.arange(n - w + 1)
             out.append(float((sums[starts + w] - sums[starts]).max() / w) + self.model.bias)
         return out
 
@@ -126,13 +120,15 @@ class Trainer:
 
     def __init__(self, texts: list[bytes], buckets: int, dims: int, rate: float, seed: int):
         self.buckets, self.dims, self.rate, self.seed = buckets, dims, rate, seed
-        number, doc, wins = {}, [], []
-        for k, text in enumerate(texts):
-            ids = [number.setdefault(w, len(number)) for w in words_of(text)]
-            for a, b in windows(len(ids)):
-                wins.append(ids[a:b] + [-1] * (WINDOW - (b - a)))
-                doc.append(k)
-        self.wins, self.doc = np.array(wins, np.int64).reshape(-1, WINDOW), np.array(doc, np.int64)
+        number, wins = {}, []
+        for text in texts:
+            words = words_of(text)
+            ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+            if 0 < len(ids) < WINDOW:  # a text shorter than a window is one
+                ids = np.append(ids, np.full(WINDOW - len(ids), -1, np.int32))
+            wins.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW) if len(ids) else np.zeros((0, WINDOW), np.int32))
+        self.wins = np.concatenate(wins) if wins else np.zeros((0, WINDOW), np.int32)
+        self.doc = np.repeat(np.arange(len(wins)), [len(w) for w in wins])
         self.length = (self.wins >= 0).sum(1)
         self.owner, self.bucket = subwords(list(number), buckets)
         self.size = np.bincount(self.owner, minlength=len(number))

@@ -34,20 +34,72 @@ def made() -> dict[str, bytes]:
         "audio/ogg": b"OggS\x00\x02" + bytes(20) + b"\x01\x05" + b"abcde",
         "audio/mpeg": b"ID3\x03\x00\x00\x00\x00\x00\x05" + bytes(5),
         "video/mp4": struct.pack(">I", 16) + b"ftypisom" + bytes(4) + struct.pack(">I", 8) + b"free",
-        "image/tiff": b"II*\x00" + struct.pack("<IHHHIII", 8, 1, 1, 3, 1, 1, 0),
+        "image/tiff": tiff(),
+        "audio/flac": flac(3),
+        "audio/aiff": b"FORM" + struct.pack(">I", 4 + 8 + 18) + b"AIFFCOMM" + struct.pack(">I", 18) + bytes(18),
     }
 
 
+def tiff(order="<"):
+    """One strip of 6 bytes before the directory, and a resolution behind it."""
+    entries = [(256, 3, 1, 3), (257, 3, 1, 2), (273, 4, 1, 8), (279, 4, 1, 6), (282, 5, 1, 14 + 2 + 12 * 5 + 4)]
+    body = (b"II*\x00" if order == "<" else b"MM\x00*") + struct.pack(order + "I", 14) + b"strips" + struct.pack(order + "H", 5)
+    for tag, kind, n, value in entries:
+        body += struct.pack(order + "HHI", tag, kind, n) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+    return body + struct.pack(order + "I", 0) + struct.pack(order + "II", 72, 1)
+
+
+def crc(data, poly, bits):
+    r = 0
+    for b in data:
+        r ^= b << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ poly if r >> (bits - 1) else r << 1) & (1 << bits) - 1
+    return r
+
+
+def flac(frames, declare=True):
+    """Frames of 16 equal samples."""
+    info = struct.pack(">HH", 16, 16) + bytes(6) + ((8000 << 44 | 15 << 36 | (16 * frames if declare else 0)).to_bytes(8, "big")) + bytes(16)
+    out = b"fLaC" + bytes([0x80, 0, 0, 34]) + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x60, 0x08, k, 15])
+        head += bytes([crc(head, 0x07, 8)])
+        frame = head + b"\x00" + struct.pack(">h", 300 * k - 7)
+        out += frame + struct.pack(">H", crc(frame, 0x8005, 16))
+    return out
+
+
 def test_types_and_carving():
     sniffer = media.Sniffer()
     for kind, data in made().items():
         assert sniffer.sniff(data)[0] == kind, kind
-        inside = b"text before " + data + (b"" if kind == "image/tiff" else b" and after")
+        inside = b"text before " + data + b" and after"
         got, spans = sniffer.sniff(inside)
         assert got in ("text", "binary")
         assert [(media.TYPES[t], inside[s:e]) for t, s, e in spans] == [(kind, data)], kind
 
 
+def test_what_follows_a_medium_is_carved():
+    sniffer, gif = media.Sniffer(), made()["image/gif"]
+    for kind, data in (*made().items(), ("image/tiff", tiff(">")), ("audio/flac", flac(2, False))):
+        got, spans = sniffer.sniff(data + bytes(400) + gif)
+        assert got == kind and spans == [(spans[0][0], 0, len(data)), ("gif", len(data) + 400, len(data) + 400 + len(gif))], kind
+    broken = bytearray(flac(3))
+    broken[-5] ^= 1
+    assert sniffer.sniff(bytes(broken))[0] == "binary"
+    assert sniffer.sniff(tiff()[:-4])[0] == "binary"
+
+
+def test_many_magic_numbers_take_time_in_proportion():
+    import time
+
+    sniffer, began = media.Sniffer(), time.time()
+    for magic in (b"PK\x03\x04", b"%PDF-1.4", b"\x1f\x8b\x08", b"fLaC", b"II*\x00", b"RIFF"):
+        sniffer.sniff(magic * (400_000 // len(magic)))
+    assert time.time() - began < 20
+
+
 def test_broken_media_are_not_taken():
     sniffer = media.Sniffer()
     for kind, data in made().items():
@@ -86,6 +138,11 @@ def test_media_edge_rows(spark):
     got = {r.id: (r.media_type, r.corrected) for r in media.sniff_media(rows).collect()}
     assert got == {1: ("empty", True), 2: ("empty", True), 3: ("audio/wav", True), 4: ("text", False)}
     assert media.sniff_media(rows.limit(0)).count() == 0
+    chunk = struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)  # an image of colours
+    other = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in ((b"IHDR", chunk), (b"IDAT", zlib.compress(bytes(4))), (b"IEND", b"")))
+    clash = spark.createDataFrame([(1, bytearray(other), "x", "own", 5)], "id int, media binary, declared string, feature string, media_bytes int")
+    got = media.sniff_media(clash).first()
+    assert got.media_type == "image/png" and got.payload_bytes == got.media_bytes == len(other) and got.feature.startswith("image/png;raw")
 
 
 @pytest.mark.parametrize("n", [576, 5760])

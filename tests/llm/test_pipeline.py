@@ -46,5 +46,27 @@ def test_stages_take_edge_rows(spark, documents, tmp_path):
         assert stage(spark, documents.limit(0), str(tmp_path)).count() == 0
 
 
+CLASHING = {c: "'own'" for c in ("odds", "n_grams", "log_weight", "gumbel_key", "matches", "_row", "_own", "own", "_noise", "_text", "_good", "_spread", "_rank", "node", "root", "first", "place", "keys", "key", "lang_pred", "score", "_own_score", "fp", "salt", "kept", "ids", "sequence_id", "length")}
+
+
+def test_stages_keep_clashing_columns(spark, documents, tmp_path):
+    """Every stage but the last returns the columns it is given, with their values."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    held = documents.drop(*CLASHING).withColumn("tags", documents.h * 2).selectExpr("*", *(f"{v} as `{c}`" for c, v in CLASHING.items()), "map('a', 1) as `a.b`")
+    docs = held.union(spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", *(f"cast(null as {t}) as `{c}`" for c, t in held.dtypes[5:])))
+    assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.schema(docs.schema).parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert got.count() > 0
+        else:
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+            rows = got.filter("doc_id < 1000 or doc_id is null").collect()
+            assert rows and all(r[c] == "own" for r in rows for c in CLASHING) and all(r["a.b"] == {"a": 1} for r in rows), name
+
+
 def test_crc_is_unsigned_and_little_endian():
     assert zlib.crc32((1).to_bytes(4, "little")) == 0x99F8B879
