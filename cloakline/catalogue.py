@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
+from .expected import EXPECTED
 from .functions import text
 from .functions.evidence import Context, evidence, shape_labels
 from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2
@@ -230,7 +231,15 @@ def identity_rows(spark: SparkSession, sf_dir: str, made: str, extra: dict[str,
     return rows.select("doc_id", "f.label", "f.start", "f.stop", "f.original", F.col("f.milli").alias("conf_milli"))
 
 
-@query("identity_labelled")
+_HINTS = f"""SELECT *, CAST(NULL AS VARCHAR) AS preview_path, 'text' AS kind, regexp_replace({trimmed_sql("regexp_replace(substr(original, 1, strpos(original, name) - 1), '[:=-]\\s*$', '')")}, '^$', '') AS key_hint
+      FROM (SELECT doc_id, start, original, regexp_extract(original, {re2('LABELLED')}, 1) AS name FROM {spans_sql(TEXTS_SQL, 'LABELLED')} m) WHERE name <> ''"""
+
+
+@query(
+    "identity_labelled",
+    f"""SELECT doc_id, 'PERSON' AS label, CAST(start + strpos(original, name) - 1 AS INTEGER) AS start, CAST(start + strpos(original, name) - 1 + length(name) AS INTEGER) AS stop, name AS original, CAST(730 AS INTEGER) AS conf_milli
+      FROM (SELECT *, array_to_string(segs, ' ') AS j FROM (SELECT *, {_SEGS} AS segs FROM ({_HINTS}))) WHERE {evidence_sql('PERSON')} > 0""".replace("(?iu", "(?i"),
+)
 def identity_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_rows(spark, sf_dir, identity.labelled("value", scan.HERE))
 
@@ -606,6 +615,159 @@ def image_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(words.image_padding(zones.unionByName(words.portraits(line_rows, pages, pages.filter("page > 1"))), pages))
 
 
+# Samples whose rows no SQL makes: the oracle is what each must give, row by row (expected.py)
+
+
+def hinted_fields(spark: SparkSession) -> DataFrame:
+    rows = with_context(spark.createDataFrame(list(samples.HINTED), "doc_id long, key_hint string, value string"))
+    return rows.withColumn("kind", F.lit("table")).withColumn("preview_path", F.concat(F.lit("row 1."), "key_hint"))
+
+
+@query("hinted_values")
+def hinted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors that a field's name changes: loose addresses, numbers whose check fails, keys and passwords, names."""
+    return scan_values(hinted_fields(spark), PRESETS["balanced"]).withColumnRenamed("milli", "conf_milli").select("doc_id", "label", *FOUND[1:])
+
+
+@query("pipe_rows")
+def pipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, "rows.txt", line) for k, line in samples.PIPES], "doc_id long, name string, text string")
+    return plan.document_values(rows).filter("unit = 'pipe'").select("doc_id", "value", "span_start", "span_stop")
+
+
+def sample_books(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "people.xlsx", bytearray(samples.workbook_bytes())), (2, "note.docx", bytearray(samples.word_bytes())), (3, "broken.xlsx", bytearray(b"no archive"))], "doc_id long, name string, content binary")
+
+
+@query("xlsx_cells")
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.document_values(sample_books(spark)).filter("reading = 'xlsx'").select("doc_id", "sheet_index", "row_index", "column_index", "key_hint", "value")
+
+
+@query("docx_text")
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.document_values(sample_books(spark)).filter("doc_id > 1").select("doc_id", "reading", "value")
+
+
+@query("redact_books")
+def redact_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses in a workbook and a word processing file replaced; the workbook is read again."""
+    books = sample_books(spark)
+    done = plan.redact_documents(books, plan.scan_documents(books, PRESETS["balanced"]).filter("label = 'EMAIL'"))
+    cells = plan.document_values(done.filter("data is not null").select("doc_id", "name", F.col("data").alias("content"))).filter("value <> ''")
+    return cells.select("doc_id", F.concat_ws(" ", "row_index", "column_index").alias("place"), "value").unionByName(done.filter("doc_id = 2").select("doc_id", F.col("name").alias("place"), F.col("output").alias("value")))
+
+
+@query("sheet_preview")
+def sheet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .api import sheet_preview as preview
+
+    return preview(plan.document_values(sample_books(spark)).filter("reading = 'xlsx'"), rows=2).select("doc_id", "sheet_index", "row_index", F.array_join("cells", "|").alias("cells"), "nth")
+
+
+@query("document_cells")
+def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of our sample documents in every reading, with their places."""
+    values = plan.document_values(sample_documents(spark))
+    return values.filter("unit = 'cell'").select("doc_id", "reading", "preferred", "value", "key_hint", "preview_path", "span_start")
+
+
+@query("ocr_words")
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(samples.OCR), "doc_id int, tsv string")
+    return words.rescaled(words.ocr_words(rows), 2.0, 4.0).select("doc_id", "page", "line_no", "word_no", "text", *words.BOX)
+
+
+@query("page_rows")
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.createDataFrame(list(samples.ITEMS), "doc_id int, page int, item_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    return words.page_rows(items).select("doc_id", "page", "line_no", "word_no", "text")
+
+
+@query("page_texts")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _ = sample_words(spark)
+    return words.document_text(words.page_text(words.lines(own)))
+
+
+@query("manual_boxes")
+def manual_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(words.manual_boxes(spark.createDataFrame(list(samples.DRAWN), "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")))
+
+
+@query("face_boxes")
+def face_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.createDataFrame(list(samples.FACES), "doc_id int, page int, face_no int, x0 double, y0 double, x1 double, y1 double")
+    return _boxes(words.faces(found, sample_words(spark)[1]))
+
+
+@query("redaction_boxes")
+def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, pages = sample_words(spark)
+    return words.redaction_boxes(words.scan_words(own, pages, PRESETS["paranoid"]).filter("confidence >= 0.9")).select("doc_id", "page", "label", *words.BOX)
+
+
+@query("sniff_samples")
+def sniff_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = plan.document_values(sample_documents(spark))
+    return values.groupBy("doc_id", "reading").agg(F.max("preferred").alias("preferred"), F.count("*").alias("n_values"))
+
+
+@query("seed_samples")
+def seed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of our samples' own names on their variants, and of one value of a document on its others."""
+    rows = with_context(sample_values(spark).filter("category = 'identity'").select("doc_id", "value")).withColumn("kind", F.lit("text"))
+    names = f"concat({identity.labelled('value', scan.HERE)}, {identity.name_lines('value', identity.NO_SEEDS)})"
+    rows = rows.withColumn("names", F.expr(names)).withColumn("seeds", F.expr(identity.seeds_of("names"))).withColumn("findings", F.expr(identity.spread("value", "names", "seeds")))
+    own = rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", F.lit(0).cast("long").alias("value_seq"), "f.label", "f.start", "f.stop", "f.original", F.col("f.milli").alias("conf_milli"))
+    cells = spark.createDataFrame(list(samples.CELLS), "doc_id long, value_seq long, key_hint string, value string").withColumn("kind", F.lit("json"))
+    return own.unionByName(scan.scan_collection(cells).select("doc_id", "value_seq", "label", "start", "stop", "original", F.col("milli").alias("conf_milli")))
+
+
+_ADDRESSES = ORACLES["detect_street_address"]
+
+
+@query("address_candidates", f"SELECT doc_id, start, stop, original FROM ({_ADDRESSES})")
+def address_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.structured import address_spans
+
+    rows = texts(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit("")))
+    return rows.select("doc_id", F.posexplode_outer(F.expr(address_spans("value"))).alias("n", "m")).filter("n is not null").select("doc_id", "m.start", "m.stop", "m.original")
+
+
+@query("finding_badges", WITH_SIMPLE + "x AS (SELECT 1) SELECT doc_id, label, start, CASE WHEN conf_milli >= 800 THEN 'HIGH' ELSE 'MEDIUM' END AS badge, CAST(round(conf_milli / 10.0) AS INTEGER) AS percent FROM f WHERE contains(lower(label || ' ' || original || ' ' || 'pattern'), 'ban')")
+def finding_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .api import findings_for_display
+
+    rows = simple(spark, sf_dir).drop("preview_path").withColumn("reasoning", F.array(F.lit("pattern")))
+    return findings_for_display(rows, " BAN ").select("doc_id", "label", "start", "badge", "percent")
+
+
+@query("html_escaped", "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .api import escape_html
+
+    return table(spark, sf_dir, "documents").select("doc_id", escape_html("text").alias("escaped"))
+
+
+@query("file_kinds", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.](png|jpe?g|gif|webp|bmp|tiff?)$') THEN 'image' WHEN regexp_matches(lower(url), '[.](pdf|docx|xlsx)$') THEN regexp_extract(lower(url), '[^.]*$') ELSE 'text' END AS kind FROM (SELECT page_id, url || ['', '.PNG', '.docx', '.jpeg', '.txt'][1 + page_id % 5] AS url FROM pages)")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.readers import kind_of_file
+
+    named = table(spark, sf_dir, "pages").select("page_id", F.expr("concat(url, element_at(array('', '.PNG', '.docx', '.jpeg', '.txt'), cast(1 + page_id % 5 as int)))").alias("url"))
+    return named.select("page_id", F.expr(kind_of_file("url")).alias("kind"))
+
+
+@query("date_values", f"SELECT DISTINCT o_orderpriority, regexp_matches(CAST(o_orderdate AS VARCHAR), {re2('DATE')}) AS dated, regexp_matches(CAST(o_orderkey AS VARCHAR), {re2('DATE')}) AS numbered FROM orders")
+def date_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderpriority", "cast(o_orderdate as string) as d", "cast(o_orderkey as string) as k")
+    return rows.select("o_orderpriority", F.expr(text.is_date("d")).alias("dated"), F.expr(text.is_date("k")).alias("numbered")).distinct()
+
+
+for _name, _sql in EXPECTED.items():
+    ORACLES[_name] = _sql
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed documents: all detectors, overlaps collapsed, findings of medium confidence and more redacted."""
     rows = redaction.redact_values(with_findings(with_context(table(spark, sf_dir, "documents").selectExpr("doc_id", "text as value")).withColumn("kind", F.lit("text")), PRESETS["balanced"]), 0.55)

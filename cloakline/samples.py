@@ -57,6 +57,68 @@ DOCUMENTS = (
     (8, "broken.json", '{"a": '),
     (9, None, "- one\n- two\n"),
 )
+#: (doc_id, tsv): output of a recogniser; columns level, page, block, paragraph, line, word, left, top, width, height, confidence, text
+OCR = (
+    (1, "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n1\t1\t0\t0\t0\t0\t0\t0\t600\t400\t-1\t\n5\t1\t1\t1\t1\t1\t20\t20\t60\t18\t96.5\tAnn\n5\t1\t1\t1\t1\t2\t90\t20\t50\t18\t21\tblur\n5\t1\t1\t1\t2\t1\t20\t50\t200\t20\t88\tann@lee.example\n5\t1\t2\t1\t1\t1\t20\t90\t40\t18\t22\t ok \n5\t1\t2\t1\t1\t2\t70\t90\t40\t18\t90\t \n"),
+    (2, "5\t1\t1\t1\t1\t1\t0\t0\t10\t10\tx\tno number\r\n5\t1\t1\t1\t1\t2\t10\t0\t10\t10\t50\tcell\r\nshort\trow"),
+)
+#: (doc_id, page, item_no, text, x0, y0, x1, y1)
+ITEMS = (
+    (1, 1, 0, "right", 50.0, 10.0, 58.0, 20.0), (1, 1, 1, "left", 10.0, 12.5, 18.0, 22.5), (1, 1, 2, "below", 10.0, 13.5, 18.0, 23.5), (1, 1, 3, " ", 10.0, 10.0, 11.0, 20.0), (1, 2, 0, "second page", 5.0, 5.0, 60.0, 12.0),
+)
+#: (doc_id, page, x0, y0, x1, y1)
+DRAWN = ((1, 1, 10.0, 10.0, 30.0, 22.0), (1, 1, 10.0, 10.0, 21.9, 40.0), (2, 1, 0.0, 0.0, 12.0, 12.0))
+#: (doc_id, page, face_no, x0, y0, x1, y1)
+FACES = ((2, 1, 1, 20.0, 40.0, 70.0, 100.0), (2, 1, 2, 280.0, 190.0, 300.0, 200.0))
+#: (value_id, key_hint, value): values of named fields, for detectors that look at the field
+HINTED = (
+    (1, "email", "ann@lee"), (2, "mail", "x ann@lee.example"), (3, "iban", "GB82 WEST 1234 5698 7654 33"), (4, "passport_number", "L8989023"), (5, "bic", "ABCDUS33"), (6, "phone", "+47 22 33 44"), (7, "remark", "22 33 44 5"),
+    (8, "credit_card", "1234 5678 9012 3456"), (9, "api_key", "0123456789abcdef"), (10, "password", "hunter2hunter2"), (11, "home_address", "Via Roma 3"), (12, "vat_id", "PL1234567890"), (13, "driver_license", "CA1234567"), (14, "full_name", "mia berg"),
+    (15, "city", "oslo"), (16, "company", "Nordic Tools Ltd"), (17, "notes", "mia berg"), (18, "ssn", "078-05-1120"),
+)
+#: (doc_id, value_seq, key_hint, value): values of documents of several values
+CELLS = ((1, 0, "full_name", "Mia Berg"), (1, 1, "remark", "seen: m1a berg"), (1, 2, "city", "Oslo"), (1, 3, "remark", "from osl0 to Rome"), (2, 0, "remark", "m1a berg called"))
+#: (row_id, line): rows between pipes
+PIPES = (
+    (1, "| lead | Ann Lee | CTO | ann@lee.example | +4712345678 | - |"), (2, "| lead | Ann Lee | CTO | none | - | - |"), (3, "| lead | Ann Lee | ann@lee.example |"), (4, "| a | Mia Berg | Bo Ray Lind | mia@berg.example | x | y |"), (5, "| -- | -- | -- | -- | -- | -- |"),
+)
+#: (name, email, start) of a workbook's rows; the last column is a date.
+PEOPLE = (("Ann Lee", "ann@lee.example", 45292.0), ("Mia Berg", "mia@berg.example", 45323.5))
+
+
+def workbook_bytes() -> bytes:
+    """A small workbook with shared, inline and rich text, numbers, dates, formulas and a truth value."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = "".join(f'<row r="{k}"><c r="A{k}" t="inlineStr"><is><t>{n}</t></is></c><c r="B{k}" t="s"><v>{k + 1}</v></c><c r="C{k}" s="1"><v>{d}</v></c><c r="D{k}"><f>B{k}&amp;"!"</f></c></row>' for k, (n, _, d) in enumerate(PEOPLE, 2))
+    shared = "".join(f"<si><t>{x}</t></si>" for x in ("name", "email", "start")) + "".join(f"<si><r><t>{e[:4]}</t></r><r><t>{e[4:]}</t></r></si>" for _, e, _ in PEOPLE)
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="People" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd;@"/></numFmts><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}">{shared}</sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c><c r="E1" t="b"><v>1</v></c></row>{rows}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def word_bytes() -> bytes:
+    """A small word processing file: two paragraphs, a tab and a line break."""
+    import io
+    import zipfile
+
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>Write to </w:t></w:r><w:r><w:t>bo@lee.example</w:t><w:tab/><w:t>soon</w:t></w:r></w:p><w:p><w:r><w:t>one</w:t><w:br/><w:t>two</w:t></w:r></w:p></w:body></w:document>')
+    return out.getvalue()
 
 
 def values_clause(rows) -> str:
