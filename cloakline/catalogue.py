@@ -466,8 +466,9 @@ def selection_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("muted_areas", WITH_SIMPLE + "x AS (SELECT 1) SELECT category, count(*) AS n FROM f WHERE category NOT IN ('network', 'secrets') GROUP BY category")
 def muted_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the secrets preset leaves out, of the simple detectors."""
-    narrow, broad = (found(texts(spark, sf_dir), SIMPLE, o) for o in (PRESETS["secrets_only"], PRESETS["secrets_only"].broad()))
-    return redaction.muted_areas(narrow, broad)
+    options = PRESETS["secrets_only"]
+    broad = found(texts(spark, sf_dir), SIMPLE, options.broad())  # one scan: the narrow one is that of its categories
+    return redaction.muted_areas(broad.filter(F.col("category").isin(*options.categories)), broad)
 
 
 @query("category_map", " UNION ALL ".join(f"SELECT '{label}' AS label, '{c}' AS category" for c, ls in CATEGORIES.items() for label in ls))

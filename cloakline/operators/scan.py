@@ -79,16 +79,20 @@ def scan_collection(values: DataFrame, options: Options = Options()) -> DataFram
     """
     from .profiles import with_profiles
 
-    # The profiled values are read by both passes, the first pass's findings by the seeds and by the result.
-    values = stored(with_context(with_profiles(with_context(values))))
-    first = stored(with_findings(values, options))
+    # The first pass's findings are read by the seeds and by the result.
+    first = stored(with_findings(with_context(with_profiles(with_context(values))), options))
     if not options.detect_names or not (options.on("PERSON") or options.on("PLACE")):
         return exploded(first)
     own = first.select("doc_id", "value_seq", F.posexplode_outer(F.expr(identity.seeds_of("findings"))).alias("at", "seed")).filter("at is not null")
     once = own.groupBy("doc_id", "seed").agg(F.min(F.struct("value_seq", "at")).alias("first"))
     seeds = once.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(first, seed))), x -> x.seed)").alias("_outside"))
-    both = values.join(seeds, "doc_id", "left").withColumn("_outside", F.coalesce("_outside", F.expr(identity.NO_SEEDS)))
-    second = with_findings(both, options, "_outside").withColumnRenamed("findings", "_second").select("doc_id", "value_seq", "_second")
-    joined = first.join(second, ["doc_id", "value_seq"], "left")
-    merged = f"if(size(_second) > 0, flatten(array(findings, filter(_second, s -> not exists(findings, f -> f.start = s.start and f.stop = s.stop and f.label = s.label and f.milli = s.milli)))), findings)"
-    return exploded(joined.withColumn("findings", F.expr(merged)).drop("_second"))
+    rows = first.join(seeds, "doc_id", "left").withColumn("_outside", F.coalesce("_outside", F.expr(identity.NO_SEEDS)))
+    # Seeds change lines of names and the spread alone: what the other detectors found is taken from the first pass, in their order.
+    others = "filter(findings, f -> not exists(f.reasoning, r -> r in ('standalone_name_line', 'identity_seed_match')))"
+    rows = rows.withColumn("_found", F.expr(f"array_sort({others}, (l, r) -> l.seq - r.seq)"))
+    if options.on("PERSON"):
+        rows = rows.withColumn("_found", F.expr(f"concat(_found, {identity.name_lines('value', '_outside')})"))
+    rows = rows.withColumn("_seeds", F.expr(f"array_distinct(concat({identity.seeds_of('_found')}, _outside))"))
+    rows = rows.withColumn("_second", F.expr(sorted_distinct(f"concat(_found, {identity.spread('value', '_found', '_seeds')})"))).drop("_found", "_seeds", "_outside")
+    merged = "if(size(_second) > 0, flatten(array(findings, filter(_second, s -> not exists(findings, f -> f.start = s.start and f.stop = s.stop and f.label = s.label and f.milli = s.milli)))), findings)"
+    return exploded(rows.withColumn("findings", F.expr(merged)).drop("_second"))

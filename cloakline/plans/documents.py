@@ -142,7 +142,7 @@ def redact_documents(documents: DataFrame, findings: DataFrame, mode: str = "red
     Binary documents: output is text for a word processing file, and column data has a workbook's bytes.
     """
     binary = "content" in documents.columns
-    values = document_values(documents)
+    values = stored(document_values(documents))  # texts and cells are read apart
     spans = findings.select("doc_id", "reading", "value_seq", "start", "stop", "label", "confidence", "reasoning")
     texts = redact_findings(values.filter("unit = 'whole'").select("doc_id", "reading", "value"), spans.filter(F.col("reading").isin(*LIKE_TEXT)).drop("value_seq"), ["doc_id", "reading"], mode)
     cells = redact_findings(

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a table, under spark.checkpoint.dir; where that is unset, in a folder of our own."""
+    """A reliable checkpoint of a table, under spark.checkpoint.dir; in local mode, where that is unset, in a folder of our own."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cloakline-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="cloakline-"))
     return df.checkpoint(eager=True)
