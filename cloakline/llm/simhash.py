@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bands
@@ -347,9 +347,9 @@ def one_of_each(documents: DataFrame, *, shingle: int = 5, least: float = 0.8, r
     then the fingerprints decide at `radius`, and of the candidates left the shingle sets decide.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_own"), row_hashes(documents).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_own"), row_hashes(documents).alias("_row"), "doc_id", F.col("text").cast("string").alias("text")).select("*", "_row.a", "_row.b")
     place = F.struct(F.col("doc_id").isNull().alias("empty"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row"))
-    found = bands.sketches(rows.select("text", place.alias("place")), shingle, ("place",))
+    found = scratch.table(bands.sketches(rows.select("text", place.alias("place")), shingle, ("place",)), "sketches")
     # Equal sets are one node.
     nodes = scratch.table(found.groupBy("node").agg(F.min("place").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
     links = scratch.table(near_pairs(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius, width, cell_rows), "links")
@@ -360,13 +360,21 @@ def one_of_each(documents: DataFrame, *, shingle: int = 5, least: float = 0.8, r
     large = alike.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).filter("chunks > 1")
     own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("root", F.least(c, F.col("own")), F.greatest(c, F.col("own"))))
-    blocks = alike.join(F.broadcast(large), "root", "left").withColumn("own", own).select(F.col("row").alias("_row"), "node", pairs.alias("blocks"))
-    texts = rows.select("_row", "text").join(blocks, "_row").dropDuplicates(["_row"]).select(F.explode("blocks").alias("block"), "node", "text")
+    # Texts are joined by sorting at every size: what is joined to them grows with the input.
+    blocks = scratch.table(alike.join(F.broadcast(large), "root", "left").withColumn("own", own).select("row.a", "row.b", "node", pairs.alias("blocks")), "blocks")
+    texts = rows.select("a", "b", "text").join(blocks.hint("merge"), ["a", "b"]).select(F.explode("blocks").alias("block"), "node", "text")
     sure = components(scratch, scratch.table(bands.checked_links(texts, shingle, least), "checked"), "sure")
     sure = sure.union(sure.select("root", "root")).distinct().join(nodes.select("node", "first"), "node")
     kept = sure.groupBy("root").agg(F.min("first").alias("kept"))
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
     salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS))))
-    dropped = scratch.table(sure.withColumn("salt", salt).join(kept.withColumn("salt", salts), ["root", "salt"]).filter("first <> kept").select("node"), "dropped")
-    chosen = nodes.select("node", F.col("first.row").alias("_row")).join(dropped, "node", "left_anti").select("_row")
-    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*(F.col("_own").getField(c).alias(c) for c in documents.columns))
+    dropped = sure.withColumn("salt", salt).join(kept.withColumn("salt", salts), ["root", "salt"]).filter("first <> kept").select("first.row.a", "first.row.b")
+    # Further documents of a node go too.
+    copies = found.select("node", F.col("place.row").alias("_row")).join(nodes.select("node", "first.row"), "node").filter("_row <> row").select("_row.a", "_row.b")
+    gone = scratch.table(dropped.union(copies).distinct(), "gone")
+    for name in ("sketches", "nodes", "links", "alike", "blocks", "checked"):
+        scratch.drop(name)
+    # Rows that are equal in every column meet in the join's order, so their first is taken without another shuffle.
+    left = rows.select("a", "b", "_own").join(gone.hint("merge"), ["a", "b"], "left_anti")
+    once = left.withColumn("_nth", F.row_number().over(Window.partitionBy("a", "b").orderBy("a", "b"))).filter("_nth = 1")
+    return once.select(*(F.col("_own").getField(c).alias(c) for c in documents.columns))
