@@ -217,9 +217,21 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
     order = np.argsort(keys)
     shared_head = sc.broadcast((keys[order], head.column("c").to_numpy()[order]))
 
+    spent = []  # broadcasts that no later step reads
+
     def load(kind: int, group: list[int]):
         rows = table.filter((F.col("kind") == kind) & F.col("shard").isin(group)).select("shard", "bits").toArrow()
-        return sc.broadcast(Filter(dict(zip(rows.column("shard").to_pylist(), rows.column("bits").to_pylist())), shards))
+        spent.append(sc.broadcast(Filter(dict(zip(rows.column("shard").to_pylist(), rows.column("bits").to_pylist())), shards)))
+        return spent[-1]
+
+    def written(rows: DataFrame, name: str, before: str | None = None) -> DataFrame:
+        """A pass's rows, as a table: its filters leave the workers' memory, and the table before goes."""
+        rows = scratch.table(rows, name)
+        while spent:
+            spent.pop().destroy()
+        if before:
+            scratch.drop(before)
+        return rows
 
     sizes = {kind: [(r.shard, r.size) for r in table.filter(F.col("kind") == kind).select("shard", F.length("bits").alias("size")).collect()] for kind in (WORDS, PAIRS)}
     groups = {kind: groups_of(sizes[kind], group_bytes) for kind in (WORDS, PAIRS)}
@@ -315,13 +327,18 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
 
     fused = len(word_groups) == 1
     rows = first_pass(loaded(WORDS, word_groups[0]), loaded(PAIRS, pair_groups[0]) if fused else None, fused, fused and len(pair_groups) == 1)
-    for group in word_groups[1:]:
-        rows = scratch.table(more_levels(rows, load(WORDS, group)), f"words{group[0]}")
+    last = None
+    for k, group in enumerate(word_groups[1:]):
+        rows = written(rows, f"words{k}", last)
+        last = f"words{k}"
+        rows = more_levels(rows, load(WORDS, group))
     for k, group in enumerate(pair_groups):
         if k or not fused:
-            rows = scratch.table(rows, f"pairs{k}")
+            rows = written(rows, f"pairs{k}", last)
+            last = f"pairs{k}"
             rows = add_pairs(rows, loaded(PAIRS, group), k == len(pair_groups) - 1)
-    rows = scratch.table(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "scored", last)
+    shared_head.destroy()
     if line > 1:
         left = rows.filter(F.size("left") > 0).select("uid", F.explode(F.arrays_zip("left", "times")).alias("x")).select("uid", F.col("x.left").alias("h"), F.col("x.times").alias("times"))
         found = left.join(counts.filter(F.col("c") < line), "h").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("added"))
