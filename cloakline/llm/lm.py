@@ -37,6 +37,8 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n", SEED))
 WORDS, PAIRS = 1, 2
 #: Bits set for a level of an n-gram, and filter bits for it.
 BITS, SPACE = 4, 10
+#: N-grams in a row of the shuffle.
+PACKED = 1 << 14
 LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +136,8 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
                 order = np.argsort(shard, kind="stable")
                 shard, keys, counts = shard[order], keys[order], counts[order].astype("<u4")
                 first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)]))
-                # A row for each shard, its n-grams packed: rows of single n-grams cost more than their counting.
+                cuts = [(a, min(a + PACKED, y)) for x, y in zip(first.tolist(), [*first[1:].tolist(), len(shard)]) for a in range(x, y, PACKED)]
+                # A shard's n-grams, packed: rows of single n-grams cost more than their counting, rows of megabytes the JVM's heap.
                 for at in range(0, len(cuts), 64):
                     own = cuts[at : at + 64]
                     yield pa.RecordBatch.from_arrays(
@@ -153,7 +155,7 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
                 with quiet():
                     held[PAIRS].append(pair_keys(h))
                 n += len(h)
-                if n > 3_000_000:
+                if n > 1_500_000:
                     yield from out()
                     n = 0
         if n:
@@ -163,9 +165,11 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
         held: dict[tuple[int, int], list] = {}
         for b in batches_of(batches):
             for shard, kind, h, n in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault((shard, kind), []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, "<u4").astype(np.int64)))
-        for (shard, kind), own in held.items():
-            keys, counts = sum_pairs(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
+                held.setdefault((shard, kind), []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, "<u4")))
+        while held:
+            (shard, kind), own = held.popitem()
+            keys, counts = sum_pairs(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]).astype(np.int64))
+            del own
             with quiet():
                 words = build(keys, counts)
             empty = np.zeros(0, np.int64)
