@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontamination, html, langid, lm, media, packing, resampling, sampling, simhash, token_files, toxicity
 from .common import held_out, read_table
+from .sql import ORACLES  # noqa: F401
 from .tokens import tokenizer_path
 
 
@@ -65,6 +66,46 @@ def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_grams", "log_weight", "odds", "gumbel_key", "kept")
 
 
+
+# What SQL can say of results that it can't compute: each of these reads the whole result of an operator's query.
+
+
+def llm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def llm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def llm_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each prediction is a language that documents to learn from have (or none), and its score from 0 to 1."""
+    langs = read_table(spark, sf_dir, "documents").filter(~held_out("doc_id", 4, 2)).select(F.col("lang").alias("lang_pred")).distinct().withColumn("known", F.lit(True))
+    rows = op8_language(spark, sf_dir).join(langs, "lang_pred", "left")
+    undetermined = F.col("lang_pred") == "und"
+    return rows.select("doc_id", "held_out", undetermined.alias("undetermined"), (undetermined | F.coalesce("known", F.lit(False))).alias("learned"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def llm_toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_toxicity(spark, sf_dir).select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"), ((F.col("score") >= 0.3) == (F.col("predicted") == 1)).alias("decided"))
+
+
+def llm_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each document follow one another from its first id to its last."""
+    pieces = op2_packing(spark, sf_dir)
+    before = Window.partitionBy("doc_id").orderBy("start")
+    pieces = pieces.withColumn("due", F.coalesce(F.lag(F.col("start") + F.col("length")).over(before), F.lit(0)))
+    return pieces.groupBy("doc_id").agg(F.min(F.col("start") == F.col("due")).alias("gapless"), (F.sum("length") == F.max("doc_tokens")).alias("whole"))
+
+
+def llm_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document starts where another one ends, or at 0."""
+    rows = op9_token_files(spark, sf_dir)
+    ends = rows.select((F.col("start") + F.col("n_tokens")).alias("start"), F.lit(True).alias("met"))
+    rows = rows.join(ends, "start", "left")
+    return rows.select("doc_id", ((F.col("start") == 0) | F.coalesce("met", F.lit(False))).alias("follows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -76,5 +117,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_resampling": op10_resampling,
+    "llm_base_scores": llm_base_scores,
+    "llm_payloads": llm_payloads,
+    "llm_languages": llm_languages,
+    "llm_toxic_scores": llm_toxic_scores,
+    "llm_pieces": llm_pieces,
+    "llm_token_files": llm_token_files,
 }
-ORACLES: dict[str, str] = {}
