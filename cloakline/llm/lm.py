@@ -8,7 +8,10 @@ touches one word.
 
 Shards go to the workers by broadcast in groups of at most `group_bytes`. A pair lives in one shard, so where there are
 several groups each is one pass over the documents that adds the pairs it holds; words' levels, which every pair needs,
-come first in the same way. Nothing is left out at any size; the passes grow with the filter.
+come first in the same way. Where that would take more than `most_passes`, no shard is broadcast: texts are dealt to
+chunks of `chunk_tokens`, each chunk asks every shard once for its distinct n-grams, the probes happen beside the shard,
+and the answers meet their chunk. That shuffles texts and distinct n-grams once, however large the filter is, and gives
+the same scores; a frequent pair is asked for once a chunk.
 
 The model is a Dirichlet-smoothed bigram: P(w | v) = (c(v w) + mu P(w)) / (c(v) + mu), with P(w) from words' counts by
 adding a half; each count is its level's middle. The text's first token follows the end token.
@@ -27,8 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import SEED, Lexicon, Scratch, as_bytes, batches_of, chain, input_size, mix, quiet, small_batches, sum_pairs, words_of
 
@@ -107,6 +112,29 @@ class Filter:
         return out
 
 
+class Answers:
+    """Levels that shards have given."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.given = keys[order], levels[order]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return exact(self.keys, self.given, keys)
+
+
+def packed(keys: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct n-grams by shard, at most PACKED at a time."""
+    keys = np.unique(keys)
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, keys = shard[order], keys[order]
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), len(shard)]):
+        for a in range(x, y, PACKED):
+            yield int(shard[x]), keys[a : min(a + PACKED, y)].tobytes()
+
+
 def hashes_of(words: list[bytes], lexicon: Lexicon) -> np.ndarray:
     """Hashes of a text's tokens: its words, then the end."""
     ids = lexicon.ids(words)
@@ -194,7 +222,7 @@ def groups_of(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
     return out
 
 
-def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0, head_words: int = 1 << 19, group_bytes: int = 128 << 20, chars_per_shard: int = 8_000_000) -> DataFrame:
+def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0, head_words: int = 1 << 19, group_bytes: int = 128 << 20, chars_per_shard: int = 8_000_000, most_passes: int = 8, chunk_tokens: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row of documents (doc_id, text)."""
     spark = documents.sparkSession
     small_batches(spark)
@@ -324,23 +352,92 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
 
         return df.mapInArrow(run, df.select(*names).schema)
 
+    def beside_shards(rows: DataFrame) -> DataFrame:
+        """Scores of texts where no group of shards goes to the workers."""
+        at = {c: k for k, c in enumerate(rows.columns)}
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, held = TaskContext.get().partitionId() << 32, 0
+            for b in batches_of(batches):
+                own = []
+                for n in b.column(at["n_tokens"]).to_pylist():
+                    if held and held + n > chunk_tokens:
+                        chunk, held = chunk + 1, 0
+                    held += n
+                    own.append(chunk)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "chunk"])
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon, now = Lexicon(), None
+            wanted: dict[int, list[np.ndarray]] = {WORDS: [], PAIRS: []}
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for kind, parts in wanted.items():
+                    rows = list(packed(np.concatenate(parts), shards)) if parts else []
+                    for k in range(0, len(rows), 64):
+                        own = rows[k : k + 64]
+                        yield pa.RecordBatch.from_arrays([pa.array([now] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int8()), pa.array([x for x, _ in own], pa.int32()), pa.array([h for _, h in own], pa.binary())], names=["chunk", "kind", "shard", "h"])
+                    parts.clear()
+
+            for b in batches_of(batches):
+                if lexicon.full():
+                    lexicon.reset()
+                for text, chunk in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
+                    if chunk != now:
+                        yield from out()
+                        now = chunk
+                    h = hashes_of(words_of(text), lexicon)
+                    wanted[WORDS].append(h)
+                    with quiet():
+                        wanted[PAIRS].append(pair_keys(h))
+            yield from out()
+
+        def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+            asked_h = asked.column("h").to_pylist()
+            shard = Filter({0: own.column("bits")[0].as_py()}, 1) if own.num_rows else None
+            found = [(shard.levels(np.frombuffer(h, np.uint64)) if shard else np.zeros(len(h) // 8, np.int8)).astype(np.int8).tobytes() for h in asked_h]
+            return pa.table([asked.column("chunk"), asked.column("kind"), asked.column("h"), pa.array(found, pa.binary())], names=["chunk", "kind", "h", "given"])
+
+        kept = [c for c in rows.columns if c not in ("text", "levels", "score")]
+
+        def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            known = {}
+            for kind in (WORDS, PAIRS):
+                own = [(h, g) for k, h, g in zip(*(answers.column(c).to_pylist() for c in ("kind", "h", "given"))) if k == kind]
+                known[kind] = Answers(np.frombuffer(b"".join(h for h, _ in own), np.uint64), np.frombuffer(b"".join(g for _, g in own), np.int8))
+            lexicon, scores = Lexicon(), []
+            for text in as_bytes(texts.column("text").combine_chunks()):
+                h = hashes_of(words_of(text), lexicon)
+                scores.append(pair_score(h, known[WORDS].levels(h), known[PAIRS]))
+            return pa.table([*(texts.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
+
+        chunks = written(rows.mapInArrow(deal, StructType([*rows.schema.fields, StructField("chunk", LongType())])), "chunks")
+        asked = chunks.select("text", "chunk").mapInArrow(ask, "chunk long, kind byte, shard int, h binary")
+        filters = table.select("kind", "shard", "bits")
+        answers = asked.groupBy("kind", "shard").cogroup(filters.groupBy("kind", "shard")).applyInArrow(answer, "chunk long, kind byte, h binary, given binary")
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, StructType([f for f in rows.schema.fields if f.name in kept] + [StructField("score", DoubleType())]))
+
     word_groups, pair_groups = groups[WORDS] or [None], groups[PAIRS] or [None]
 
     def loaded(kind: int, group: list[int] | None):
         return load(kind, group) if group is not None else None
 
-    fused = len(word_groups) == 1
-    rows = first_pass(loaded(WORDS, word_groups[0]), loaded(PAIRS, pair_groups[0]) if fused else None, fused, fused and len(pair_groups) == 1)
     last = None
-    for k, group in enumerate(word_groups[1:]):
-        rows = written(rows, f"words{k}", last)
-        last = f"words{k}"
-        rows = more_levels(rows, load(WORDS, group))
-    for k, group in enumerate(pair_groups):
-        if k or not fused:
-            rows = written(rows, f"pairs{k}", last)
-            last = f"pairs{k}"
-            rows = add_pairs(rows, loaded(PAIRS, group), k == len(pair_groups) - 1)
+    if len(word_groups) + len(pair_groups) - 1 > most_passes:
+        rows = beside_shards(first_pass(None, None, False, False))
+        last = "chunks"
+    else:
+        fused = len(word_groups) == 1
+        rows = first_pass(loaded(WORDS, word_groups[0]), loaded(PAIRS, pair_groups[0]) if fused else None, fused, fused and len(pair_groups) == 1)
+        for k, group in enumerate(word_groups[1:]):
+            rows = written(rows, f"words{k}", last)
+            last = f"words{k}"
+            rows = more_levels(rows, load(WORDS, group))
+        for k, group in enumerate(pair_groups):
+            if k or not fused:
+                rows = written(rows, f"pairs{k}", last)
+                last = f"pairs{k}"
+                rows = add_pairs(rows, loaded(PAIRS, group), k == len(pair_groups) - 1)
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "scored", last)
     shared_head.destroy()
     if line > 1:

@@ -33,7 +33,10 @@ def tokens(text):
     return (text or "").encode().lower().split() + [None]
 
 
-@pytest.mark.parametrize("options", [{}, {"head_words": 3, "group_bytes": 300, "chars_per_shard": 4000}])
+SMALL = {"head_words": 3, "group_bytes": 300, "chars_per_shard": 4000}
+
+
+@pytest.mark.parametrize("options", [{}, SMALL, SMALL | {"most_passes": 100}, SMALL | {"most_passes": 0, "chunk_tokens": 20}])
 def test_equals_brute_force(spark, documents, options):
     training = documents.filter(~held_out("doc_id", 5, 1))
     rows = lm.score_texts(documents, training, **options).collect()
@@ -64,3 +67,15 @@ def test_without_training_rows(spark, documents):
     rows = lm.score_texts(documents, documents.limit(0)).collect()
     assert len(rows) == documents.count() and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert lm.score_texts(documents.limit(0), documents).count() == 0
+
+
+def test_both_routes_score_alike(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    training = documents.filter(~held_out("doc_id", 5, 1))
+    few = {"group_bytes": 20_000, "chars_per_shard": 40_000}
+    want = {r.doc_id: r for r in lm.score_texts(documents, training, most_passes=1000, **few).collect()}
+    for chunk_tokens in (100, 5_000, 1_000_000):
+        got = {r.doc_id: r for r in lm.score_texts(documents, training, most_passes=0, chunk_tokens=chunk_tokens, **few).collect()}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            assert r[:5] == want[k][:5] and r.score == pytest.approx(want[k].score, rel=1e-12) and r.base_score == pytest.approx(want[k].base_score, rel=1e-12)
