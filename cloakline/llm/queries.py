@@ -70,6 +70,10 @@ def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # What SQL can say of results that it can't compute: each of these reads the whole result of an operator's query.
 
 
+def llm_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_decontamination(spark, sf_dir).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def llm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_resampling": op10_resampling,
+    "llm_leaks": llm_leaks,
     "llm_base_scores": llm_base_scores,
     "llm_payloads": llm_payloads,
     "llm_languages": llm_languages,

@@ -118,7 +118,23 @@ PIECES = "SELECT doc_id, true AS gapless, true AS whole FROM documents"
 
 TOKEN_FILES = "SELECT doc_id, true AS follows FROM documents"
 
+LETTERS = r"[\p{L}\p{N}]+"
+
+#: Every window that shares a shingle with an item, by exact weighted Jaccard similarity; no fingerprints.
+LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{LETTERS}') AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{LETTERS}') AS w FROM benchmark) WHERE len(w) > 0),
+item_shingles AS (SELECT item_id, n, k, n - k + 1 AS total, s, count(*) AS c FROM (SELECT item_id, n, k, w, unnest(range(n - k + 1)) AS p FROM i), LATERAL (SELECT array_to_string(w[p + 1 : p + k], ' ') AS s) GROUP BY ALL),
+doc_places AS (SELECT doc_id, w, k, unnest(range(greatest(0, len(w) - k + 1))) AS p FROM d, (SELECT DISTINCT k FROM i)),
+doc_shingles AS (SELECT doc_id, len(w) AS words, k, p, array_to_string(w[p + 1 : p + k], ' ') AS s FROM doc_places),
+hits AS (SELECT doc_id, item_id, words, n, k, total, c, p, s FROM doc_shingles JOIN item_shingles USING (k, s)),
+pairs AS (SELECT doc_id, item_id FROM hits GROUP BY doc_id, item_id, total HAVING count(*) >= 0.8 * total - 1e-9),
+inside AS (SELECT *, least(words - k + 1, total) AS held, unnest(range(greatest(0, p - total + 1), least(p, greatest(0, words - n)) + 1)) AS start FROM hits JOIN pairs USING (doc_id, item_id)),
+shared AS (SELECT doc_id, item_id, start, held, total, least(count(*), any_value(c)) AS common FROM inside GROUP BY doc_id, item_id, start, held, total, s),
+windows AS (SELECT doc_id, item_id, sum(common) AS common, any_value(held) AS held, any_value(total) AS total FROM shared GROUP BY doc_id, item_id, start)
+SELECT doc_id, item_id, round(max(common / (held + total - common)), 6) AS similarity FROM windows GROUP BY doc_id, item_id HAVING max(common / (held + total - common)) >= 0.8 - 1e-12"""
+
 ORACLES = {
+    "llm_leaks": LEAKS,
     "op6_simhash": simhash(3, 2),
     "llm_base_scores": BASE_SCORES,
     "llm_payloads": PAYLOADS,
