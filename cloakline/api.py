@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import replacement
 from .operators.redaction import redact_findings, redact_values, searched
 from .operators.scan import scan_values, with_context, with_findings
-from .plans.documents import document_values, redact_documents, scan_documents
+from .plans.documents import FIELDS, binary_values, document_values, redact_documents, scan_documents, values_of
 from .plans.options import PRESETS, THRESHOLDS, Options
 
 __all__ = [
-    "PRESETS", "THRESHOLDS", "Options", "apply_replacements", "document_values", "escape_html", "findings_for_display", "redact_documents", "redact_text", "replacement_for", "scan_documents", "scan_values", "sheet_preview", "with_context", "with_findings",
+    "PRESETS", "THRESHOLDS", "Options", "apply_replacements", "document_values", "escape_html", "findings_for_display", "redact_documents", "redact_text", "register", "replacement_for", "scan_documents", "scan_values", "sheet_preview", "with_context", "with_findings",
 ]
 
 
@@ -33,6 +35,30 @@ def redact_text(values: DataFrame, column: str = "value", options: Options = Opt
     return done.select("_kept.*", "output").withColumn(column, F.when(F.col(f"`{column}`").isNotNull(), F.col("output"))).drop("output")
 
 
+def register(spark: SparkSession) -> None:
+    """SQL names for a session: table functions document_values(name, text) and office_values(name, content), scalar functions redacted(label, original) and pseudonym(label, original)."""
+    shown = [(n, t) for n, _, t in FIELDS if n != "doc_id"]
+    schema = ", ".join(f"{n} {t}" for n, t in shown)
+
+    def rows(found: Iterator[dict]) -> Iterator[tuple]:
+        for n, v in enumerate(found):
+            v = {"value_seq": n} | v
+            yield tuple(v.get(c) for c, _ in shown)
+
+    class DocumentValues:
+        def eval(self, name: str, text: str) -> Iterator[tuple]:
+            yield from rows(values_of(name, text or ""))
+
+    class OfficeValues:
+        def eval(self, name: str, content: bytes) -> Iterator[tuple]:
+            yield from rows(binary_values(name or "", bytes(content or b"")))
+
+    spark.udtf.register("document_values", F.udtf(DocumentValues, returnType=schema))
+    spark.udtf.register("office_values", F.udtf(OfficeValues, returnType=schema))
+    for name, mode in (("redacted", "redact"), ("pseudonym", "pseudo")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(label STRING, original STRING) RETURNS STRING RETURN {replacement('label', 'original', mode)}")
+
+
 def findings_for_display(findings: DataFrame, text: str = "", badge_at: float = THRESHOLDS["high"]) -> DataFrame:
     """Findings that hold a text, with a badge HIGH or MEDIUM and their percentage."""
     return searched(findings, text.strip()).withColumn("badge", F.when(F.col("confidence") >= badge_at, "HIGH").otherwise("MEDIUM")).withColumn("percent", F.round(F.col("confidence") * 100).cast("int"))

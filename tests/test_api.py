@@ -27,3 +27,14 @@ def test_preview(spark):
     rows = spark.createDataFrame([(1, s, r, c, f"{s}{r}{c}") for s in range(3) for r in range(8) for c in range(2)], "doc_id int, sheet_index int, row_index int, column_index int, value string")
     got = api.sheet_preview(rows)
     assert got.count() == 10 and got.agg(F.max("nth")).first()[0] == 5
+
+
+def test_sql_names(spark):
+    api.register(spark)
+    spark.createDataFrame([(1, "a.csv", "name,mail\nAnn,ann@lee.example\n"), (2, "b.json", '{"k": {"v": "x"}}'), (3, "c.csv", None)], "id int, name string, text string").createOrReplaceTempView("own_files")
+    got = [tuple(r) for r in spark.sql("SELECT id, v.reading, v.value, v.path FROM own_files, LATERAL document_values(name, text) v WHERE v.unit = 'cell' AND v.preferred ORDER BY id, v.value_seq").collect()]
+    assert [r[:3] for r in got] == [(1, "csv", "Ann"), (1, "csv", "ann@lee.example"), (2, "json", "x")] and got[2][3] == ["k", "v"]
+    assert spark.sql("SELECT reason FROM office_values('x.xlsx', X'00')").first().reason.startswith("BadZipFile")
+    one = spark.createDataFrame([("EMAIL", "ann@lee.example")], "label string, original string")
+    for name, mode in (("redacted", "redact"), ("pseudonym", "pseudo")):
+        assert one.selectExpr(f"{name}(label, original) as x").first().x == one.select(api.replacement_for("label", "original", mode).alias("x")).first().x
