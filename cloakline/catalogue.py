@@ -511,7 +511,7 @@ _CELLS = " UNION ALL ".join(f"SELECT 'table:{k}' AS group_key, trim(CAST({c} AS
     SELECT n.group_key, n.label, n.n, t.total, (n.label IN ({', '.join(f"'{p}'" for p in PRECISE_SHAPES)}) OR (n.n >= 2 AND n.n * 10 >= t.total * 6)) AS hinted FROM n JOIN t USING (group_key)""",
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = melted(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment", "c_custkey"])
+    cells = melted(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment", "c_custkey"], group_rows=None)
     needed = {"table_index": "int", "sheet_index": "int", "disable_profile": "boolean", "path": "array<string>"}
     keyed = cells.withColumns({c: F.lit(None).cast(t) for c, t in needed.items()}).withColumn("group_key", F.expr(profiles.group_key()))
     return profiles.column_profiles(keyed).select("group_key", "label", "n", "total", "hinted")
