@@ -161,6 +161,79 @@ def test_text_is_what_plain_loops_give(spark):
         assert [got[k] for k in range(len(pages))] == expected
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 2), st.booleans()), max_size=20), max_size=6), st.integers(1, 9))
+def test_the_array_counts_the_pages_of_wanted_windows(pages, least):
+    expected = {}
+    for k, p in enumerate(pages):
+        for a in range(len(p) - least + 1):
+            if any(w for _, w in p[a : a + least]):
+                expected.setdefault(tuple(x for x, _ in p[a : a + least]), set()).add(k)
+    streams = [np.array([x for x, _ in p], np.int64) for p in pages]
+    starts, n = H.counted(streams, [np.array([w for _, w in p], bool) for p in pages], least)
+    text = [x for p in pages for x in [*(x for x, _ in p), -1]]
+    assert {tuple(text[a : a + least]): c for a, c in zip(starts.tolist(), n.tolist())} == {w: len(k) for w, k in expected.items()} and len(starts) == len(expected)
+
+
+def plain_content_of_host(pages, least=8, share=0.5, fewest=5, copy_share=0.5):
+    """The content of a host's pages without notices, by loops over all windows."""
+    blocks, on, having = [H.blocks_of(p) for p in pages], {}, set()
+    for p, b in zip(pages, blocks):
+        stream = [x for t, z, s in b for x in ((s, False), *((w, z == H.CONTENT) for w in t.split(" ")))]
+        if any(w for _, w in stream):
+            having.add(p)
+        for a in range(len(stream) - least + 1):
+            if any(w for _, w in stream[a : a + least]):
+                on.setdefault(tuple(x for x, _ in stream[a : a + least]), set()).add(p)
+    notices = {w for w, p in on.items() if len(p) >= fewest and len(p) >= share * len(having)}
+    out = []
+    for b in blocks:
+        stream = [(x, z, n) for n, (t, z, s) in enumerate(b) for x, z in ((s, None), *((w, z) for w in t.split(" ")))]
+        marks = set()
+        for a in range(len(stream) - least + 1):
+            if tuple(x for x, _, _ in stream[a : a + least]) in notices and any(z == H.CONTENT for _, z, _ in stream[a : a + least]):
+                marks |= set(range(a, a + least))
+        held = Counter(n for i, (_, z, n) in enumerate(stream) if i in marks and z is not None)
+        gone = {n for n, (t, z, _) in enumerate(b) if z == H.CONTENT and held[n] >= 0.8 * len(t.split(" "))}
+        size = {n: len(t.split(" ")) for n, (t, z, _) in enumerate(b) if z == H.CONTENT}
+        if sum(size[n] for n in gone) >= copy_share * sum(size.values()):
+            gone = set()
+        out.append(" ".join(t for n, (t, z, _) in enumerate(b) if z == H.CONTENT and n not in gone))
+    return out
+
+
+def test_what_a_host_repeats_inside_its_articles_goes(spark):
+    """On pages with landmarks too the array decides first: plain paragraphs that half of a host's articles share are notices."""
+    rng = np.random.default_rng(7)
+    notes = [" ".join(f"note{n}w{j}" for j in range(10 + n)) for n in range(4)]
+    pages = []
+    for k in range(40):
+        body = [f"<p>{' '.join(f'v{x}' for x in rng.integers(0, 400, rng.integers(10, 60)))}</p>" for _ in range(rng.integers(1, 4))]
+        body += [f"<p>{n}</p>" for n, often in zip(notes, (0.95, 0.6, 0.3, 0.1)) if rng.random() < often]
+        body += [f"<p>{notes[0]} by v{k}</p>"] * (k % 6 == 0)
+        pages.append(f"<body><nav>{notes[3]}</nav><article>{''.join(body[i] for i in rng.permutation(len(body)))}</article><footer>{notes[2]}</footer></body>")
+    pages += [f"<body><article><p>{notes[0]}</p><p>short {k}</p></article></body>" for k in range(3)] + pages[:5] + ["", "<article></article>", "<article>one</article>"]
+    expected = plain_content_of_host(pages)
+    assert sum("note0w3" in t for t in expected[:40]) < 5 and sum("note2w3" in t for t in expected) > 5 and all("note0w3" in t for t in expected[40:43])
+    few = [f"<article><p>{notes[1]}</p><p>{' '.join(f'f{k}x{j}' for j in range(30))}</p></article>" for k in range(4)]
+    rows = [(k, "http://h.example/", p) for k, p in enumerate(pages)] + [(1000 + k, "http://few.example/", p) for k, p in enumerate(few)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chars in (2_000_000, 4_000, 300):
+        got = {r.page_id: r.text for r in H.main_text(df, group_chars=chars).collect()}
+        assert [got[k] for k in range(len(pages))] == expected
+        assert all(notes[1] in got[1000 + k] for k in range(4))  # too few pages to call it a notice
+
+
+def test_the_array_takes_notices_from_the_articles_of_the_test_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    notice = "<p>You are reading what <b>our</b> authors wrote for you, so tell your friends about this site.</p></article>"
+    noted = pages.selectExpr("page_id", "url", f"replace(html, '</article>', '{notice}') as html")
+    named = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    same = lambda **options: sum(r.text == named[r.page_id] for r in H.main_text(noted, **options).collect()) / len(named)
+    assert same(group_chars=100_000) == same() > 0.97  # articles as short as the notice keep it
+    assert same(least_tokens=1_000_000) == 0
+
+
 def test_the_array_finds_the_articles_of_pages_without_names(spark):
     """Pages of the test table with all landmarks and class names taken away: repeats of the host decide alone."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
