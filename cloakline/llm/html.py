@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -334,12 +334,12 @@ def names_of(schema: str) -> list[str]:
 NAMED = "host string, opened boolean, pages long, h array<long>, n array<long>"
 
 
-def repeats_of_group(table: pa.Table, least: int, share: float) -> pa.Table:
+def repeats_of_group(batches: Iterator[pa.RecordBatch], least: int, share: float) -> pa.RecordBatch:
     """Of a group's pages: whether one has an open block, how many have content, and the windows of content that `share` of those have."""
     known: dict[str, int] = {}
     seen: set[int] = set()
-    streams, wanted, opened, pages = [], [], False, 0
-    for page, html in zip(table.column("page").to_pylist(), table.column("html").to_pylist()):
+    streams, wanted, opened, pages, host = [], [], False, 0, None
+    for host, page, html in (row for b in batches_of(batches) for row in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")))):
         if page in seen:
             continue
         seen.add(page)
@@ -362,8 +362,8 @@ def repeats_of_group(table: pa.Table, least: int, share: float) -> pa.Table:
         hashes = every[starts]
         for k in range(1, least if len(starts) else 1):
             hashes = chain(hashes, every[starts + k])
-    values = [table.column("host")[:1].combine_chunks(), pa.array([opened]), pa.array([pages], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))]
-    return pa.Table.from_arrays(values, names=[x.split()[0] for x in NAMED.split(", ")])
+    values = [pa.array([host], pa.string()), pa.array([opened]), pa.array([pages], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(values, names=names_of(NAMED))
 
 
 def with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -376,29 +376,18 @@ def with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     return rows.join(hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), ["host", "salt"], "left").drop("salt")
 
 
-def distinct_pages(rows: DataFrame) -> DataFrame:
-    """Rows without those that a task has met before; a few copies, one a task, are left."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-        for b in batches_of(batches):
-            keep = []
-            for key in zip(b.column("host").to_pylist(), b.column("page").to_pylist()):
-                keep.append(key not in seen)
-                seen.add(key)
-            yield b if all(keep) else b.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def repeats_of_hosts(rows: DataFrame, scratch: Scratch, *, least: int, group_chars: int, share: float, fewest: int) -> DataFrame:
     """host, groups (null where no page has an open block) and notices: windows that hold content on `share` of its pages with content, `fewest` at least."""
     sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.sum(F.length("html")) / group_chars), F.lit(1)).cast("long").alias("groups")).persist()
     some = rows.filter("html <> ''").withColumn("page", F.xxhash64("html"))
     total = int(sizes.agg(F.sum("groups")).first()[0] or 0)
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, total // 8, 1)
-    dealt = with_hosts(distinct_pages(some), sizes).withColumn("part", F.pmod("page", "groups")).select("host", "part", "page", "html").repartition(parts, "host", "part")
-    named = dealt.groupBy("host", "part").applyInArrow(lambda table: repeats_of_group(table, least, share), NAMED).persist()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, total // 4, 1)
+    dealt = with_hosts(some, sizes).withColumn("part", F.pmod("page", "groups")).select("host", "part", "page", "html").repartition(parts, "host", "part")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield repeats_of_group(batches, least, share)
+
+    named = dealt.groupBy("host", "part").applyInArrow(name, NAMED).persist()
     hosts = named.groupBy("host").agg(F.max("opened").alias("opened"), F.sum("pages").alias("pages"))
     windows = named.select("host", F.explode(F.arrays_zip("h", "n")).alias("w")).select("host", "w.h", "w.n").join(sizes, "host")
     asked = windows.filter("groups > 1").groupBy("host").agg(F.collect_set("h").alias("notices")).persist()
@@ -424,23 +413,20 @@ def repeats_of_hosts(rows: DataFrame, scratch: Scratch, *, least: int, group_cha
     return out
 
 
-def parsed(pages: DataFrame, scratch: Scratch, *, least: int, group_chars: int, copy_share: float, share: float, fewest: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Every page with its host, its group (null where no page of the host has an open block, 0 where it is one group) and the host's notices, and what cuts pages into blocks."""
+def grouped_pages(pages: DataFrame, scratch: Scratch, *, least: int, group_chars: int, share: float, fewest: int) -> DataFrame:
+    """Every page with its host, its group (null where no page of the host has an open block, 0 where it is one group), its html and the host's notices."""
     small_batches(pages.sparkSession, 256)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     rows = with_hosts(rows, repeats_of_hosts(rows, scratch, least=least, group_chars=group_chars, share=share, fewest=fewest))
     part = F.when(F.col("groups") > 1, F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")) + 1).when(F.col("groups") == 1, F.lit(0))
-    rows = rows.select("page_id", "url", "host", part.cast("long").alias("part"), "html", "notices")
+    return rows.select("page_id", "url", "host", part.cast("long").alias("part"), "html", "notices")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches):
-            known: dict[str, int] = {}
-            found = [without_notices(blocks_of(h or ""), n, known, least, copy_share) for h, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            lists = [pa.array([[x[k] for x in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int8(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], names=names_of(PARSED))
 
-    return rows, lambda some: some.mapInArrow(run, PARSED)
+def cut(batch: pa.RecordBatch, least: int, copy_share: float) -> list[list[tuple[str, int, int]]]:
+    """The blocks of a batch's pages, notices made boilerplate."""
+    known: dict[str, int] = {}
+    return [without_notices(blocks_of(h or ""), n, known, least, copy_share) for h, n in zip(batch.column("html").to_pylist(), batch.column("notices").to_pylist())]
 
 
 def result(page_ids: pa.Array, urls: pa.Array, texts: list[str]) -> list[pa.Array]:
@@ -498,13 +484,19 @@ def all_marks(texts: list[str], covered: bytes, more: list[int] | None, least: i
 def main_text(pages: DataFrame, *, least_tokens: int = 8, group_chars: int = 2_000_000, slot_share: float = 0.3, copy_share: float = 0.5, notice_share: float = 0.5, notice_pages: int = 5) -> DataFrame:
     """page_id, url, text (empty if none) and n_chars of every page."""
     scratch = Scratch(pages.sparkSession, "html")
-    dealt, blocks = parsed(pages, scratch, least=least_tokens, group_chars=group_chars, copy_share=copy_share, share=notice_share, fewest=notice_pages)
+    dealt = grouped_pages(pages, scratch, least=least_tokens, group_chars=group_chars, share=notice_share, fewest=notice_pages)
 
     def of_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            texts = [" ".join(t for t, z in zip(ts, zs) if z == CONTENT) for ts, zs in zip(b.column("texts").to_pylist(), b.column("zones").to_pylist())]
+            texts = [" ".join(t for t, z, _ in blocks if z == CONTENT) for blocks in cut(b, least_tokens, copy_share)]
             yield pa.RecordBatch.from_arrays(result(b.column("page_id"), b.column("url"), texts), names=names_of(RESULT))
 
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            found = cut(b, least_tokens, copy_share)
+            lists = [pa.array([[x[k] for x in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int8(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], names=names_of(PARSED))
+
     def one_group(table: pa.Table) -> pa.Table:
         t = label_group(table, least_tokens)
         rows = [(x, z, s, np.frombuffer(c, np.uint8) > 0) for x, z, s, c in zip(*(t.column(c).to_pylist() for c in ("texts", "zones", "slots", "covered")))]
@@ -518,9 +510,9 @@ def main_text(pages: DataFrame, *, least_tokens: int = 8, group_chars: int = 2_0
         return pa.Table.from_arrays(result(t.column("page_id"), t.column("url"), [assemble(*r, template, copy_share) for r in rows]), names=names_of(RESULT))
 
     # Pages of hosts without an open block: the content that the array leaves.
-    closed = blocks(dealt.filter("part is null")).mapInArrow(of_content, RESULT)
-    alone = blocks(dealt.filter("part = 0")).groupBy("host").applyInArrow(one_group, RESULT)
-    grouped = blocks(dealt.filter("part > 0")).groupBy("host", "part").applyInArrow(lambda table: label_group(table, least_tokens), LABELLED)
+    closed = dealt.filter("part is null").mapInArrow(of_content, RESULT)
+    alone = dealt.filter("part = 0").mapInArrow(of_blocks, PARSED).groupBy("host").applyInArrow(one_group, RESULT)
+    grouped = dealt.filter("part > 0").mapInArrow(of_blocks, PARSED).groupBy("host", "part").applyInArrow(lambda table: label_group(table, least_tokens), LABELLED)
     labelled = scratch.table(grouped.withColumn("uid", F.monotonically_increasing_id()), "labelled")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
