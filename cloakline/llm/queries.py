@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lm, media, packing, resampling, sampling, simhash, token_files, toxicity
+from . import decontamination, html, langid, lm, media, packing, repair, resampling, sampling, simhash, token_files, topk, toxicity
 from .common import held_out, read_table
 from .sql import ORACLES  # noqa: F401
 from .tokens import tokenizer_path
@@ -66,6 +66,14 @@ def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_grams", "log_weight", "odds", "gumbel_key", "kept")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")), texts=False).drop("repaired")
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 
 # What SQL can say of results that it can't compute: each of these reads the whole result of an operator's query.
 
@@ -121,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_resampling": op10_resampling,
+    "op11_repair": op11_repair,
+    "op12_top_k": op12_top_k,
     "llm_leaks": llm_leaks,
     "llm_base_scores": llm_base_scores,
     "llm_payloads": llm_payloads,

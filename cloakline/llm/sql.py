@@ -133,8 +133,52 @@ shared AS (SELECT doc_id, item_id, start, held, total, least(count(*), any_value
 windows AS (SELECT doc_id, item_id, sum(common) AS common, any_value(held) AS held, any_value(total) AS total FROM shared GROUP BY doc_id, item_id, start)
 SELECT doc_id, item_id, round(max(common / (held + total - common)), 6) AS similarity FROM windows GROUP BY doc_id, item_id HAVING max(common / (held + total - common)) >= 0.8 - 1e-12"""
 
+def repair_sql() -> str:
+    """The least (cost, letters, lines) of each state after each turn, going forward: letters that come first among equals stay first whatever follows."""
+    blank = r"[^\x20\x09-\x0D]"
+
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || chr(10) || {line}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    far = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    delete = [f"{{'c': v{k}.c + 4, 'a': v{k}.a || 'D', 't': v{k}.t}}" for k in range(4)]
+
+    def keep(k: int, role: str) -> str:
+        return f"CASE WHEN stays AND initial = '{role}' THEN {edit(f'v{k}', 'more', 'K', 'line')} ELSE {far} END"
+
+    def change(k: int, role: str) -> str:
+        return f"CASE WHEN stays THEN {edit(f'v{k}', '(3 + more)', 'R', chr(39) + role + ':' + chr(39) + ' || text')} ELSE {far} END"
+
+    w = [delete[0], least(delete[1], keep(0, "s")), least(delete[2], *(x for k in (0, 1, 3) for x in (keep(k, "u"), change(k, "user")))), least(delete[3], keep(2, "a"), change(2, "assistant"))]
+    user, assistant = "'user:'", "'assistant:'"
+    u = least("w2", *(edit(f"w{k}", "3", "I", user) for k in (0, 1, 3)))
+    return f"""WITH RECURSIVE {CRC_TABLE},
+lots AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS lot FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE lot WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM lots),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(role || ':' || text, 1, 64), md5(role || ':' || text)) AS pos FROM damaged),
+marked AS (SELECT *, NOT regexp_matches(text, '{blank}') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM placed),
+turns AS (SELECT conv_id, pos, text, role || ':' || text AS line, initial, NOT blank AND NOT again AS stays, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM marked),
+walked AS (
+SELECT DISTINCT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS v0, {far} AS v1, {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || {user}}} AS v2, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || {user} || chr(10) || {assistant}}} AS v3 FROM conversations
+UNION ALL
+SELECT conv_id, pos, w0, w1, {least("u2", edit("w3", "3", "I", user))}, {least("w3", edit("u2", "3", "I", assistant))} FROM (SELECT conv_id, pos, w0, w1, w3, {u} AS u2 FROM (
+SELECT t.conv_id, t.pos, {w[0]} AS w0, {w[1]} AS w1, {w[2]} AS w2, {w[3]} AS w3 FROM walked r JOIN turns t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.pos = r.pos + 1))),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pos > 1 AND coalesce(prior, '') || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+best AS (SELECT w.conv_id, n, gaps, blank, duplicate, truncated, illegal, CASE WHEN n IS NULL THEN w.v0 ELSE {least("w.v0", "w.v3")} END AS v FROM walked w LEFT JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.pos = coalesce(n, 0))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, v.c AS cost, v.a AS audit, sha256(substr(v.t, 2)) AS repaired_sha256 FROM best"""
+
+
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.e) = len(x.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20"""
+
 ORACLES = {
     "llm_leaks": LEAKS,
+    "op11_repair": repair_sql(),
+    "op12_top_k": TOP_K,
     "op6_simhash": simhash(3, 2),
     "llm_base_scores": BASE_SCORES,
     "llm_payloads": PAYLOADS,
