@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lm, media, packing, repair, resampling, sampling, simhash, token_files, topk, toxicity
+from . import decontamination, html, langid, lm, media, packing, repair, resampling, sampling, simhash, token_files, topk, toxicity, trie
 from .common import held_out, read_table
 from .sql import ORACLES  # noqa: F401
 from .tokens import tokenizer_path
@@ -74,6 +74,10 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 
 # What SQL can say of results that it can't compute: each of these reads the whole result of an operator's query.
 
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_resampling": op10_resampling,
     "op11_repair": op11_repair,
     "op12_top_k": op12_top_k,
+    "op13_trie": op13_trie,
     "llm_leaks": llm_leaks,
     "llm_base_scores": llm_base_scores,
     "llm_payloads": llm_payloads,

@@ -175,10 +175,28 @@ TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(6
 pairs AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.e) = len(x.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20"""
 
+#: Every prefix of every rebuilt conversation as a list of turns; subtrees by all pairs of a conversation's prefixes.
+TRIE = f"""WITH {CRC_TABLE},
+placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(coalesce(role, '') || ':' || coalesce(text, ''), 1, 64), md5(coalesce(role, '') || ':' || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id),
+convs AS (SELECT s.conv_id, {crc32("s.conv_id")} % 6 AS h, s.conv_id - s.conv_id % 100 AS base, least({crc32("s.conv_id")} % 6, coalesce(b.n, 0)) AS taken FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 100, crc),
+turns AS (SELECT c.conv_id, taken + pos - h AS depth, role, text FROM placed p JOIN convs c ON p.conv_id = c.conv_id WHERE pos > h UNION ALL SELECT c.conv_id, pos, role, text FROM placed p JOIN convs c ON p.conv_id = c.base WHERE pos <= h),
+paths AS (SELECT conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY depth) FILTER (role IS NOT NULL), []) AS path FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths),
+prefixes AS (SELECT conv_id, depth, depth = len(path) AS last, path[1:depth] AS prefix FROM members),
+nodes AS (SELECT prefix, depth, row_number() OVER () AS id, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM prefixes GROUP BY prefix, depth),
+within AS (SELECT p.conv_id, p.depth, id FROM prefixes p JOIN nodes n USING (prefix) WHERE p.depth = n.depth),
+ups AS (SELECT n.id AS id, w.id AS up, u.conv_id AS up_conv FROM nodes n JOIN within w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1 JOIN nodes u ON u.id = w.id),
+below AS (SELECT up AS id, count(*) AS n_children FROM ups GROUP BY up),
+pairs AS (SELECT DISTINCT a.id AS id, b.id AS inner_id FROM within a JOIN within b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT p.id AS id, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE length(n.prefix[-1].t) END)::BIGINT AS saved_tokens FROM pairs p JOIN nodes n ON n.id = p.inner_id LEFT JOIN below b ON b.id = p.inner_id GROUP BY p.id)
+SELECT n.conv_id, n.depth, up_conv AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM nodes n LEFT JOIN ups USING (id) LEFT JOIN below USING (id) JOIN sums USING (id)"""
+
 ORACLES = {
     "llm_leaks": LEAKS,
     "op11_repair": repair_sql(),
     "op12_top_k": TOP_K,
+    "op13_trie": TRIE,
     "op6_simhash": simhash(3, 2),
     "llm_base_scores": BASE_SCORES,
     "llm_payloads": PAYLOADS,
