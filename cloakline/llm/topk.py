@@ -155,7 +155,7 @@ class Tree:
                             heapq.heappush(heap, (-bound[child], least[child], child))
                     continue
                 a = start[node]
-                scores = rows[a : stop[node]] @ query
+                scores = clipped(rows[a : stop[node]] @ query)
                 for j in range(len(scores)) if last is None else np.flatnonzero(scores >= last[0]).tolist():
                     found = (int(scores[j]), -ids[a + j])
                     if ids[a + j] == me or (last is not None and found <= last):
@@ -173,11 +173,12 @@ class Tree:
 def bounds_of(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The largest inner product of each query with a point of each box."""
     zero = queries.dtype.type(0) if queries.dtype != object else 0
-    return np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T
+    return clipped(np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T)
 
 
-def clipped(score: int) -> int:
-    return max(-LONG - 1, min(LONG, score))
+def clipped(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond a long (met in unbounded integers only) become its ends."""
+    return np.clip(scores, -LONG - 1, LONG) if scores.dtype == object else scores
 
 
 def _router(splits: dict[int, list]):
@@ -217,7 +218,7 @@ def _search(k: int):
         floor = [None if s is None else (s, -i) for s, i in zip(queries.column("last_score").to_pylist(), queries.column("last_id").to_pylist())]
         found = Tree.load(trees.column("tree")[0].as_py()).search(q, own, k, floor)
         lasts = [f[-1] if len(f) == k else None for f in found]
-        columns = [queries.column("query_id"), queries.column("v"), *(pa.array([x.as_py()] * len(found), t) for x, t in zip(key[:3], (pa.int32(), pa.int32(), pa.int64()))), pa.array([[-i for _, i in f] for f in found], pa.list_(pa.int64())), pa.array([[clipped(s) for s, _ in f] for f in found], pa.list_(pa.int64())), pa.array([x and clipped(x[0]) for x in lasts], pa.int64()), pa.array([x and -x[1] for x in lasts], pa.int64())]
+        columns = [queries.column("query_id"), queries.column("v"), *(pa.array([x.as_py()] * len(found), t) for x, t in zip(key[:3], (pa.int32(), pa.int32(), pa.int64()))), pa.array([[-i for _, i in f] for f in found], pa.list_(pa.int64())), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())), pa.array([x and x[0] for x in lasts], pa.int64()), pa.array([x and -x[1] for x in lasts], pa.int64())]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
 
     return run
