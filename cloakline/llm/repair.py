@@ -279,7 +279,8 @@ def repair(rows: DataFrame, texts: bool = True, parts: int | None = None) -> Dat
     whole = passed.filter("kind = 0").select(*names)
 
     aside = passed.filter("kind = 1").select("conv_id", "name", "part", "i", "turn", "role", "text", "present").withColumns({"at": F.struct("part", "i"), "same": F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary")), "blank_": ~F.col("text").rlike(r"[^\x20\x09-\x0D]")})
-    firsts = aside.filter("present AND NOT blank_").groupBy("name", "same").agg(F.min("at").alias("first_at"))
+    # As a table of its own, so that Spark can split the join where one text fills a conversation.
+    firsts = scratch.table(aside.filter("present AND NOT blank_").groupBy("name", "same").agg(F.min("at").alias("first_at")), "firsts")
     fault = F.when(F.col("blank_"), BLANK).when(F.col("at") > F.col("first_at"), DUPLICATE).when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), TRUNCATED).otherwise(OK)
     marked = scratch.table(aside.join(firsts, ["name", "same"], "left").select("conv_id", "name", "part", "i", "turn", "role", "text", "present", fault.alias("fault"), F.substring("role", 1, 1).alias("initial")), "aside")
     light = marked.select("name", "part", "i", "turn", "present", "fault", "initial")

@@ -244,8 +244,9 @@ def rebuilt_turns(rows: DataFrame, scratch: Scratch, parts: int | None = None, e
 
 def trie(spark: SparkSession, convs: DataFrame, turns: DataFrame, scratch: Scratch, blocks: int | None = None) -> DataFrame:
     """One row a node. convs: conv_id, total (turns). turns: conv_id, depth (from 1), sym (32 hex digits, equal for equal turns), chars."""
-    shared = turns.groupBy("depth", "sym").agg(F.count("*").alias("met")).filter("met > 1")
-    alone = turns.join(shared, ["depth", "sym"], "left").filter("met IS NULL").groupBy("conv_id").agg(F.min("depth").alias("stop"))
+    # As tables of their own, so that both sides of a join are shuffled for it and Spark can split a turn, or a conversation, that many rows have.
+    shared = scratch.table(turns.groupBy("depth", "sym").agg(F.count("*").alias("met")).filter("met > 1"), "shared")
+    alone = scratch.table(turns.join(shared, ["depth", "sym"], "left").filter("met IS NULL").groupBy("conv_id").agg(F.min("depth").alias("stop")), "alone")
     marked = scratch.table(turns.join(alone, "conv_id", "left"), "marked")
     kept = marked.filter("stop IS NULL OR depth <= stop").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "sym", "chars"))).alias("path"))
     items = convs.join(kept, "conv_id", "left").select("conv_id", "total", F.unhex(F.array_join(F.coalesce("path.sym", F.array().cast("array<string>")), "")).alias("key"), F.coalesce(F.col("path.chars"), F.array().cast("array<int>")).alias("chars"))
