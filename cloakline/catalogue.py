@@ -12,10 +12,11 @@ from .expected import EXPECTED
 from .functions import text
 from .functions.evidence import Context, evidence, shape_labels
 from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2
-from .operators import identity, profiles, redaction, scan, words
+from .operators import identity, profiles, redaction, scan, seeds, words
 from .operators.scan import exploded, scan_values, with_context, with_findings
 from .plans import documents as plan
 from .plans.options import PRESETS, Options
+from .plans.storage import stored
 from .sources.readers import melted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,13 +287,41 @@ def identity_standalone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_rows(spark, sf_dir, identity.name_lines("value", identity.NO_SEEDS))
 
 
-@query("identity_seed_propagation")
-def identity_seed_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confident names of a text on their variants in it."""
-    return identity_rows(spark, sf_dir, identity.spread("value", "names", "seeds"), {"names": f"concat({identity.labelled('value', scan.HERE)}, {identity.name_lines('value', identity.NO_SEEDS)})", "seeds": identity.seeds_of("names")})
+_SEED_TOKENS = "list_filter(string_split(trim(regexp_replace(translate(lower(strip_accents(value)), '" + text.LEET_FROM + "', '" + text.LEET_TO + "'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
-_SEED_TOKENS = "list_filter(string_split(trim(regexp_replace(translate(lower(strip_accents(value)), '" + text.LEET_FROM + "', '" + text.LEET_TO + "'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+def tokens_sql(value: str) -> str:
+    return _SEED_TOKENS.replace("strip_accents(value)", f"strip_accents({value})")
+
+
+def near_sql(left: str, right: str) -> str:
+    """DuckDB: as many words, each equal or, from four characters on, within one edit."""
+    word = f"{left}[k] = {right}[k] OR (length({left}[k]) >= 4 AND length({right}[k]) >= 4 AND levenshtein({left}[k], {right}[k]) <= 1)"
+    return f"len({left}) > 0 AND len({left}) = len({right}) AND coalesce(list_bool_and(list_transform(generate_series(1, least(len({left}), len({right}))), lambda k: {word})), FALSE)"
+
+
+def spread_sql(source: str, doc: str, names: str, seeds: str) -> str:
+    """DuckDB: candidates of values (doc_id, value) of `source` that a seed of their document fits. doc: the document of a doc_id; names: findings
+    (doc_id, label, start, stop); seeds: (doc, label, w, rank)."""
+    return f"""SELECT doc_id, label, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, original, CAST(680 AS INTEGER) AS conf_milli FROM (
+      SELECT c.doc_id, c.start, c.stop, c.original, arg_min(s.label, s.rank) AS label FROM (SELECT *, {tokens_sql('original')} AS w FROM {spans_sql(source, 'CANDIDATE')} m) c
+      JOIN {seeds} s ON s.doc = {doc.format('c.doc_id')} AND {near_sql('c.w', 's.w')} GROUP BY ALL) h
+    WHERE NOT EXISTS (SELECT 1 FROM {names} f WHERE f.doc_id = h.doc_id AND f.label = h.label AND f.start = h.start AND f.stop = h.stop)"""
+
+
+_NAMES_SQL = f"(SELECT *, 31 AS seq FROM ({ORACLES['identity_labelled']}) UNION ALL SELECT *, 34 AS seq FROM ({ORACLES['identity_standalone_names']}))"
+_TEXT_SEEDS = f"""(SELECT doc_id AS doc, label, w, min(struct_pack(seq := seq, start := start)) AS rank FROM (SELECT *, {tokens_sql('original')} AS w FROM {_NAMES_SQL} WHERE conf_milli >= 720) WHERE len(w) > 0 GROUP BY ALL)"""
+
+
+@query("identity_seed_propagation", f"WITH names AS {_NAMES_SQL}, seeds AS {_TEXT_SEEDS.replace(_NAMES_SQL, 'names')} {spread_sql(TEXTS_SQL, '{}', 'names', 'seeds')}")
+def identity_seed_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident names of a text on their variants in it."""
+    rows = texts(spark, sf_dir)
+    made = f"concat({identity.labelled('value', scan.HERE)}, {identity.name_lines('value', identity.NO_SEEDS)})"
+    names = rows.select("doc_id", F.posexplode_outer(F.expr(made)).alias("n", "f")).filter("n is not null").select("doc_id", "n", "f.label", "f.start", "f.stop", "f.original", "f.confidence")
+    names = stored(names)
+    confident = names.filter("confidence >= 0.72").select("doc_id", "label", F.expr(text.tokens("original")).alias("words"), F.col("n").alias("rank")).filter("size(words) > 0")
+    return seeds.spread(rows.select("doc_id", "value"), ["doc_id"], [], names, confident).withColumn("conf_milli", F.lit(680))
 
 
 @query(

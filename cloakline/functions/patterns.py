@@ -134,10 +134,30 @@ BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9
 #: White space as a Unicode-aware engine has it: JavaScript's \s and trim().
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+#: What may stand before an address's @; code 1 is a dot that another dot follows (text.emails).
+LOCAL, LOCAL_SIGN = r"[A-Za-z0-9._%+\-\x{1}]", r"[.%+\-\x{1}]"
+#: Patterns with the same matches for an engine that backtracks: Java's stack grows with each turn of a repeated group, and a start that
+#: fails is tried again at each later place of its run. A run is met once here, from its start or where the match before it ended.
+_RUN_TO_AT = rf"(?:(?<!{LOCAL}){LOCAL_SIGN}*+[A-Za-z0-9_]{LOCAL}*+|\G(?<=[A-Za-z0-9_]){LOCAL}++)@"
+JAVA = {
+    "EMAIL": _RUN_TO_AT + r"[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,63}\b",
+    "EMAIL_LOOSE": _RUN_TO_AT + r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}\b",
+    "JWT": r"(?<![0-9A-Za-z_-])(?>[0-9A-Za-z_-]*?\beyJ)[0-9A-Za-z_-]++\.[0-9A-Za-z_-]++\.[0-9A-Za-z_-]+\b",
+    "EMAIL_VALUE": r"^[A-Za-z0-9._%+\-]++@(?![^@]*\.\.)[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,63}$",
+}
+
+#: What of a token's run stands before the token; its first one is the only one that can match.
+JWT_LEAD = r"^[0-9A-Za-z_-]*?(?=\beyJ)"
+#: A hyphen inside a run of name characters that no second word follows: no label ends there (text.labelled).
+_RUN = r"[\p{Latin}\p{M}.'\x{2019}-]"
+LONG_RUN = rf"{_RUN}{{500}}"
+DEAD_HYPHEN = rf"(?:\G(?<={_RUN})|(?<!{_RUN})(?={_RUN}++(?![ \t]+[\p{{Latin}}\p{{M}}]{_RUN})))([\p{{Latin}}\p{{M}}.'\x{{2019}}]*+)-(?={_RUN})"
+LABELLED_MARKED = PATTERNS["LABELLED"].replace("_./'-]", r"_./'\x{1}-]").replace(r"\x{2019}-]+){1,3}", r"\x{2019}\x{1}-]+){1,3}")
+
 
 def java(name: str) -> str:
     """A pattern for Java: ASCII word boundaries, absolute ends, Unicode white space."""
-    p = PATTERNS.get(name, name).replace(r"\b", BOUNDARY).replace(r"\p{Latin}", r"\p{IsLatin}")
+    p = JAVA.get(name, PATTERNS.get(name, name)).replace(r"\b", BOUNDARY).replace(r"\p{Latin}", r"\p{IsLatin}")
     p = p.replace(r"[^\s", f"[^{SPACE}").replace(r"[\d\s", rf"[\d{SPACE}").replace(r"[\s", f"[{SPACE}").replace(r"[-\s", f"[-{SPACE}").replace(r"\s", f"[{SPACE}]")
     return p[:-1] + r"\z" if p.endswith("$") else p
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from .patterns import SPACE, quoted, sql
+from .patterns import DEAD_HYPHEN, JWT_LEAD, LABELLED_MARKED, LOCAL_SIGN, LONG_RUN, SPACE, quoted, sql
 
 SPANS = "array<struct<start:int,stop:int,original:string>>"
 
@@ -27,9 +27,37 @@ def matches(value: str, pattern: str) -> str:
       (a, b) -> get(transform(array({run}), k -> named_struct('at', k.at, 'out', concat(a.out, array(k.out)))), 0), a -> a.out))), 0)"""
 
 
+def emails(value: str, pattern: str) -> str:
+    """Spans of addresses, in time linear in the text. The pattern has no repeated group for labels: in the strict form, a dot that another dot
+    follows is code 1 before matching, so that no domain holds an empty label; a match that isn't where the one before it ended has the signs at its
+    run's start with it, which aren't the address's."""
+    strict = pattern == "EMAIL"
+    code1, code2 = "chr(1)", "chr(2)"
+    marked = f"translate({value}, {code1}, {code2})"
+    marked = f"if(instr({value}, '..') > 0, regexp_replace({marked}, {quoted(chr(92) + '.(?=' + chr(92) + '.)')}, {code1}), {marked})" if strict else marked
+    signs = f"length(regexp_extract(m.original, {quoted('^' + LOCAL_SIGN + '*')}, 0))"
+    led = f"if(i > 0 and get(ms, i - 1).stop = m.start, 0, {signs})"
+    found = f"transform(ms, (m, i) -> get(transform(array({led}), k -> named_struct('start', m.start + k, 'stop', m.stop, 'original', translate(substring(m.original, k + 1), {code1}, '.'))), 0))"
+    return f"get(transform(array({matches('v', sql(pattern))}), ms -> {found}), 0)".join(("get(transform(array(" + marked + "), v -> ", "), 0)"))
+
+
+def jwts(value: str) -> str:
+    """Spans of signed tokens; the pattern starts where the token's run does."""
+    lead = f"length(regexp_extract(m.original, {sql(JWT_LEAD)}, 0))"
+    return f"transform({matches(value, sql('JWT'))}, m -> get(transform(array({lead}), k -> named_struct('start', m.start + k, 'stop', m.stop, 'original', substring(m.original, k + 1))), 0))"
+
+
+def labelled(value: str) -> str:
+    """Spans of a label and a name. Where a run of name characters is long, hyphens in it that no name can follow are code 1 while matching: else
+    each place of the run would be tried before each of its hyphens."""
+    code1, code2 = "chr(1)", "chr(2)"
+    marked = f"if({value} rlike {sql(LONG_RUN)}, regexp_replace(translate({value}, {code1}, {code2}), {sql(DEAD_HYPHEN)}, concat('$1', {code1})), translate({value}, {code1}, {code2}))"
+    return f"transform({matches('v', sql(LABELLED_MARKED))}, m -> named_struct('start', m.start, 'stop', m.stop, 'original', translate(m.original, {code1}, '-')))".join(("get(transform(array(" + marked + "), v -> ", "), 0)"))
+
+
 def trim(value: str) -> str:
-    """Without white space (Unicode's too) at the ends."""
-    return f"regexp_replace({value}, {quoted(f'^[{SPACE}]+|[{SPACE}]+' + chr(92) + 'z')}, '')"
+    """Without white space (Unicode's too) at the ends. A run of it is met once, at its start."""
+    return f"regexp_replace({value}, {quoted(f'^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++' + chr(92) + 'z')}, '')"
 
 
 def lines(value: str) -> str:

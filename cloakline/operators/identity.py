@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.evidence import Context, evidence, strings
 from ..functions.patterns import COUNTRIES, NON_NAME_TOKENS, SPACE, quoted, sql
+from ..functions.text import labelled as labelled_spans
 from ..functions.text import lines, matches, same_tokens, spaces, tokens, trim
 from ..plans.options import Options
 from .structured import NONE, each, finding, matched
@@ -16,7 +17,7 @@ END = chr(92) + "z"
 def labelled(v: str, context: Context) -> str:
     """A name after a label such as "Customer:", if the label hints at a person."""
     hint = Context("x.hint", context.preview_path, context.path, context.kind, context.profile_hints)
-    cut = f"transform({matches(v, sql('LABELLED'))}, m -> named_struct('m', m, 'name', regexp_extract(m.original, {sql('LABELLED')}, 1)))"
+    cut = f"transform({labelled_spans(v)}, m -> named_struct('m', m, 'name', regexp_extract(m.original, {sql('LABELLED')}, 1)))"
     label = f"substring(x.m.original, 1, instr(x.m.original, x.name) - 1)"
     hinted = f"transform(filter({cut}, x -> x.name <> ''), x -> named_struct('start', x.m.start + instr(x.m.original, x.name) - 1, 'stop', x.m.start + instr(x.m.original, x.name) - 1 + length(x.name), 'original', x.name, 'hint', {trim(f'regexp_replace({label}, {quoted(f'[:=-][{SPACE}]*' + END)}, {chr(39) * 2})')}))"
     kept = f"filter({hinted}, x -> {evidence(hint.segments(), hint.profile_hints, 'PERSON')} > 0)"

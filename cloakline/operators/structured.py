@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.evidence import Context, address_confidence, address_shape
 from ..functions.patterns import CATEGORY_OF, SPACE, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, quoted, sql
-from ..functions.text import is_date, iban_ok, lines, luhn_ok, matches, trim
+from ..functions.text import emails, is_date, iban_ok, jwts, lines, luhn_ok, matches, trim
 from ..plans.options import Options
 
 FINDING = "struct<start:int,back:int,label:string,milli:int,seq:int,stop:int,confidence:double,original:string,category:string,reasoning:array<string>>"
@@ -100,13 +100,13 @@ def detectors(v: str, options: Options) -> dict[str, str]:
     pattern = "'pattern_match'"
     plain = lambda label, seq, conf, gate=None: when(gate, each(matches(v, sql(label)), finding(label, seq, conf, pattern)))
     base = 0.91 if options.strict_email else 0.82
-    strict, loose = (each(matches(v, sql(p)), finding("EMAIL", 1, with_evidence(base, "EMAIL"), pattern)) for p in ("EMAIL", "EMAIL_LOOSE"))
+    strict, loose = (each(emails(v, p), finding("EMAIL", 1, with_evidence(base, "EMAIL"), pattern)) for p in ("EMAIL", "EMAIL_LOOSE"))
     letters = "length(regexp_replace(m.original, '[^A-Z]', ''))"
     out = {
         "EMAIL": when(f"instr({v}, '@') > 0", f"if({matched('EMAIL')}, {loose}, {strict})" if options.strict_email else loose),
         "API_KEY": plain("API_KEY", 2, "0.96", f"instr({v}, 'sk-') > 0"),
         "AWS_ACCESS_KEY": plain("AWS_ACCESS_KEY", 3, "0.95", f"instr({v}, 'AKIA') > 0"),
-        "JWT": plain("JWT", 4, "0.92", f"instr({v}, 'eyJ') > 0"),
+        "JWT": when(f"instr({v}, 'eyJ') > 0", each(jwts(v), finding("JWT", 4, "0.92", pattern))),
         "UUID": plain("UUID", 5, "0.87", f"{v} rlike '-[1-5][0-9a-fA-F]{{3}}-'"),
         "IPV4_CIDR": plain("IPV4_CIDR", 6, "0.94", f"{v} rlike '[.][0-9]{{1,3}}/[0-9]'"),
         "IPV4": plain("IPV4", 7, "0.82", f"{v} rlike '[0-9][.][0-9]{{1,3}}[.][0-9]'"),

@@ -1,5 +1,7 @@
 import json
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -7,10 +9,12 @@ from pyspark.sql import functions as F
 
 import cloakline
 from cloakline import samples
-from cloakline.functions import text
+from cloakline.functions import patterns, text
 from cloakline.functions.patterns import java, quoted, sql
-from cloakline.operators import redaction, scan, words
+from cloakline.operators import redaction, scan, seeds, words
+from cloakline.operators.scan import with_findings
 from cloakline.plans.options import PRESETS, Options
+from cloakline.sources import parsers
 from cloakline.streaming import redact_stream, scan_stream
 
 #: Worked out by hand from the published hash and generator constants.
@@ -192,3 +196,57 @@ def test_entry(spark):
     assert rows and all(r.n_findings > 0 and "[REDACTED]" in r.redacted_text for r in rows)
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert json.dumps(sorted(entry.queries()))
+
+
+def pieces(rng, parts, n, most):
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, most))) for _ in range(n)]
+
+
+def test_patterns_for_java_match_the_shared_ones(spark, monkeypatch):
+    """Addresses, tokens and labelled names by patterns that meet a run once, against the plain patterns."""
+    rng = random.Random(1)
+    plain = lambda name: patterns.quoted(patterns.PATTERNS[name].replace(r"\b", patterns.BOUNDARY))
+    monkeypatch.setattr(text, "LONG_RUN", patterns.LONG_RUN.replace("{500}", "{2}"))
+    mails = pieces(rng, ["a", "b1", "com", "xy", "@", "@x.", "@bc", "..", ".", "-", "_", "+", " ", ".com", ".org", "\x01", "é"], 4000, 12)
+    tokens = pieces(rng, ["eyJ", "-", "_", "a", ".", ".", ".b", "eyJx", " ", "x"], 4000, 14)
+    labels = pieces(rng, ["Name", ": ", "- ", "-", "-Ann", "Lee", " ", "  ", "\n", "a", "b-", "c'", "5", ".", "é", "=", "Client:", "\x01", "x"], 4000, 14)
+    cases = [(mails, text.emails("v", "EMAIL"), plain("EMAIL")), (mails, text.emails("v", "EMAIL_LOOSE"), plain("EMAIL_LOOSE")), (tokens, text.jwts("v"), plain("JWT")), (labels, text.labelled("v"), patterns.sql("LABELLED"))]
+    for values, fast, pattern in cases:
+        rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.to_json(F.expr(fast)).alias("a"), F.to_json(F.expr(text.matches("v", pattern))).alias("b"))
+        assert rows.filter("b <> '[]'").count() > 20 and rows.filter("a <> b").collect() == []
+    rows = spark.createDataFrame([(v,) for v in mails], "v string").select("v", F.expr("v rlike " + patterns.sql("EMAIL_VALUE")).alias("m")).collect()
+    whole = re.compile(patterns.PATTERNS["EMAIL_VALUE"].replace("$", r"\Z"), re.A)
+    assert [r.m for r in rows] == [bool(whole.match(r.v)) for r in rows]
+
+
+def test_long_values_end_in_time(spark):
+    """300 KB of labels, line ends, digits, words, hyphens, token starts and brackets: each pattern's time is linear in them, and no stack ends."""
+    n = 300_000
+    values = ["x@" + "a." * (n // 2) + "com", "\n" * n + "x", "1" * n, "12 " * (n // 3), "word " * (n // 5), "a-" * (n // 2) + ":", "eyJ-" * (n // 4), "[" * (n // 2) + "]" * (n // 2), " " * n + "x", "a@" * (n // 2)]
+    began = time.time()
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id int, value string").repartition(4)
+    found = {r.doc_id: r.n for r in with_findings(rows).select("doc_id", F.size("findings").alias("n")).collect()}
+    assert found[0] == 1 and time.time() - began < 150
+    began = time.time()
+    assert [parsers.sniff(v) for v in values] and parsers.sniff("--|--" + " " * n + "x\n") == [] and time.time() - began < 20
+
+
+def test_seed_index_is_the_nested_comparison(spark):
+    """Words one edit apart, in any word of names of one to four words, documents apart, null documents; and 10,000 names in one text."""
+    rng = random.Random(4)
+    names = ["ann lee", "anne leed", "karl berg", "carl berg", "karl bergs", "maria del rio", "maria dal rio", "x", "xy", "abcd", "abce", "a-b-c-d", "anna-lena von berg", "anna lena van berg"]
+    rows = [(d, rng.choice(names)) for d in (1, 2, None) for _ in range(12)]
+    own = [(d, rng.choice(["PERSON", "PLACE"]), rng.choice(names), k) for d in (1, 2, None) for k in range(5)]
+    values = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc int, value string, seq int")
+    held = spark.createDataFrame(own, "doc int, label string, name string, rank int").withColumn("words", F.expr(text.tokens("name")))
+    none = spark.createDataFrame([], "doc int, seq int, label string, start int, stop int")
+    got = sorted((r.seq, r.label, r.original) for r in seeds.spread(values, ["doc"], ["seq"], none, held).collect())
+    found = seeds.candidates(values).select("doc", "seq", F.col("m.original").alias("original"), "words").alias("c")
+    pairs = found.join(held.alias("s"), F.expr(f"c.doc <=> s.doc and {text.same_tokens('c.words', 's.words')}"))
+    want = pairs.groupBy("c.seq", "c.original").agg(F.min(F.struct("s.rank", "s.label")).alias("first")).select("seq", "first.label", "original")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 10
+    many = [f"Ann {''.join(rng.choice('bcdfgaeiou') for _ in range(8))}" for _ in range(10_000)]
+    one = spark.createDataFrame([(1, ", ".join(many), 0)], "doc int, value string, seq int")
+    held = spark.createDataFrame([(1, "PERSON", n, k) for k, n in enumerate(many)], "doc int, label string, name string, rank int").withColumn("words", F.expr(text.tokens("name")))
+    began = time.time()
+    assert seeds.spread(one, ["doc"], ["seq"], none, held).count() == 10_000 and time.time() - began < 90
