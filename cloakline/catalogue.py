@@ -167,13 +167,6 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(rows, ("EMAIL", "BIC")).groupBy("page_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("scan_conversations")
-def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as values of one document each conversation: seeds of names spread over a conversation."""
-    rows = dealt(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("value_seq"), F.col("text").alias("value"), F.lit("text").alias("kind"))
-    return scan.scan_collection(rows).select("doc_id", "value_seq", "label", "start", "stop", "original", F.col("milli").alias("conf_milli"))
-
-
 # Functions
 
 _OWN = f"(SELECT doc_id, value AS original FROM {SAMPLES_SQL})"
@@ -324,6 +317,38 @@ def identity_seed_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.spread(rows.select("doc_id", "value"), ["doc_id"], [], names, confident).withColumn("conf_milli", F.lit(680))
 
 
+def collection_sql(source: str, doc: str, place: str) -> str:
+    """DuckDB: both passes over values without fields. source: (doc_id, value), where doc_id names a value; doc and place: the document of a doc_id and
+    its place there. Gives doc_id, label, start, stop, original, conf_milli."""
+    of = lambda name: ORACLES[name].replace(TEXTS_SQL, source)
+    plain = [(f"detect_{n.lower()}", {"URL_SECRET": "POTENTIAL_SECRET", "PASSPORT_NUMBER": "PASSPORT", "MRZ_LINE": "PASSPORT"}.get(n, n)) for n in (*DETECTORS_SQL, "URL_SECRET", "STREET_ADDRESS")]
+    columns = "doc_id, label, start, stop, original, conf_milli"
+    others = " UNION ALL ".join([f"SELECT doc_id, '{label}' AS label, start, stop, original, conf_milli, {k} AS seq FROM ({of(name)})" for k, (name, label) in enumerate(plain)] + [f"SELECT {columns}, {k} AS seq FROM ({of(name)})" for k, name in ((31, "identity_labelled"), (33, "identity_contact_lines"))])
+    lines = of("identity_standalone_names")
+    alone = "FROM g WHERE alone AND len(raw) = 2)"
+    assert alone in lines
+    known = lines.replace(alone, f"{alone[:-1]} UNION SELECT g.doc_id, array_to_string(w, ' ') FROM g JOIN known ON known.doc = {doc.format('g.doc_id')} WHERE label = 'PERSON' AND len(w) = 2)")
+    rank = "min(struct_pack(p := {}, t := CAST({} AS BIGINT), a := CAST({} AS BIGINT), b := CAST({} AS BIGINT)))"
+    confident = "FROM (SELECT *, " + tokens_sql("original") + " AS w FROM {}) WHERE label IN ('PERSON', 'PLACE', 'ORG') AND conf_milli >= 720 AND len(w) > 0 GROUP BY ALL"
+    own = lambda names: f"SELECT doc_id AS doc, label, w, {rank.format(0, 0, 'seq', 'start')} AS rank {confident.format(names)}"
+    return f"""WITH others AS MATERIALIZED ({others}), found AS MATERIALIZED (SELECT * FROM others UNION ALL SELECT {columns}, 34 FROM ({lines})),
+    seeds AS MATERIALIZED ({own('found')}), first AS MATERIALIZED (SELECT {columns}, min(seq) AS seq FROM (SELECT * FROM found UNION ALL SELECT {columns}, 35 FROM ({spread_sql(source, '{}', 'found', 'seeds')})) GROUP BY ALL),
+    known AS MATERIALIZED (SELECT {doc.format('doc_id')} AS doc, label, w, {rank.format(1, place.format('doc_id'), 'start', '-stop')} AS rank {confident.format('first')}),
+    found2 AS MATERIALIZED (SELECT * FROM others UNION ALL SELECT {columns}, 34 FROM ({known})),
+    seeds2 AS MATERIALIZED ({own('found2')} UNION ALL SELECT v.doc_id, label, w, rank FROM {source} v JOIN known ON known.doc = {doc.format('v.doc_id')})
+    SELECT {columns} FROM first UNION SELECT {columns} FROM found2 UNION SELECT {columns} FROM ({spread_sql(source, '{}', 'found2', 'seeds2')})"""
+
+
+_TURNS_SQL = "(SELECT struct_pack(c := conv_id, t := turn) AS doc_id, text AS value FROM conversations)"
+
+
+@query("scan_conversations", f"SELECT doc_id.c AS doc_id, doc_id.t AS value_seq, label, start, stop, original, conf_milli FROM ({collection_sql(_TURNS_SQL, '{}.c', '{}.t')})")
+def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as values of one document each conversation: seeds of names spread over a conversation."""
+    rows = dealt(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("value_seq"), F.col("text").alias("value"), F.lit("text").alias("kind"))
+    return scan.scan_collection(rows).select("doc_id", "value_seq", "label", "start", "stop", "original", F.col("milli").alias("conf_milli"))
+
+
 @query(
     "identity_same_tokens",
     f"""WITH t AS (SELECT doc_id, {_SEED_TOKENS} AS w FROM {SAMPLES_SQL} WHERE category = 'identity')
@@ -540,7 +565,7 @@ _CELLS = " UNION ALL ".join(f"SELECT 'table:{k}' AS group_key, trim(CAST({c} AS
     SELECT n.group_key, n.label, n.n, t.total, (n.label IN ({', '.join(f"'{p}'" for p in PRECISE_SHAPES)}) OR (n.n >= 2 AND n.n * 10 >= t.total * 6)) AS hinted FROM n JOIN t USING (group_key)""",
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = melted(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment", "c_custkey"], group_rows=None)
+    cells = melted(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment", "c_custkey"])
     needed = {"table_index": "int", "sheet_index": "int", "disable_profile": "boolean", "path": "array<string>"}
     keyed = cells.withColumns({c: F.lit(None).cast(t) for c, t in needed.items()}).withColumn("group_key", F.expr(profiles.group_key()))
     return profiles.column_profiles(keyed).select("group_key", "label", "n", "total", "hinted")

@@ -10,6 +10,7 @@ from ..plans.options import Options
 from .structured import NONE, each, finding, matched
 
 SEEDS = "array<struct<label:string,tokens:array<string>>>"
+TRIED = "array<struct<start:int,stop:int,original:string,tokens:array<string>,label:string>>"
 NO_SEEDS = f"cast(array() as {SEEDS})"
 END = chr(92) + "z"
 
@@ -56,15 +57,29 @@ def contact_lines(v: str) -> str:
     return f"transform(filter({spans}, m -> m.kind <> ''), m -> if(m.kind = 'PERSON', {person}, {where}))"
 
 
-def name_lines(v: str, seeds: str) -> str:
-    """Lines that are a name, and lines of names next to each other of which each is known from elsewhere or repeated."""
+def name_like_lines(v: str) -> str:
+    """Lines whose words may be names: start, t, raw (words), alone (the line is one name)."""
     trimmed = f"transform({lines(v)}, l -> named_struct('l', l, 't', {trim('l.original')}))"
     gate = f"x.t <> '' and not x.t rlike '[,@0-9]' and not x.t rlike {sql('NOT_A_NAME')} and not array_contains({strings(COUNTRIES)}, lower(x.t)) and not arrays_overlap({spaces('lower(x.t)')}, {strings(NON_NAME_TOKENS)})"
-    kept = f"transform(filter({trimmed}, x -> {gate}), x -> named_struct('start', x.l.start + instr(x.l.original, x.t) - 1, 't', x.t, 'raw', {spaces('x.t')}, 'alone', x.t rlike {sql('NAME')}))"
+    return f"transform(filter({trimmed}, x -> {gate}), x -> named_struct('start', x.l.start + instr(x.l.original, x.t) - 1, 't', x.t, 'raw', {spaces('x.t')}, 'alone', x.t rlike {sql('NAME')}))"
+
+
+#: Lines of two to ten names of two words each, and those names.
+OF_NAMES = "size(x.raw) between 4 and 20 and size(x.raw) % 2 = 0"
+PAIRS = "transform(sequence(0, size(x.raw) - 1, 2), i -> lower(concat_ws(' ', slice(x.raw, i + 1, 2))))"
+
+
+def pairs_asked(v: str) -> str:
+    """Names of two words in lines of names: what such a line wants to know from elsewhere."""
+    return f"array_distinct(flatten(transform(filter({name_like_lines(v)}, x -> not x.alone and {OF_NAMES}), x -> {PAIRS})))"
+
+
+def name_lines(v: str, seeds: str) -> str:
+    """Lines that are a name, and lines of names next to each other of which each is known from elsewhere or repeated."""
+    kept = name_like_lines(v)
     known = f"""array_union(transform(filter({seeds}, s -> s.label = 'PERSON' and size(s.tokens) = 2), s -> array_join(s.tokens, ' ')),
       transform(filter(c, x -> x.alone and size(x.raw) = 2), x -> lower(concat_ws(' ', x.raw))))"""
-    pairs = "transform(sequence(0, size(x.raw) - 1, 2), i -> lower(concat_ws(' ', slice(x.raw, i + 1, 2))))"
-    adjacent = f"size(x.raw) between 4 and 20 and size(x.raw) % 2 = 0 and exists(array({pairs}), ps -> forall(ps, p -> array_contains(k, p) or size(filter(ps, o -> o = p)) > 1))"
+    adjacent = f"{OF_NAMES} and exists(array({PAIRS}), ps -> forall(ps, p -> array_contains(k, p) or size(filter(ps, o -> o = p)) > 1))"
     words = matches("x.t", quoted(f"[^{SPACE}]+"))
     spans = f"""flatten(transform(c, x -> case
       when x.alone then array(named_struct('start', x.start, 'stop', x.start + length(x.t), 'original', x.t))
@@ -82,10 +97,19 @@ def seeds_of(findings: str) -> str:
     return f"array_distinct(filter(transform({wanted}, f -> named_struct('label', f.label, 'tokens', {tokens('f.original')})), s -> size(s.tokens) > 0))"
 
 
-def spread(v: str, findings: str, seeds: str) -> str:
-    """Runs of one to three words that equal a seed, or nearly: the first seed that fits decides; what that label covers already is left."""
+def labelled_candidates(v: str, seeds: str) -> str:
+    """Runs of one to three words, with the label of the first seed that they equal, or nearly, or null."""
     spans = f"transform({matches(v, sql('CANDIDATE'))}, m -> named_struct('m', m, 'tokens', {tokens('m.original')}))"
-    first = f"transform({spans}, x -> named_struct('start', x.m.start, 'stop', x.m.stop, 'original', x.m.original, 'label', get(filter({seeds}, s -> {same_tokens('s.tokens', 'x.tokens')}), 0).label))"
-    kept = f"filter({first}, m -> m.label is not null and not exists({findings}, f -> f.label = m.label and f.start = m.start and f.stop = m.stop))"
+    return f"transform({spans}, x -> named_struct('start', x.m.start, 'stop', x.m.stop, 'original', x.m.original, 'tokens', x.tokens, 'label', get(filter({seeds}, s -> {same_tokens('s.tokens', 'x.tokens')}), 0).label))"
+
+
+def seed_findings(candidates: str, findings: str) -> str:
+    """Findings of labelled candidates that none of that label covers already."""
+    kept = f"filter({candidates}, m -> m.label is not null and not exists({findings}, f -> f.label = m.label and f.start = m.start and f.stop = m.stop))"
     made = finding("PERSON", 35, "0.68", "'identity_seed_match'").replace("'label', 'PERSON'", "'label', m.label")
-    return f"if(size({seeds}) = 0, {NONE}, transform({kept}, m -> {made}))"
+    return f"transform({kept}, m -> {made})"
+
+
+def spread(v: str, findings: str, seeds: str) -> str:
+    """Runs of one to three words that equal a seed, or nearly: the first seed that fits decides; what that label covers already is left."""
+    return f"if(size({seeds}) = 0, {NONE}, {seed_findings(labelled_candidates(v, seeds), findings)})"

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.evidence import shape_labels, strings
 from ..functions.patterns import PRECISE_SHAPES
 from ..functions.text import trim
+from ..plans.storage import stored
+
+#: Groups of values with hints (at most 19 labels each) that are broadcast; beyond that they are joined.
+BROADCAST_HINTS = 20_000
 
 
 def group_key() -> str:
@@ -40,5 +44,9 @@ def with_profiles(values: DataFrame) -> DataFrame:
     keyed = values.withColumn("group_key", F.expr(group_key()))
     hints = column_profiles(keyed.withColumn("value", F.coalesce("value", F.lit("")))).filter("hinted").groupBy("doc_id", "group_key").agg(F.sort_array(F.collect_set("label")).alias("_hints"))
     none = "cast(array() as array<string>)"
-    joined = keyed.join(hints, ["doc_id", "group_key"], "left")
+    hints = stored(hints)
+    # One table's columns are a few hints for all of its rows: sent to the rows, if they are few, rather than the rows to them.
+    few = hints.limit(BROADCAST_HINTS + 1).count() <= BROADCAST_HINTS
+    hints = hints.select(F.col("doc_id").alias("_doc"), F.col("group_key").alias("_group"), "_hints")
+    joined = keyed.join(F.broadcast(hints) if few else hints, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("group_key") == F.col("_group")), "left").drop("_doc", "_group")
     return joined.withColumn("profile_hints", F.expr(f"array_union(coalesce(profile_hints, {none}), coalesce(_hints, {none}))")).drop("_hints", "group_key")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import Context, evidence
 from ..plans.options import Options
 from ..plans.storage import stored
-from . import identity, structured
+from . import identity, seeds, structured
 
 #: Columns of a value's context; a scan adds those that a table lacks as nulls.
 CONTEXT = {"key_hint": "string", "preview_path": "string", "path": "array<string>", "kind": "string", "profile_hints": "array<string>"}
@@ -33,9 +33,9 @@ def sorted_distinct(findings: str) -> str:
     return f"array_sort({distinct}, (l, r) -> case when l.start <> r.start then l.start - r.start when l.back <> r.back then l.back - r.back else l.seq - r.seq end)"
 
 
-def with_findings(values: DataFrame, options: Options = Options(), seeds: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds `findings`, an array, to values (a `value` string and context columns). seeds: SQL text of outside seeds; only: names of structured detectors to run alone."""
-    outside = seeds or identity.NO_SEEDS
+def with_findings(values: DataFrame, options: Options = Options(), outside_seeds: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds `findings`, an array, to values (a `value` string and context columns). outside_seeds: SQL text of outside seeds; only: names of structured detectors to run alone."""
+    outside = outside_seeds or identity.NO_SEEDS
     segments = HERE.segments()
     rows = with_context(values).withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit(""))).withColumn("_segments", F.expr(segments))
     rows = rows.withColumns({f"_ev_{label}": F.expr(evidence("_segments", "profile_hints", label)) for label in structured.EVIDENCE})
@@ -79,20 +79,38 @@ def scan_collection(values: DataFrame, options: Options = Options()) -> DataFram
     """
     from .profiles import with_profiles
 
-    # The first pass's findings are read by the seeds and by the result.
-    first = stored(with_findings(with_context(with_profiles(with_context(values))), options))
+    # The first pass's findings are read by the seeds and by the result. A row's number stands for it in what comes back to it.
+    first = with_findings(with_context(with_profiles(with_context(values))), options)
     if not options.detect_names or not (options.on("PERSON") or options.on("PLACE")):
         return exploded(first)
+    first = stored(first.withColumn("_row", F.monotonically_increasing_id()))
     own = first.select("doc_id", "value_seq", F.posexplode_outer(F.expr(identity.seeds_of("findings"))).alias("at", "seed")).filter("at is not null")
-    once = own.groupBy("doc_id", "seed").agg(F.min(F.struct("value_seq", "at")).alias("first"))
-    seeds = once.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(first, seed))), x -> x.seed)").alias("_outside"))
-    rows = first.join(seeds, "doc_id", "left").withColumn("_outside", F.coalesce("_outside", F.expr(identity.NO_SEEDS)))
+    known = stored(own.groupBy("doc_id", "seed.label", F.col("seed.tokens").alias("words")).agg(F.min(F.struct("value_seq", "at")).alias("rank")))
     # Seeds change lines of names and the spread alone: what the other detectors found is taken from the first pass, in their order.
     others = "filter(findings, f -> not exists(f.reasoning, r -> r in ('standalone_name_line', 'identity_seed_match')))"
-    rows = rows.withColumn("_found", F.expr(f"array_sort({others}, (l, r) -> l.seq - r.seq)"))
+    rows = first.withColumn("_found", F.expr(f"array_sort({others}, (l, r) -> l.seq - r.seq)"))
     if options.on("PERSON"):
-        rows = rows.withColumn("_found", F.expr(f"concat(_found, {identity.name_lines('value', '_outside')})"))
-    rows = rows.withColumn("_seeds", F.expr(f"array_distinct(concat({identity.seeds_of('_found')}, _outside))"))
-    rows = rows.withColumn("_second", F.expr(sorted_distinct(f"concat(_found, {identity.spread('value', '_found', '_seeds')})"))).drop("_found", "_seeds", "_outside")
+        # A line of names asks for its own names only, so a row never holds the names of its document.
+        asked = first.select("_row", "doc_id", F.explode(F.expr(identity.pairs_asked("value"))).alias("pair"))
+        names = known.filter("label = 'PERSON' and size(words) = 2").select("doc_id", F.array_join("words", " ").alias("pair"), "words")
+        met = _by_document(asked, names, "pair").groupBy("_row").agg(F.collect_set(F.struct(F.lit("PERSON").alias("label"), F.col("words").alias("tokens"))).alias("_known"))
+        rows = rows.join(met, "_row", "left").withColumn("_found", F.expr(f"concat(_found, {identity.name_lines('value', f'coalesce(_known, {identity.NO_SEEDS})')})")).drop("_known")
+    # A value's own seeds come first; runs that none of them fits go to the seeds of the document.
+    seeded = known.select(F.col("doc_id").alias("_doc")).distinct().withColumn("_seeded", F.lit(True))
+    rows = rows.join(seeded, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc").withColumn("_seeds", F.expr(identity.seeds_of("_found")))
+    tried = identity.labelled_candidates("value", "_seeds")
+    rows = stored(rows.withColumn("_tried", F.expr(f"if(_seeded or size(_seeds) > 0, {tried}, cast(array() as {identity.TRIED}))")).drop("_seeds"))
+    left = rows.filter("_seeded").select("_row", "doc_id", F.explode(F.expr("filter(_tried, m -> m.label is null and size(m.tokens) > 0)")).alias("m"))
+    hit = seeds.matched(["doc_id"], left.select("_row", "doc_id", "m", F.col("m.tokens").alias("words")), known)
+    come = hit.groupBy("_row").agg(F.collect_list(F.struct("m.start", "m.stop", "m.original", "label")).alias("_come"))
+    rows = rows.join(come, "_row", "left").withColumn("_come", F.coalesce("_come", F.expr("cast(array() as array<struct<start:int,stop:int,original:string,label:string>>)")))
+    made = f"concat(_found, {identity.seed_findings('_tried', '_found')}, {identity.seed_findings('array_sort(_come)', '_found')})"
+    rows = rows.withColumn("_second", F.expr(sorted_distinct(made))).drop("_found", "_tried", "_come", "_row", "_seeded")
     merged = "if(size(_second) > 0, flatten(array(findings, filter(_second, s -> not exists(findings, f -> f.start = s.start and f.stop = s.stop and f.label = s.label and f.milli = s.milli)))), findings)"
     return exploded(rows.withColumn("findings", F.expr(merged)).drop("_second"))
+
+
+def _by_document(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
+    """Rows beside another table's rows of their document (a null one is one) and of the same `also`."""
+    other = other.withColumnRenamed("doc_id", "_doc").withColumnRenamed(also, "_also")
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(also) == F.col("_also"))).drop("_doc", "_also")

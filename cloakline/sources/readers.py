@@ -28,16 +28,11 @@ def kind_of_file(name: str = "name") -> str:
     return f"case when lower({name}) rlike '[.](png|jpe?g|gif|webp|bmp|tiff?)$' then 'image' when lower({name}) rlike '[.](pdf|docx|xlsx)$' then lower(substring_index({name}, '.', -1)) else 'text' end"
 
 
-def melted(rows: DataFrame, key: str, columns: list[str], group_rows: int | None = 100_000) -> DataFrame:
+def melted(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Cells of a wide table as values: doc_id, row_index, column_index, key_hint, value. One row becomes one for each column, nothing is shuffled.
-
-    Rows whose keys lie in the same `group_rows` are one document, so profiles and seeds of a long table are of its row
-    groups, and no task holds those of the whole table. None makes the whole table one document, for work that comes down
-    to few rows before it is shuffled.
-    """
+    The whole table is one document: its columns' profiles are of all rows, and its names spread over all of it."""
     cells = F.array(*(F.struct(F.lit(k).alias("column_index"), F.lit(c).alias("key_hint"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)))
-    doc_id = F.floor(F.coalesce("row_index", F.lit(0)) / group_rows).cast("long") if group_rows else F.lit(0).cast("long")
-    out = rows.select(F.col(key).cast("long").alias("row_index"), F.explode(cells).alias("c")).select(doc_id.alias("doc_id"), "row_index", "c.column_index", "c.key_hint", "c.value")
+    out = rows.select(F.col(key).cast("long").alias("row_index"), F.explode(cells).alias("c")).select(F.lit(0).cast("long").alias("doc_id"), "row_index", "c.column_index", "c.key_hint", "c.value")
     return out.withColumn("kind", F.lit("table")).withColumn("preview_path", F.concat(F.lit("row "), F.col("row_index") + 1, F.lit("."), "key_hint")).withColumn("value_seq", F.col("row_index") * len(columns) + F.col("column_index"))
 
 
