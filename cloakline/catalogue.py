@@ -317,8 +317,8 @@ def identity_seed_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.spread(rows.select("doc_id", "value"), ["doc_id"], [], names, confident).withColumn("conf_milli", F.lit(680))
 
 
-def collection_sql(source: str, doc: str, place: str) -> str:
-    """DuckDB: both passes over values without fields. source: (doc_id, value), where doc_id names a value; doc and place: the document of a doc_id and
+def collection_sql(source: str, doc: str = "{}", place: str = "0", passes: int = 2) -> str:
+    """DuckDB: one or both passes over values without fields. source: (doc_id, value), where doc_id names a value; doc and place: the document of a doc_id and
     its place there. Gives doc_id, label, start, stop, original, conf_milli."""
     of = lambda name: ORACLES[name].replace(TEXTS_SQL, source)
     plain = [(f"detect_{n.lower()}", {"URL_SECRET": "POTENTIAL_SECRET", "PASSPORT_NUMBER": "PASSPORT", "MRZ_LINE": "PASSPORT"}.get(n, n)) for n in (*DETECTORS_SQL, "URL_SECRET", "STREET_ADDRESS")]
@@ -331,8 +331,11 @@ def collection_sql(source: str, doc: str, place: str) -> str:
     rank = "min(struct_pack(p := {}, t := CAST({} AS BIGINT), a := CAST({} AS BIGINT), b := CAST({} AS BIGINT)))"
     confident = "FROM (SELECT *, " + tokens_sql("original") + " AS w FROM {}) WHERE label IN ('PERSON', 'PLACE', 'ORG') AND conf_milli >= 720 AND len(w) > 0 GROUP BY ALL"
     own = lambda names: f"SELECT doc_id AS doc, label, w, {rank.format(0, 0, 'seq', 'start')} AS rank {confident.format(names)}"
-    return f"""WITH others AS MATERIALIZED ({others}), found AS MATERIALIZED (SELECT * FROM others UNION ALL SELECT {columns}, 34 FROM ({lines})),
-    seeds AS MATERIALIZED ({own('found')}), first AS MATERIALIZED (SELECT {columns}, min(seq) AS seq FROM (SELECT * FROM found UNION ALL SELECT {columns}, 35 FROM ({spread_sql(source, '{}', 'found', 'seeds')})) GROUP BY ALL),
+    first = f"""WITH others AS MATERIALIZED ({others}), found AS MATERIALIZED (SELECT * FROM others UNION ALL SELECT {columns}, 34 FROM ({lines})),
+    seeds AS MATERIALIZED ({own('found')}), first AS MATERIALIZED (SELECT {columns}, min(seq) AS seq FROM (SELECT * FROM found UNION ALL SELECT {columns}, 35 FROM ({spread_sql(source, '{}', 'found', 'seeds')})) GROUP BY ALL)"""
+    if passes == 1:
+        return f"{first} SELECT {columns} FROM first"
+    return f"""{first},
     known AS MATERIALIZED (SELECT {doc.format('doc_id')} AS doc, label, w, {rank.format(1, place.format('doc_id'), 'start', '-stop')} AS rank {confident.format('first')}),
     found2 AS MATERIALIZED (SELECT * FROM others UNION ALL SELECT {columns}, 34 FROM ({known})),
     seeds2 AS MATERIALIZED ({own('found2')} UNION ALL SELECT v.doc_id, label, w, rank FROM {source} v JOIN known ON known.doc = {doc.format('v.doc_id')})
@@ -618,7 +621,7 @@ def line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(ending == "\r\n", "crlf").when(ending == "\r", "cr").otherwise("lf").alias("ending"))
 
 
-@query("scan_whole_documents")
+@query("scan_whole_documents", f"SELECT doc_id, label, count(*) AS n, max(conf_milli) AS conf_milli FROM ({collection_sql(TEXTS_SQL, passes=1)}) GROUP BY ALL")
 def scan_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors over whole documents as text: findings by document and label."""
     return scan_values(texts(spark, sf_dir), PRESETS["balanced"]).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.max("milli").alias("conf_milli"))
