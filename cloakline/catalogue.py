@@ -11,7 +11,7 @@ from . import samples
 from .expected import EXPECTED
 from .functions import text
 from .functions.evidence import Context, evidence, shape_labels
-from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2
+from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2, sql
 from .operators import identity, profiles, redaction, scan, seeds, words
 from .operators.scan import exploded, scan_values, with_context, with_findings
 from .plans import documents as plan
@@ -172,17 +172,21 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = f"(SELECT doc_id, value AS original FROM {SAMPLES_SQL})"
 
 
-@query("checksum_luhn", f"SELECT doc_id, {LUHN_SQL} AS ok FROM {_OWN}")
+def shaped(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    """What matches a pattern in whole documents and our samples."""
+    spans = texts(spark, sf_dir).select("doc_id", F.posexplode_outer(F.expr(text.matches("value", sql(pattern)))).alias("n", "m")).filter("n is not null")
+    return spans.select("doc_id", "m.original")
+
+
+@query("checksum_luhn", f"SELECT doc_id, original, {LUHN_SQL} AS ok FROM {spans_sql(TEXTS_SQL, 'CREDIT_CARD')} UNION ALL SELECT doc_id, original, {LUHN_SQL} AS ok FROM {_OWN}")
 def checksum_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_values(spark).select("doc_id", F.expr(text.luhn_ok("value")).alias("ok"))
+    own = sample_values(spark).select("doc_id", F.col("value").alias("original"))
+    return shaped(spark, sf_dir, "CREDIT_CARD").union(own).withColumn("ok", F.expr(text.luhn_ok("original")))
 
 
-@query("checksum_iban", f"SELECT doc_id, original, {iban_sql('original')} AS ok FROM {spans_sql(f'(SELECT doc_id, value FROM {SAMPLES_SQL})', 'IBAN')}")
+@query("checksum_iban", f"SELECT doc_id, original, {iban_sql('original')} AS ok FROM {spans_sql(TEXTS_SQL, 'IBAN')}")
 def checksum_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.patterns import sql
-
-    spans = sample_values(spark).select("doc_id", F.explode_outer(F.expr(text.matches("value", sql("IBAN")))).alias("m")).filter("m is not null")
-    return spans.select("doc_id", "m.original").withColumn("ok", F.expr(text.iban_ok("original")))
+    return shaped(spark, sf_dir, "IBAN").withColumn("ok", F.expr(text.iban_ok("original")))
 
 
 @query("normal_form", f"SELECT doc_id, trim(regexp_replace(translate(lower(strip_accents(value)), '{text.LEET_FROM}', '{text.LEET_TO}'), '[^a-z0-9]+', ' ', 'g')) AS normal FROM {TEXTS_SQL} t")
@@ -200,15 +204,18 @@ def evidence_sql(label: str) -> str:
 
 _SEG = f"trim(regexp_replace(translate(lower(strip_accents(regexp_replace(p, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '{text.LEET_FROM}', '{text.LEET_TO}'), '[^a-z0-9]+', ' ', 'g'))"
 _SEGS = f"list_filter(list_transform([key_hint, preview_path, kind], lambda p: {_SEG}), lambda s: s <> '')"
+#: Our sample contexts, and each page's address with the last word of its path as a field.
+_CONTEXTS_SQL = f"(SELECT * FROM {samples.values_clause(samples.CONTEXTS)} AS c(context_id, key_hint, preview_path, kind) UNION ALL SELECT page_id + 1000, regexp_extract(url, '[A-Za-z]*$'), url, 'text' FROM pages)"
 _SCORED = tuple(label for label in ALIASES if label not in ("SSN", "CREDIT_CARD"))
 
 
 @query(
     "evidence_scores",
-    " UNION ALL ".join(f"SELECT context_id, '{label}' AS label, CAST({evidence_sql(label)} AS INTEGER) AS score_milli FROM (SELECT context_id, segs, array_to_string(segs, ' ') AS j FROM (SELECT context_id, {_SEGS} AS segs FROM {samples.values_clause(samples.CONTEXTS)} AS c(context_id, key_hint, preview_path, kind)))" for label in _SCORED),
+    " UNION ALL ".join(f"SELECT context_id, '{label}' AS label, CAST({evidence_sql(label)} AS INTEGER) AS score_milli FROM (SELECT context_id, segs, array_to_string(segs, ' ') AS j FROM (SELECT context_id, {_SEGS} AS segs FROM {_CONTEXTS_SQL}))" for label in _SCORED),
 )
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(samples.CONTEXTS), "context_id int, key_hint string, preview_path string, kind string")
+    rows = spark.createDataFrame(list(samples.CONTEXTS), "context_id long, key_hint string, preview_path string, kind string")
+    rows = rows.union(table(spark, sf_dir, "pages").select(F.col("page_id") + 1000, F.regexp_extract("url", "[A-Za-z]*$", 0), "url", F.lit("text")))
     rows = rows.withColumn("segs", F.expr(Context("key_hint", "preview_path", kind="kind").segments()))
     scored = F.explode(F.array(*(F.struct(F.lit(label).alias("label"), F.expr(f"cast(round({evidence('segs', 'cast(null as array<string>)', label)} * 1000) as int)").alias("score_milli")) for label in _SCORED)))
     return rows.select("context_id", scored.alias("s")).select("context_id", "s.label", "s.score_milli")
@@ -574,9 +581,10 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.column_profiles(keyed).select("group_key", "label", "n", "total", "hinted")
 
 
-@query("value_shapes", f"SELECT doc_id, array_to_string({_shapes_sql('v')}, ',') AS shapes FROM (SELECT doc_id, {trimmed_sql('value')} AS v FROM {SAMPLES_SQL})")
+@query("value_shapes", f"SELECT doc_id, array_to_string({_shapes_sql('v')}, ',') AS shapes FROM (SELECT doc_id, {trimmed_sql('value')} AS v FROM (SELECT doc_id, value FROM {SAMPLES_SQL} UNION ALL SELECT 1000000 + c_custkey, c_name FROM customer UNION ALL SELECT 2000000 + doc_id, text FROM documents WHERE text IS NOT NULL))")
 def value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_values(spark).select("doc_id", F.array_join(F.expr(shape_labels("value")), ",").alias("shapes"))
+    rows = sample_values(spark).select("doc_id", "value").union(table(spark, sf_dir, "customer").select(F.col("c_custkey") + 1_000_000, "c_name")).union(table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id") + 2_000_000, "text"))
+    return rows.select("doc_id", F.array_join(F.expr(shape_labels("value")), ",").alias("shapes"))
 
 
 @query("scan_table")
