@@ -331,6 +331,8 @@ def names_of(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+#: Pages of a host's group on the average, at least.
+GROUP_PAGES = 20
 NAMED = "host string, opened boolean, pages long, h array<long>, n array<long>"
 
 
@@ -378,18 +380,34 @@ def with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
 
 def repeats_of_hosts(rows: DataFrame, scratch: Scratch, *, least: int, group_chars: int, share: float, fewest: int) -> DataFrame:
     """host, groups (null where no page has an open block) and notices: windows that hold content on `share` of its pages with content, `fewest` at least."""
-    sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.sum(F.length("html")) / group_chars), F.lit(1)).cast("long").alias("groups")).persist()
     some = rows.filter("html <> ''").withColumn("page", F.xxhash64("html"))
+    # Groups are of different pages: copies don't count, and a group has GROUP_PAGES pages on the average, so what half of them have is no more than a few pages' worth.
+    once = rows.groupBy("host", F.xxhash64("html").alias("page")).agg(F.max(F.length("html")).alias("size"), F.sum(F.length("html")).alias("all")).groupBy("host").agg(F.sum("size").alias("chars"), F.sum("all").alias("all"), F.count("*").alias("different"))
+    groups = F.least(F.ceil(F.coalesce("chars", F.lit(0)) / group_chars), F.floor(F.col("different") / GROUP_PAGES))
+    # Pages with open blocks are dealt to groups with their copies.
+    sizes = once.select("host", F.greatest(groups, F.lit(1)).cast("long").alias("groups"), F.greatest(F.ceil(F.col("all") / group_chars), F.lit(1)).cast("long").alias("with_copies")).persist()
     total = int(sizes.agg(F.sum("groups")).first()[0] or 0)
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, total // 4, 1)
-    dealt = with_hosts(some, sizes).withColumn("part", F.pmod("page", "groups")).select("host", "part", "page", "html").repartition(parts, "host", "part")
+
+    def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A page that a task meets again stays where it lies: a group gets a page once from each task at most."""
+        met: set[tuple[str, int]] = set()
+        for b in batches_of(batches):
+            new = []
+            for key in zip(b.column("host").to_pylist(), b.column("page").to_pylist()):
+                new.append(key not in met)
+                met.add(key)
+            yield b.filter(pa.array(new))
+
+    firsts = some.select("host", "page", "html", "page_id", "url").mapInArrow(first_copies, "host string, page long, html string, page_id long, url string")
+    dealt = with_hosts(firsts, sizes.select("host", "groups")).withColumn("part", F.pmod("page", "groups")).select("host", "part", "page", "html").repartition(parts, "host", "part")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield repeats_of_group(batches, least, share)
 
     named = dealt.groupBy("host", "part").applyInArrow(name, NAMED).persist()
     hosts = named.groupBy("host").agg(F.max("opened").alias("opened"), F.sum("pages").alias("pages"))
-    windows = named.select("host", F.explode(F.arrays_zip("h", "n")).alias("w")).select("host", "w.h", "w.n").join(sizes, "host")
+    windows = named.select("host", F.explode(F.arrays_zip("h", "n")).alias("w")).select("host", "w.h", "w.n").join(sizes.select("host", "groups"), "host")
     asked = windows.filter("groups > 1").groupBy("host").agg(F.collect_set("h").alias("notices")).persist()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +424,8 @@ def repeats_of_hosts(rows: DataFrame, scratch: Scratch, *, least: int, group_cha
     whole = again.mapInArrow(ask, "host string, h long, page long").groupBy("host", "h").agg(F.count_distinct("page").alias("n"))
     counts = windows.filter("groups = 1").select("host", "h", "n").union(whole.select("host", "h", "n")).join(hosts, "host")
     notices = counts.filter((F.col("n") >= share * F.col("pages")) & (F.col("n") >= fewest)).groupBy("host").agg(F.collect_set("h").alias("notices"))
-    found = hosts.join(sizes, "host").join(notices, "host", "left")
-    out = scratch.table(found.select("host", F.when(F.col("opened"), F.col("groups")).alias("groups"), "notices"), "hosts")
+    found = hosts.join(sizes.select("host", "with_copies"), "host").join(notices, "host", "left")
+    out = scratch.table(found.select("host", F.when(F.col("opened"), F.col("with_copies")).alias("groups"), "notices"), "hosts")
     for table in (asked, named, sizes):
         table.unpersist()
     return out

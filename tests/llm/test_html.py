@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cloakline.llm import html as H
 
@@ -251,3 +252,18 @@ def test_the_array_finds_the_articles_of_pages_without_names(spark):
     assert precision > 0.99 and recall > 0.98 and same > 0.5
     precision, _, same = measured(least_tokens=1_000_000)  # without repeats the menus stay on every page
     assert precision < 0.95 and same == 0
+
+
+def test_copies_and_large_pages_of_one_host(spark):
+    """Copies of a page meet once a task, and groups of large pages have pages enough: texts stay those of the page, in a time like plain pages'."""
+    import time
+
+    page = "<html><body><nav>Home</nav><article><p>" + " ".join(f"word{k}" for k in range(300)) + ".</p></article></body></html>"
+    copies = spark.range(20_000).selectExpr("id as page_id", "'http://one.example/' || id as url").withColumn("html", F.lit(page))
+    began = time.time()
+    assert H.main_text(copies).groupBy("n_chars").count().count() == 1 and time.time() - began < 120
+    words = lambda k: " ".join(f"w{(k * 7919 + i * i) % 100_003}" for i in range(9000))
+    large = spark.createDataFrame([(k, f"http://two.example/{k}", f"<article><p>{words(k)}</p></article>") for k in range(80)], "page_id long, url string, html string")
+    began = time.time()
+    rows = H.main_text(large, group_chars=20_000).collect()
+    assert {r.page_id: r.text for r in rows} == {k: words(k) for k in range(80)} and time.time() - began < 120
