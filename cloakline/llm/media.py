@@ -273,8 +273,18 @@ def zip_ends(data: bytes) -> dict[int, int]:
     return out
 
 
+_nul: list = [b"", 0, -1]  # a payload, a place in it, and the next zero byte from there (its length: none)
+
+
+def next_nul(data: bytes, here: int) -> int:
+    """The next zero byte, or the end. The last answer is kept, so many starts before one zero byte look for it once."""
+    if _nul[0] is not data or not _nul[1] <= here <= _nul[2]:
+        found = data.find(b"\x00", here)
+        _nul[:] = [data, here, len(data) if found < 0 else found]
+    return _nul[2]
+
+
 def _gzip(data: bytes, at: int):
-    """Names and comments of at most 4096 bytes are read."""
     flags, here = data[at + 3], at + 10
     if flags & 0xE0:
         return None
@@ -282,7 +292,7 @@ def _gzip(data: bytes, at: int):
         here += 2 + struct.unpack_from("<H", data, here)[0]
     for flag in (8, 16):
         if flags & flag:
-            here = data.index(b"\x00", here, here + 4097) + 1
+            here = next_nul(data, here) + 1
     here += 2 if flags & 2 else 0
     stream, check, size, piece = zlib.decompressobj(-15), 0, 0, 256
     while not stream.eof:
@@ -303,11 +313,12 @@ TIFF_DATA = ((273, 279), (324, 325), (513, 514))
 
 
 def _tiff(data: bytes, at: int):
-    order, here, seen, end = "<" if data[at] == 0x49 else ">", u32(data, at + 4, "<" if data[at] == 0x49 else ">"), set(), at + 8
-    while here and here not in seen and len(seen) < 1000:  # directories are a chain
+    order, here, seen, end, room = "<" if data[at] == 0x49 else ">", u32(data, at + 4, "<" if data[at] == 0x49 else ">"), set(), at + 8, len(data) - at
+    while here and here not in seen:  # directories are a chain; those that lie in each other are none
         seen.add(here)
         n = struct.unpack_from(order + "H", data, at + here)[0]
-        if not n or here < 8 or at + here + 6 + 12 * n > len(data):
+        room -= 6 + 12 * n
+        if room < 0 or not n or here < 8 or at + here + 6 + 12 * n > len(data):
             return None
         end, held = max(end, at + here + 6 + 12 * n), {}
         for k in range(n):

@@ -9,19 +9,30 @@ from pyspark.sql import functions as F
 
 def bounded_sample(rows: DataFrame, label: str, most: int, most_chars: int = 16_000_000) -> DataFrame:
     """At most `most` rows of each label, and of whole texts of at most most_chars characters together: those with the
-    smallest hashes of doc_id, the same on every run. A text of more than a sixteenth of most_chars is never sampled.
+    smallest hashes of doc_id, the same on every run. Rows without an id go by the hash of their text; where ids repeat (a label has fewer than four
+    fifths as many of them as rows), all of the label's rows go by id and text. A text of more than a sixteenth of most_chars is never sampled.
 
     Labels are counted over all rows first; a threshold on the hash then leaves about 1.2 times the bound, and only
     those rows are ranked.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    found = rows.groupBy(label).agg(F.count("*").alias("n"), F.count("doc_id").alias("with_id"), F.approx_count_distinct("doc_id").alias("ids")).collect()
+    counts = {r[0]: r["n"] for r in found}
+    repeating = [r[0] for r in found if r["ids"] < 0.8 * r["with_id"]]
+
+    def hashed(salt: str):
+        by_text = F.xxhash64("doc_id", "text", F.lit(salt))
+        own = F.when(F.col("doc_id").isNull(), by_text)
+        for value in repeating:
+            own = own.when(F.col(label).eqNullSafe(F.lit(value)), by_text)
+        return own.otherwise(F.xxhash64("doc_id", F.lit(salt)))
+
+    spread = F.pmod(hashed("sample"), F.lit(1_000_000))
     keep = F.lit(False)
     for value, n in counts.items():
         keep = F.when(F.col(label) == F.lit(value), spread < int(min(1.0, 1.2 * most / n + 20 / n) * 1_000_000) + 1).otherwise(keep)
     order = Window.partitionBy(label).orderBy("_spread", "doc_id", "text")
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    rows = rows.withColumn("_spread", F.xxhash64("doc_id", F.lit("order"))).filter(keep & (size <= most_chars // 16))
+    rows = rows.withColumn("_spread", hashed("order")).filter(keep & (size <= most_chars // 16))
     rows = rows.withColumn("_rank", F.row_number().over(order)).withColumn("_chars", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.filter((F.col("_rank") <= most) & (F.col("_chars") <= most_chars)).drop("_spread", "_rank", "_chars")
 

@@ -140,3 +140,15 @@ def test_toxicity_edge_rows(spark, documents):
         assert {round(r.score, 6) for r in toxicity.score(documents, only).collect()} == {want}
     assert toxicity.score(documents.limit(0), model).count() == 0
     assert {round(r.score, 6) for r in toxicity.score(documents, toxicity.fit(labelled.limit(0), buckets=1 << 10)).collect()} == {0.0}
+
+
+def test_samples_of_rows_without_ids_or_with_one_id(spark):
+    """Each label is sampled near its bound whatever the ids are, the same rows each time."""
+    from cloakline.llm.sampling import bounded_sample
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text", "case when id % 4 = 0 then null else concat('l', id % 4) end as lang")
+    for ids in (F.col("doc_id"), F.lit(None).cast("long"), F.lit(7).cast("long"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))):
+        held = rows.withColumn("doc_id", ids).filter("lang is not null")
+        n = {r.lang: r["count"] for r in bounded_sample(held, "lang", 200).groupBy("lang").count().collect()}
+        assert set(n) == {"l1", "l2", "l3"} and all(170 <= x <= 200 for x in n.values())

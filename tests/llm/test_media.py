@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -149,3 +150,17 @@ def test_media_edge_rows(spark):
 def test_png_holds_its_samples(n):
     payload = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
     assert media.read_png(media.store_png(payload, 576)) == (576, n // 576, payload)
+
+
+def test_long_names_and_long_chains():
+    """A gzip file with a name of 5,000 bytes, a TIFF file of 1,500 directories, and many gzip starts before one zero byte."""
+    body = gzip.compress(b"x" * 1000)
+    named = body[:3] + b"\x08" + body[4:10] + b"n" * 5000 + b"\x00" + body[10:]
+    assert media._gzip(named, 0) == ("gzip", len(named))
+    size = 18
+    chain = b"".join(struct.pack("<HHHIHHI", 1, 256, 3, 1, 7, 0, 8 + size * (k + 1) if k < 1499 else 0) for k in range(1500))
+    tiff = b"II*\x00" + struct.pack("<I", 8) + chain
+    assert media._tiff(tiff, 0)[1] == len(tiff)
+    began = time.time()
+    data = (b"\x1f\x8b\x08\x08" + b"1" * 6) * 100_000
+    assert all(media._gzip(data, at) is None for at in range(0, len(data), 10)) and time.time() - began < 20
