@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import replacement
-from .operators.redaction import redact_findings, redact_values, searched
-from .operators.scan import scan_values, with_context, with_findings
+from .operators.redaction import redact_findings, redact_values, redacted_text, searched
+from .operators.scan import findings_of, scan_values, with_context, with_findings
+from .operators.structured import FINDING
 from .plans.documents import FIELDS, binary_values, document_values, redact_documents, scan_documents, values_of
 from .plans.options import PRESETS, THRESHOLDS, Options
 
@@ -36,7 +37,7 @@ def redact_text(values: DataFrame, column: str = "value", options: Options = Opt
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names for a session: table functions document_values(name, text) and office_values(name, content), scalar functions redacted(label, original) and pseudonym(label, original)."""
+    """SQL names for a session: table functions document_values(name, text) and office_values(name, content), scalar functions redacted(label, original), pseudonym(label, original), text_findings(text), an array, and redact_text(text), all SQL expressions."""
     shown = [(n, t) for n, _, t in FIELDS if n != "doc_id"]
     schema = ", ".join(f"{n} {t}" for n, t in shown)
 
@@ -57,6 +58,9 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("office_values", F.udtf(OfficeValues, returnType=schema))
     for name, mode in (("redacted", "redact"), ("pseudonym", "pseudo")):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(label STRING, original STRING) RETURNS STRING RETURN {replacement('label', 'original', mode)}")
+    found = findings_of("text")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_findings(text STRING) RETURNS ARRAY<{FINDING}> RETURN {found}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact_text(text STRING) RETURNS STRING RETURN {redacted_text('text', found)}")
 
 
 def findings_for_display(findings: DataFrame, text: str = "", badge_at: float = THRESHOLDS["high"]) -> DataFrame:

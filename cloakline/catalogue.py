@@ -635,6 +635,34 @@ def scan_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_values(texts(spark, sf_dir), PRESETS["balanced"]).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.max("milli").alias("conf_milli"))
 
 
+_ALL_FOUND = collection_sql(TEXTS_SQL, passes=1)
+
+
+@query(
+    "sql_redact_text",
+    f"""WITH f AS MATERIALIZED ({_ALL_FOUND}), g AS (SELECT * FROM f WHERE conf_milli >= {round(Options().threshold * 1000)}), {_ISLANDS},
+    p AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM c),
+    r AS (SELECT p.doc_id, string_agg(substr(t.value, p.before + 1, p.start - p.before) || '[REDACTED]', '' ORDER BY p.start) AS head, max(p.stop) AS last FROM p JOIN {TEXTS_SQL} t ON t.doc_id = p.doc_id GROUP BY p.doc_id)
+    SELECT t.doc_id, coalesce(r.head || substr(t.value, r.last + 1), t.value) AS redacted_text FROM {TEXTS_SQL} t LEFT JOIN r ON r.doc_id = t.doc_id""",
+)
+def sql_redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors and redaction by an SQL function alone."""
+    from .api import register
+
+    register(spark)
+    return spark.sql("SELECT doc_id, redact_text(value) AS redacted_text FROM {texts}", texts=texts(spark, sf_dir).select("doc_id", "value"))
+
+
+@query("sql_text_findings", f"SELECT conv_id, turn, label, count(*) AS n, max(f.stop) AS last_stop FROM (SELECT doc_id.c AS conv_id, doc_id.t AS turn, label, stop FROM ({collection_sql(_TURNS_SQL, passes=1)})) f GROUP BY ALL")
+def sql_text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each turn by itself, by an SQL function and SQL's own explode."""
+    from .api import register
+
+    register(spark)
+    turns = dealt(table(spark, sf_dir, "conversations"))
+    return spark.sql("SELECT conv_id, turn, f.label, count(*) AS n, max(f.stop) AS last_stop FROM (SELECT conv_id, turn, text_findings(text) AS found FROM {turns}) LATERAL VIEW OUTER explode(found) x AS f WHERE f IS NOT NULL GROUP BY conv_id, turn, f.label", turns=turns)
+
+
 # Word boxes
 
 

@@ -52,6 +52,12 @@ def redact_values(scanned: DataFrame, threshold: float = THRESHOLDS["high"], mod
     return rows.withColumn("output", F.expr(spliced("value", "_spans", mode))).withColumn("n_replaced", F.expr("size(_spans)")).drop("_spans")
 
 
+def redacted_text(text: str, findings: str, threshold: float = THRESHOLDS["high"], mode: str = "redact") -> str:
+    """SQL text: a text without those of its findings (SQL text too) that reach the threshold; null stays null."""
+    spans = collapse(f"filter({findings}, f -> f.confidence >= {threshold}D)", mode)
+    return f"if({text} is null, null, get(transform(array({spans}), _spans -> {spliced(text, '_spans', mode)}), 0))"
+
+
 def redact_findings(values: DataFrame, findings: DataFrame, keys: list[str], mode: str = "redact") -> DataFrame:
     """Values (keys, value) with the selected findings (keys, spans) replaced: findings are grouped by location, then spliced."""
     spans = findings.groupBy(*keys).agg(F.expr("array_sort(collect_list(named_struct('start', start, 'stop', stop, 'label', label, 'confidence', confidence, 'reasoning', reasoning)))").alias("_spans"))

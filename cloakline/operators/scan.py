@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -60,6 +61,29 @@ def with_findings(values: DataFrame, options: Options = Options(), outside_seeds
     return rows.withColumn("findings", F.expr(sorted_distinct("_found"))).drop("_segments", "_ibans", "_card_context", "_found", *(f"_ev_{label}" for label in structured.EVIDENCE))
 
 
+def findings_of(text: str, options: Options = Options()) -> str:
+    """SQL text: the findings array of a text that is a value of its own, as one expression, for SQL functions."""
+    none = "cast(null as string)"
+    here = Context(none, none, "cast(null as array<string>)", "'text'", "cast(null as array<string>)")
+    found = list(structured.detectors("_value", options).values())
+    if options.on("PERSON"):
+        found.append(identity.labelled("_value", here))
+    names = options.detect_names and (options.on("PERSON") or options.on("PLACE"))
+    if names:
+        found.append(identity.contact_lines("_value"))
+        if options.on("PERSON"):
+            found.append(identity.name_lines("_value", identity.NO_SEEDS))
+    # A text has no field: no label has evidence, and no hint.
+    body = re.sub(r"\b_ev_[A-Z_]+\b", "0D", f"concat({', '.join(found)})")
+    body = re.sub(r"\bkey_hint\b", none, body).replace("_card_context", "false")
+    done = sorted_distinct(f"concat(_found, {identity.spread('_value', '_found', '_seeds')})" if names else "_found")
+    let = lambda name, value, inner: f"get(transform(array({value}), {name} -> {inner}), 0)"
+    done = let("_seeds", identity.seeds_of("_found"), done) if names else done
+    ibans = structured.ibans("_value") if options.on("IBAN") else "cast(array() as array<struct<start:int,stop:int,original:string,ok:boolean>>)"
+    ibans = re.sub(r"\b_ev_[A-Z_]+\b", "0D", ibans)
+    return let("_value", f"coalesce({text}, '')", let("_ibans", ibans, let("_found", body, done)))
+
+
 def exploded(scanned: DataFrame) -> DataFrame:
     """A row for each finding, with the value's other columns and n, the finding's place in its value."""
     kept = [c for c in scanned.columns if c not in ("findings", "value")]

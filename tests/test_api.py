@@ -38,3 +38,13 @@ def test_sql_names(spark):
     one = spark.createDataFrame([("EMAIL", "ann@lee.example")], "label string, original string")
     for name, mode in (("redacted", "redact"), ("pseudonym", "pseudo")):
         assert one.selectExpr(f"{name}(label, original) as x").first().x == one.select(api.replacement_for("label", "original", mode).alias("x")).first().x
+
+
+def test_redact_text_in_sql(spark):
+    """The SQL function gives what the DataFrame form gives, nulls, empty texts and names included."""
+    api.register(spark)
+    texts = ["mail ann@lee.example or call +44 20 7946 0958", None, "", "Contact: Ann Lee\nAnn Lee wrote to Anne Lee", "key sk-abcdefgh12345678", "4111 1111 1111 1111, DE44 5001 0517 5407 3249 31"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    df.createOrReplaceTempView("own_texts")
+    got = {r.id: r.body for r in spark.sql("SELECT id, redact_text(body) AS body FROM own_texts").collect()}
+    assert got == {r.id: r.body for r in api.redact_text(df, "body").collect()} and got[1] is None and "[REDACTED]" in got[0]
