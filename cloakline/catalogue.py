@@ -12,7 +12,7 @@ from .expected import EXPECTED
 from .functions import text
 from .functions.evidence import Context, evidence, shape_labels
 from .functions.patterns import ALIASES, BLOCKED_TOKENS, CATEGORIES, CATEGORY_OF, COUNTRIES, GENERIC_TOKENS, NON_NAME_TOKENS, PRECISE_SHAPES, TOKEN_AFTER, TOKEN_BEFORE, URL_TOKEN, re2, sql
-from .operators import identity, profiles, redaction, scan, seeds, words
+from .operators import identity, intervals, profiles, redaction, scan, seeds, words
 from .operators.scan import exploded, scan_values, with_context, with_findings
 from .plans import documents as plan
 from .plans.options import PRESETS, Options
@@ -635,6 +635,19 @@ def scan_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_values(texts(spark, sf_dir), PRESETS["balanced"]).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.max("milli").alias("conf_milli"))
 
 
+@query(
+    "findings_in_lines",
+    WITH_SIMPLE + f"""l AS (SELECT doc_id, start, stop FROM {spans_sql(TEXTS_SQL, '[^' + chr(92) + 'n]+')})
+    SELECT f.doc_id, f.label, f.start, f.stop, l.start AS line_start, l.stop AS line_stop FROM f JOIN l ON l.doc_id = f.doc_id AND f.start < l.stop AND l.start < f.stop""",
+)
+def findings_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings beside the lines that they lie in, both as tables of spans."""
+    rows = texts(spark, sf_dir)
+    lines = rows.select("doc_id", F.posexplode_outer(F.expr(text.matches("value", sql(r"[^\n]+")))).alias("n", "m")).filter("n is not null").select("doc_id", "m.start", "m.stop")
+    pairs = intervals.overlapping(stored(simple(spark, sf_dir).select("doc_id", "label", "start", "stop")), lines, ["doc_id"], prefix="line_")
+    return pairs.select("doc_id", "label", "start", "stop", "line_start", "line_stop")
+
+
 _ALL_FOUND = collection_sql(TEXTS_SQL, passes=1)
 
 

@@ -11,7 +11,7 @@ import cloakline
 from cloakline import samples
 from cloakline.functions import patterns, text
 from cloakline.functions.patterns import java, quoted, sql
-from cloakline.operators import redaction, scan, seeds, words
+from cloakline.operators import intervals, redaction, scan, seeds, words
 from cloakline.operators.scan import with_findings
 from cloakline.plans.options import PRESETS, Options
 from cloakline.sources import parsers
@@ -250,3 +250,19 @@ def test_seed_index_is_the_nested_comparison(spark):
     held = spark.createDataFrame([(1, "PERSON", n, k) for k, n in enumerate(many)], "doc int, label string, name string, rank int").withColumn("words", F.expr(text.tokens("name")))
     began = time.time()
     assert seeds.spread(one, ["doc"], ["seq"], none, held).count() == 10_000 and time.time() - began < 90
+
+
+def test_interval_join_is_the_range_join(spark):
+    """Spans of all lengths, empty and null ones, one hot document; and a plan without a cartesian or nested-loop join."""
+    rng = random.Random(6)
+
+    def spans(n):
+        return [(rng.choice([1, 1, 1, 2, None]), k, s, s + rng.choice([0, 1, 5, 70, 300, 5000, 40_000])) for k in range(n) for s in [rng.randint(0, 50_000)]] + [(1, n, None, 5), (1, n + 1, 5, None)]
+
+    left, right = (spark.createDataFrame(spans(n), "doc int, k int, start int, stop int") for n in (150, 200))
+    pairs = intervals.overlapping(left, right, ["doc"])
+    got = sorted((r.k, r.r_k) for r in pairs.collect())
+    want = sorted((r.k, r.r_k) for r in left.alias("a").join(right.alias("b"), F.expr("a.doc = b.doc and a.start < b.stop and b.start < a.stop")).select("a.k", F.col("b.k").alias("r_k")).collect())
+    assert got == want and len(got) > 1000
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
