@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 import time
@@ -15,7 +16,7 @@ from cloakline.operators import intervals, redaction, scan, seeds, words
 from cloakline.operators.scan import with_findings
 from cloakline.plans.options import PRESETS, Options
 from cloakline.sources import parsers
-from cloakline.streaming import redact_stream, scan_stream
+from cloakline.streaming import redact_stream, scan_document_stream, scan_stream
 
 #: Worked out by hand from the published hash and generator constants.
 PSEUDONYMS = [
@@ -266,3 +267,31 @@ def test_interval_join_is_the_range_join(spark):
     assert got == want and len(got) > 1000
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_conversations_as_a_stream_of_turns(spark, tmp_path):
+    """Turns in single files, out of order and late within the watermark: each document's findings are the batch's, in one piece, and the state is emptied."""
+    turns = [(d, k, f"2024-01-01 10:{10 * d + k:02d}:00", v) for d, vs in enumerate((["Contact: Ann Lee", "Anne Lee called", "mail ann@lee.example"], ["so: Karl Berg, came", "Customer: Karl Berg"], ["nothing here"])) for k, v in enumerate(vs)]
+    turns.append((9, 0, "2024-01-01 23:00:00", "closes the others"))
+    turns.append((10, 0, "2024-01-02 23:00:00", "and that one"))
+    order = [1, 0, 4, 2, 3, 5, 6, 7]  # the second turn before the first, two documents mixed
+    for n, i in enumerate(order):
+        path = tmp_path / "in" / f"{n}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(json.dumps(dict(zip(("doc_id", "value_seq", "time", "value"), turns[i]))) + "\n")
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("doc_id long, value_seq long, time timestamp, value string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    out, batches = [], []
+
+    def sink(found, epoch):
+        rows = [(r.doc_id, r.value_seq, r.label, r.start, r.stop) for r in found.collect()]
+        out.extend(rows)
+        batches.append({r[0] for r in rows})
+
+    query = scan_document_stream(stream, sink, gap="30 minutes", lateness="10 minutes").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    batch = spark.createDataFrame([(d, k, v, "text") for d, k, _, v in turns if d < 10], "doc_id long, value_seq long, value string, kind string")
+    want = sorted((r.doc_id, r.value_seq, r.label, r.start, r.stop) for r in scan.scan_collection(batch).collect())
+    assert sorted(out) == want and {(0, 1, "PERSON"), (1, 0, "PERSON")} <= {r[:3] for r in out}
+    assert sum(0 in b for b in batches) == 1
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
