@@ -47,6 +47,6 @@ def with_profiles(values: DataFrame) -> DataFrame:
     hints = stored(hints)
     # One table's columns are a few hints for all of its rows: sent to the rows, if they are few, rather than the rows to them.
     few = hints.limit(BROADCAST_HINTS + 1).count() <= BROADCAST_HINTS
-    hints = hints.select(F.col("doc_id").alias("_doc"), F.col("group_key").alias("_group"), "_hints")
-    joined = keyed.join(F.broadcast(hints) if few else hints, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("group_key") == F.col("_group")), "left").drop("_doc", "_group")
+    hints = hints.select(F.col("doc_id").alias("_hint_doc"), F.col("group_key").alias("_hint_group"), "_hints")
+    joined = keyed.join(F.broadcast(hints) if few else hints, F.col("doc_id").eqNullSafe(F.col("_hint_doc")) & (F.col("group_key") == F.col("_hint_group")), "left").drop("_hint_doc", "_hint_group")
     return joined.withColumn("profile_hints", F.expr(f"array_union(coalesce(profile_hints, {none}), coalesce(_hints, {none}))")).drop("_hints", "group_key")

@@ -120,8 +120,8 @@ def scan_collection(values: DataFrame, options: Options = Options()) -> DataFram
         met = _by_document(asked, names, "pair").groupBy("_row").agg(F.collect_set(F.struct(F.lit("PERSON").alias("label"), F.col("words").alias("tokens"))).alias("_known"))
         rows = rows.join(met, "_row", "left").withColumn("_found", F.expr(f"concat(_found, {identity.name_lines('value', f'coalesce(_known, {identity.NO_SEEDS})')})")).drop("_known")
     # A value's own seeds come first; runs that none of them fits go to the seeds of the document.
-    seeded = known.select(F.col("doc_id").alias("_doc")).distinct().withColumn("_seeded", F.lit(True))
-    rows = rows.join(seeded, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc").withColumn("_seeds", F.expr(identity.seeds_of("_found")))
+    seeded = known.select(F.col("doc_id").alias("_seed_doc")).distinct().withColumn("_seeded", F.lit(True))
+    rows = rows.join(seeded, F.col("doc_id").eqNullSafe(F.col("_seed_doc")), "left").drop("_seed_doc").withColumn("_seeds", F.expr(identity.seeds_of("_found")))
     tried = identity.labelled_candidates("value", "_seeds")
     rows = stored(rows.withColumn("_tried", F.expr(f"if(_seeded or size(_seeds) > 0, {tried}, cast(array() as {identity.TRIED}))")).drop("_seeds"))
     left = rows.filter("_seeded").select("_row", "doc_id", F.explode(F.expr("filter(_tried, m -> m.label is null and size(m.tokens) > 0)")).alias("m"))
@@ -136,5 +136,5 @@ def scan_collection(values: DataFrame, options: Options = Options()) -> DataFram
 
 def _by_document(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
     """Rows beside another table's rows of their document (a null one is one) and of the same `also`."""
-    other = other.withColumnRenamed("doc_id", "_doc").withColumnRenamed(also, "_also")
-    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(also) == F.col("_also"))).drop("_doc", "_also")
+    other = other.withColumnRenamed("doc_id", "_seed_doc").withColumnRenamed(also, "_seed_also")
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_seed_doc")) & (F.col(also) == F.col("_seed_also"))).drop("_seed_doc", "_seed_also")
