@@ -33,7 +33,7 @@ def test_digests(spark, name):
 
 
 def test_registered():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert [int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")] == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "decontamination", "packing"]
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
