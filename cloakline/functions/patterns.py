@@ -130,7 +130,8 @@ CATEGORY_OF = {label: category for category, labels in CATEGORIES.items() for la
 #: Labels of which one value of a shape is enough to mark its column.
 PRECISE_SHAPES = ("EMAIL", "PHONE", "CREDIT_CARD", "IPV4", "IPV4_CIDR", "IPV6", "MAC_ADDRESS", "VIN", "STREET_ADDRESS")
 
-BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: In Java \w is one test; [A-Za-z0-9_] asks its ranges one after the other.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: White space as a Unicode-aware engine has it: JavaScript's \s and trim().
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
@@ -153,11 +154,39 @@ _RUN = r"[\p{Latin}\p{M}.'\x{2019}-]"
 LONG_RUN = rf"{_RUN}{{500}}"
 DEAD_HYPHEN = rf"(?:\G(?<={_RUN})|(?<!{_RUN})(?={_RUN}++(?![ \t]+[\p{{Latin}}\p{{M}}]{_RUN})))([\p{{Latin}}\p{{M}}.'\x{{2019}}]*+)-(?={_RUN})"
 LABELLED_MARKED = PATTERNS["LABELLED"].replace("_./'-]", r"_./'\x{1}-]").replace(r"\x{2019}-]+){1,3}", r"\x{2019}\x{1}-]+){1,3}")
+#: The end of a label, white space and a name: each match of a label and a name ends in one, or a hyphen in one's name ends its label; then up to
+#: four words behind it belong to the match. A label's characters reach back LABEL_REACH at most (with the one in front of it), behind white space.
+LABEL_END = "[:=-](?iu)" + LABELLED_MARKED.partition("[:=-]")[2].replace("(", "(?:", 1)
+_WORD = r"[\p{Latin}\p{M}][\p{Latin}\p{M}.'\x{2019}\x{1}-]+"
+WORDS_AFTER = rf"(?iu)^\s*+(?:{_WORD}(?:[ \t]+{_WORD}){{0,3}})?"
+LABEL_REACH = 42
+#: What stands for text that no label starts in (text.labelled): it is part of no label and of no name.
+FILLER = ","
+LABELLED_MARKED = LABELLED_MARKED.replace("(?iu)", f"(?iu)(?!{FILLER})", 1)
+#: White space as characters of an SQL literal.
+SPACE_CHARS = "".join(f"\\u{c:04X}" for c in (9, 10, 11, 12, 13, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+
+
+#: What a match begins with, tried before its word boundary: a boundary takes four looks around at each place of a text, nearly all of them in vain.
+LEADS = {
+    "IPV4_CIDR": r"\d", "IPV4": r"\d", "IPV6": r"[A-F0-9]{1,4}:", "SSN": r"\d", "US_TAX_ID": "9", "UUID": r"[0-9a-f]{8}-", "IBAN": r"[A-Z]{2}\d", "VAT_ID": r"[A-Z]{2}[A-Z0-9]{0,2}\d", "MAC_ADDRESS": r"[0-9A-Fa-f]{2}[:-]",
+    "SECRET": r"[\w-]{24}", "PHONE": r"[+(\d]", "VIN": r"[A-HJ-NPR-Z0-9]{17}", "PASSPORT": r"[A-Z0-9]{6}", "PASSPORT_NUMBER": r"[A-Z]\d", "MRZ_LINE": r"[A-Z0-9<]{12}", "DRIVERS_LICENSE": "[A-Z]", "CREDIT_CARD": r"\d", "BIC": "[A-Z]{6}", "DATE": r"\d",
+}
+
+
+def led(name: str) -> str:
+    """A pattern with its lead."""
+    p = JAVA.get(name, PATTERNS.get(name, name))
+    if name not in LEADS:
+        return p
+    flags = "(?i)" if p.startswith("(?i)") else ""
+    rest = p.removeprefix(flags)
+    return f"{flags}(?={LEADS[name]}){f'(?:{rest})' if '|' in rest else rest}"
 
 
 def java(name: str) -> str:
     """A pattern for Java: ASCII word boundaries, absolute ends, Unicode white space."""
-    p = JAVA.get(name, PATTERNS.get(name, name)).replace(r"\b", BOUNDARY).replace(r"\p{Latin}", r"\p{IsLatin}")
+    p = led(name).replace(r"\b", BOUNDARY).replace(r"\p{Latin}", r"\p{IsLatin}")
     p = p.replace(r"[^\s", f"[^{SPACE}").replace(r"[\d\s", rf"[\d{SPACE}").replace(r"[\s", f"[{SPACE}").replace(r"[-\s", f"[-{SPACE}").replace(r"\s", f"[{SPACE}]")
     return p[:-1] + r"\z" if p.endswith("$") else p
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from .patterns import DEAD_HYPHEN, JWT_LEAD, LABELLED_MARKED, LOCAL_SIGN, LONG_RUN, SPACE, quoted, sql
+from .patterns import DEAD_HYPHEN, FILLER, JWT_LEAD, LABEL_END, LABEL_REACH, LABELLED_MARKED, LOCAL_SIGN, LONG_RUN, SPACE, SPACE_CHARS, WORDS_AFTER, quoted, sql
 
 SPANS = "array<struct<start:int,stop:int,original:string>>"
 
@@ -49,20 +49,28 @@ def jwts(value: str) -> str:
 
 def labelled(value: str) -> str:
     """Spans of a label and a name. Where a run of name characters is long, hyphens in it that no name can follow are code 1 while matching: else
-    each place of the run would be tried before each of its hyphens."""
+    each place of the run would be tried before each of its hyphens.
+
+    The pattern tries some 80 characters at each place where a label might start, so text that no label's end follows within its reach is blank for it:
+    ends of labels, which are few, are found first, and what lies farther between them is filled up to its length."""
     code1, code2 = "chr(1)", "chr(2)"
-    marked = f"if({value} rlike {sql(LONG_RUN)}, regexp_replace(translate({value}, {code1}, {code2}), {sql(DEAD_HYPHEN)}, concat('$1', {code1})), translate({value}, {code1}, {code2}))"
-    return f"transform({matches('v', sql(LABELLED_MARKED))}, m -> named_struct('start', m.start, 'stop', m.stop, 'original', translate(m.original, {code1}, '-')))".join(("get(transform(array(" + marked + "), v -> ", "), 0)"))
+    marked = f"if({value} rlike '[^ ]{{500}}' and {value} rlike {sql(LONG_RUN)}, regexp_replace(translate({value}, {code1}, {code2}), {sql(DEAD_HYPHEN)}, concat('$1', {code1})), translate({value}, {code1}, {code2}))"
+    head = f"length(regexp_extract(g, {sql(WORDS_AFTER)}, 0))"
+    tail = f"{LABEL_REACH} + length(g) - length(trim(trailing '{SPACE_CHARS}' from g))"
+    filled = f"get(transform(array(struct({head} as h, {tail} as t)), k -> if(k.h + k.t < length(g), concat(left(g, k.h), repeat('{FILLER}', length(g) - k.h - k.t), right(g, k.t)), g)), 0)"
+    near = f"if(size(ends) = 0, '', array_join(zip_with(split(u, {sql(LABEL_END)}, -1), ends, (g, e) -> concat({filled}, coalesce(e, ''))), ''))"
+    near = f"get(transform(array({marked}), u -> get(transform(array(regexp_extract_all(u, {sql(LABEL_END)}, 0)), ends -> {near}), 0)), 0)"
+    return f"transform({matches('v', sql(LABELLED_MARKED))}, m -> named_struct('start', m.start, 'stop', m.stop, 'original', translate(m.original, {code1}, '-')))".join(("get(transform(array(" + near + "), v -> ", "), 0)"))
 
 
 def trim(value: str) -> str:
-    """Without white space (Unicode's too) at the ends. A run of it is met once, at its start."""
-    return f"regexp_replace({value}, {quoted(f'^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++' + chr(92) + 'z')}, '')"
+    """Without white space (Unicode's too) at the ends."""
+    return f"trim(both '{SPACE_CHARS}' from {value})"
 
 
 def lines(value: str) -> str:
     """Lines that aren't empty, without carriage returns at their ends, with true offsets."""
-    return f"transform({matches(value, quoted('[^' + chr(92) + 'n]+'))}, x -> named_struct('start', x.start, 'stop', x.stop, 'original', regexp_replace(x.original, {quoted(chr(92) + 'r' + chr(92) + 'z')}, '')))"
+    return f"transform({matches(value, quoted('[^' + chr(92) + 'n]+'))}, x -> named_struct('start', x.start, 'stop', x.stop, 'original', if(endswith(x.original, chr(13)), left(x.original, length(x.original) - 1), x.original)))"
 
 
 def spaces(value: str) -> str:

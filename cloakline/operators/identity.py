@@ -7,7 +7,7 @@ from ..functions.patterns import COUNTRIES, NON_NAME_TOKENS, SPACE, quoted, sql
 from ..functions.text import labelled as labelled_spans
 from ..functions.text import lines, matches, same_tokens, spaces, tokens, trim
 from ..plans.options import Options
-from .structured import NONE, each, finding, matched
+from .structured import NONE, each, finding, matched, when
 
 SEEDS = "array<struct<label:string,tokens:array<string>>>"
 TRIED = "array<struct<start:int,stop:int,original:string,tokens:array<string>,label:string>>"
@@ -54,7 +54,7 @@ def contact_lines(v: str) -> str:
       q -> named_struct('start', x.l.start + q.at - 1, 'stop', x.l.start + q.at - 1 + length(q.p), 'original', q.p, 'kind', {kinds}, 'n', x.n))))"""
     person = finding("PERSON", 33, "if(m.n = 2, 0.78D, 0.74D)", "'contact_line_name'")
     where = finding("PLACE", 33, "0.72D", "'contact_line_place'")
-    return f"transform(filter({spans}, m -> m.kind <> ''), m -> if(m.kind = 'PERSON', {person}, {where}))"
+    return when(f"instr({v}, ',') > 0 and instr({v}, '@') > 0", f"transform(filter({spans}, m -> m.kind <> ''), m -> if(m.kind = 'PERSON', {person}, {where}))")
 
 
 def name_like_lines(v: str) -> str:

@@ -295,3 +295,19 @@ def test_conversations_as_a_stream_of_turns(spark, tmp_path):
     assert sorted(out) == want and {(0, 1, "PERSON"), (1, 0, "PERSON")} <= {r[:3] for r in out}
     assert sum(0 in b for b in batches) == 1
     assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"]) >= 3
+
+
+def test_labels_are_sought_near_their_ends_only(spark):
+    """Same spans as the plain pattern on random texts; prose with few labels takes about as long as reading it a few times."""
+    rnd = random.Random(3)
+    bits = ["a", "Ann", "Lee", "-", "-", "'", ".", ":", "=", " ", " ", " ", "\t", "\n", ",", "é", "x", "Name", "customer", "_", "/", "9", "’", "漢", "Marie-Anne", "😀", "\r\n", " " * 45, "abcdefghij" * 5, "Ann-\nLee Smith"]
+    rows = [("".join(rnd.choice(bits) for _ in range(rnd.randint(1, rnd.choice([12, 60, 300])))),) for _ in range(3000)]
+    plain = text.matches("value", patterns.quoted(patterns.java("LABELLED")))
+    found = spark.createDataFrame(rows, "value string").selectExpr(f"{plain} as want", f"{text.labelled('value')} as got")
+    assert found.filter("size(want) > 0").count() > 300
+    assert found.filter("not want <=> got").count() == 0
+    prose = spark.range(1).selectExpr("concat(repeat('The quick brown fox jumps over the lazy dog near the river bank and a well-known hill. ', 40000), 'Customer: Ann Lee') as value")
+    prose.selectExpr(text.labelled("value")).collect()
+    began = time.monotonic()
+    assert [m.original for m in prose.selectExpr(text.labelled("value")).first()[0]][-1] == "Customer: Ann Lee"
+    assert time.monotonic() - began < 6  # 3.5 million characters; 80 tries a place took 15 s and more
