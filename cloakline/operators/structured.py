@@ -48,7 +48,7 @@ def matched(label: str) -> str:
 
 def ibans(v: str) -> str:
     """Spans shaped like an IBAN whose check holds, or in a field that hints at one."""
-    return when(f"{v} rlike '[A-Za-z]{{2}}[0-9]{{2}}'", f"filter(transform({matches(v, sql('IBAN'))}, m -> named_struct('start', m.start, 'stop', m.stop, 'original', m.original, 'ok', {iban_ok('m.original')})), m -> m.ok or {matched('IBAN')})").replace(NONE, "cast(array() as array<struct<start:int,stop:int,original:string,ok:boolean>>)")
+    return when(f"{v} rlike '[0-9]{{2}}(?<=[A-Za-z]{{2}}[0-9]{{2}})'", f"filter(transform({matches(v, sql('IBAN'))}, m -> named_struct('start', m.start, 'stop', m.stop, 'original', m.original, 'ok', {iban_ok('m.original')})), m -> m.ok or {matched('IBAN')})").replace(NONE, "cast(array() as array<struct<start:int,stop:int,original:string,ok:boolean>>)")
 
 
 NO_IBAN_AROUND = "not exists(_ibans, b -> m.start >= b.start and m.stop <= b.stop)"
@@ -115,12 +115,12 @@ def detectors(v: str, options: Options) -> dict[str, str]:
         "US_TAX_ID": plain("US_TAX_ID", 10, "0.9", f"{v} rlike '[0-9]{{2}}-[0-9]{{4}}'"),
         "IBAN": each("_ibans", finding("IBAN", 11, f"if(m.ok, {with_evidence(0.96, 'IBAN')}, {with_evidence(0.72, 'IBAN')})", "if(m.ok, 'iban_checksum', 'iban_shape+context')")),
         "VAT_ID": when(f"{v} rlike '[0-9]{{3}}'", each(matches(v, sql("VAT_ID")), finding("VAT_ID", 12, with_evidence(0.86, "VAT_ID", 0.96), "'vat_id_shape'"))),
-        "MAC_ADDRESS": plain("MAC_ADDRESS", 13, "0.92", f"{v} rlike '[0-9A-Fa-f]{{2}}[:-][0-9A-Fa-f]{{2}}[:-]'"),
+        "MAC_ADDRESS": plain("MAC_ADDRESS", 13, "0.92", f"{v} rlike '[:-][0-9A-Fa-f]{{2}}[:-]'"),
         "URL_SECRET": when(f"instr({v}, '://') > 0", each(url_tokens(v), finding("POTENTIAL_SECRET", 14, "0.88", "'api_url_token'"))),
-        "POTENTIAL_SECRET": when(f"{v} rlike '[A-Za-z0-9_-]{{24}}'", each(matches(v, sql("SECRET")), finding("POTENTIAL_SECRET", 15, with_evidence(0.66, "POTENTIAL_SECRET", 0.9), pattern))),
+        "POTENTIAL_SECRET": when(f"{v} rlike {quoted('[' + chr(92) + 'w-]{24}')}", each(matches(v, sql("SECRET")), finding("POTENTIAL_SECRET", 15, with_evidence(0.66, "POTENTIAL_SECRET", 0.9), pattern))),
         "STREET_ADDRESS": when(f"{v} rlike '[0-9]'", each(address_spans(v), finding("STREET_ADDRESS", 16, address_confidence("m.original", "_ev_STREET_ADDRESS"), "'address_shape'"))),
         "PHONE": when(
-            f"{v} rlike '[0-9]{{3}}'",
+            f"{v} rlike {quoted(f'[0-9]{{3}}[{SPACE}.-]?[0-9]{{3}}')}",
             each(
                 matches(v, sql("PHONE")),
                 finding("PHONE", 17, f"if({DIGITS} >= 10, {with_evidence(0.85, 'PHONE')}, {with_evidence(0.72, 'PHONE')})", f"if({matched('PHONE')}, 'phone_pattern+context', 'phone_pattern')"),
@@ -129,7 +129,7 @@ def detectors(v: str, options: Options) -> dict[str, str]:
         ),
         "VIN": when(f"{v} rlike '[A-Z0-9]{{17}}'", each(matches(v, sql("VIN")), finding("VIN", 18, "0.9", "'vin_pattern'"))),
         "PASSPORT": when(
-            f"{v} rlike '[A-Z0-9]{{6}}'",
+            f"{v} rlike '[0-9]' and {v} rlike '[A-Z0-9]{{6}}'",
             each(
                 matches(v, sql("PASSPORT")),
                 finding("PASSPORT", 19, f"if({matched('PASSPORT')}, 0.88D, 0.76D)", f"if({matched('PASSPORT')}, 'field_hint:passport', 'passport_pattern')"),
@@ -140,7 +140,7 @@ def detectors(v: str, options: Options) -> dict[str, str]:
         "MRZ_LINE": when(f"{v} rlike '[A-Z0-9<]{{12}}'", each(matches(v, sql("MRZ_LINE")), finding("PASSPORT", 21, "0.9", "'mrz_line_pattern'"))),
         "DRIVERS_LICENSE": when(matched("DRIVERS_LICENSE"), each(matches(v, sql("DRIVERS_LICENSE")), finding("DRIVERS_LICENSE", 22, "0.84", "'field_hint:drivers_license'"))),
         "CREDIT_CARD": when(
-            f"{v} rlike '[0-9]'",
+            f"{v} rlike '(?:[0-9][ -]*+){{13}}'",
             each(
                 matches(v, sql("CREDIT_CARD")),
                 finding("CREDIT_CARD", 23, f"case when {luhn_ok('m.original')} then 0.9D when _card_context then least(0.8D, 0.58D + 0.14D) else 0.58D end", f"case when {luhn_ok('m.original')} then 'luhn_pass' when _card_context then 'luhn_soft_match+context' else 'luhn_soft_match' end"),

@@ -323,3 +323,18 @@ def test_shapes_of_long_values_take_no_copies(spark):
     began = time.monotonic()
     assert long.selectExpr(shape_labels("value")).first()[0] == []
     assert time.monotonic() - began < 1.5
+
+
+def test_gates_let_every_match_through(spark):
+    """Each detector finds what its plain pattern finds on random texts."""
+    rnd = random.Random(9)
+    bits = ["1", "23", "456", "7890", "-", ".", " ", "(", ")", "+", "A", "BC", "DEUTDEFF", "de", "P<", "<", "x", "_", "\n", "AB12 3456 7890 1234 5678", "sixteenCharacter", "é", " ", "  ", "ff:", "0a-"]
+    rows = [("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))),) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "value string")
+    for name in patterns.LEADS:
+        plain = patterns.PATTERNS[name].replace(r"\b", patterns.BOUNDARY).replace(r"\s", f"[{patterns.SPACE}]").replace(f"[[{patterns.SPACE}]", f"[{patterns.SPACE}")
+        assert df.filter(f"not {text.matches('value', quoted(plain))} <=> {text.matches('value', sql(name))}").count() == 0, name
+    gates = {"PHONE": rf"[0-9]{{3}}[{patterns.SPACE}.-]?[0-9]{{3}}", "CREDIT_CARD": "(?:[0-9][ -]*+){13}", "IBAN": "[0-9]{2}(?<=[A-Za-z]{2}[0-9]{2})", "MAC_ADDRESS": "[:-][0-9A-Fa-f]{2}[:-]", "SECRET": r"[\w-]{24}"}
+    for name, gate in gates.items():
+        assert df.filter(f"value rlike {sql(name)} and not value rlike {quoted(gate)}").count() == 0, name
+        assert df.filter(f"value rlike {sql(name)}").count() > 0 or name == "MAC_ADDRESS", name
