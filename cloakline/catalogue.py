@@ -500,7 +500,8 @@ def residual_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("selection_trust", WITH_SIMPLE + """x AS (SELECT *, conf_milli >= 800 AS a, label IN ('EMAIL', 'PHONE') AS o FROM f)
   SELECT count(*) FILTER (WHERE a) AS recommended, count(*) FILTER (WHERE o) AS chosen, count(*) FILTER (WHERE NOT o) AS "left", count(*) FILTER (WHERE o AND NOT a) AS added, count(*) FILTER (WHERE NOT o AND a) AS removed FROM x""")
 def selection_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, keys = simple(spark, sf_dir), ["doc_id", "label", "start", "stop", "conf_milli"]
+    keys = ["doc_id", "label", "start", "stop", "conf_milli"]
+    rows = stored(simple(spark, sf_dir).select(*keys, "confidence"))  # findings are read twice, texts once
     return redaction.selection_trust(rows, rows.filter("label in ('EMAIL', 'PHONE')"), 0.8, keys)
 
 
@@ -513,7 +514,8 @@ def selection_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def selection_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection taken over by a scan whose spans moved by one, emails also where they were."""
-    f = simple(spark, sf_dir).select("doc_id", "label", "original", "start", "stop", F.concat_ws(":", "start", "stop").alias("finding_id"))
+    # Findings are read for each part of the old and the new selection, texts once.
+    f = stored(simple(spark, sf_dir).filter("label in ('EMAIL', 'IPV4', 'BIC')").select("doc_id", "label", "original", "start", "stop", F.concat_ws(":", "start", "stop").alias("finding_id")))
     uid = F.concat_ws(":", "doc_id", "label", "start", "stop")
     old = f.filter("label in ('EMAIL', 'IPV4')").withColumn("finding_id", uid)
     moved = f.filter("label in ('EMAIL', 'IPV4', 'BIC')").withColumn("start", F.col("start") + 1).withColumn("stop", F.col("stop") + 1).withColumn("finding_id", F.concat(F.lit("m"), uid))

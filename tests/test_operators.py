@@ -338,3 +338,9 @@ def test_gates_let_every_match_through(spark):
     for name, gate in gates.items():
         assert df.filter(f"value rlike {sql(name)} and not value rlike {quoted(gate)}").count() == 0, name
         assert df.filter(f"value rlike {sql(name)}").count() > 0 or name == "MAC_ADDRESS", name
+
+
+@pytest.mark.parametrize("name", ["selection_trust", "selection_restore"])
+def test_texts_are_scanned_once_for_a_selection(spark, name):
+    rows = cloakline.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in rows._jdf.queryExecution().toString()
