@@ -44,6 +44,8 @@ WORDS, PAIRS = 1, 2
 BITS, SPACE = 4, 10
 #: N-grams in a row of the shuffle.
 PACKED = 1 << 14
+#: Tokens of texts that are looked up together.
+TOGETHER = 1 << 16
 LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,10 +144,30 @@ def hashes_of(words: list[bytes], lexicon: Lexicon) -> np.ndarray:
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
-    """Hashes of a text's pairs: the end and its first token, and so on."""
+    """Hashes of a text's pairs: the end and its first token, and so on. Each text ends with the end, so texts in a row have the pairs that each has alone."""
     return chain(np.concatenate(([END], h[:-1])), h)
 
 
+def together(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Runs of texts, as first and last but one, of at most `most` tokens; one text at least."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > most:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def looked_up(texts: list[np.ndarray], levels_of) -> list[np.ndarray]:
+    """Levels of each text's n-grams, asked for many texts at once: a call costs more than the few hundred probes of a text."""
+    out = []
+    for x, y in together([len(h) for h in texts]):
+        out.extend(np.split(levels_of(np.concatenate(texts[x:y])), np.cumsum([len(h) for h in texts[x : y - 1]])))
+    return out
+
+
 def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
     """Shards of counted n-grams over all training texts: rows of kind, shard, the filter's words, and for words their hashes and counts.
 
@@ -154,11 +176,14 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
     small_batches(training.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, held, n = Lexicon(), {WORDS: [], PAIRS: []}, 0
+        lexicon, held, n = Lexicon(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for kind, parts_ in held.items():
-                keys = np.concatenate(parts_)
+            own_words = np.concatenate(held)
+            held.clear()
+            for kind in (WORDS, PAIRS):
+                with quiet():
+                    keys = own_words if kind == WORDS else pair_keys(own_words)
                 keys, counts = sum_pairs(keys, np.ones(len(keys), np.int64))
                 shard = (keys % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
@@ -172,16 +197,13 @@ def count_ngrams(training: DataFrame, shards: int, parts: int) -> DataFrame:
                         [pa.array([int(shard[x]) for x, _ in own], pa.int32()), pa.array([kind] * len(own), pa.int8()), pa.array([keys[x:y].tobytes() for x, y in own], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in own], pa.binary())],
                         names=["shard", "kind", "h", "n"],
                     )
-                parts_.clear()
 
         for b in batches_of(batches):
             if lexicon.full():
                 lexicon.reset()
             for text in as_bytes(b.column(0)):
                 h = hashes_of(words_of(text), lexicon)
-                held[WORDS].append(h)
-                with quiet():
-                    held[PAIRS].append(pair_keys(h))
+                held.append(h)
                 n += len(h)
                 if n > 1_500_000:
                     yield from out()
@@ -269,15 +291,21 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
     groups = {kind: groups_of(sizes[kind], group_bytes) for kind in (WORDS, PAIRS)}
     middle, floor_p = middles(), 0.5 / (total + 0.5 * (distinct + 1))
 
-    def pair_score(h: np.ndarray, levels: np.ndarray, filters) -> float:
-        """Sum of the log probabilities of the tokens whose pair a group holds."""
-        c = middle[np.maximum(levels, 0)]
-        with quiet():
-            pair = filters.levels(pair_keys(h)) if filters else np.zeros(len(h), np.int8)
-        before = np.concatenate((c[-1:], c[:-1]))
-        joint = np.minimum(middle[np.maximum(pair, 0)], np.minimum(before, c))
-        p = (joint + mu * np.maximum(c + 0.5, 0.5) / 0.5 * floor_p) / (before + mu)
-        return float(np.log10(p[pair >= 0]).sum())
+    def pair_scores(texts: list[np.ndarray], levels: list[np.ndarray], filters) -> list[float]:
+        """For each text, the sum of the log probabilities of the tokens whose pair a group holds."""
+        out = []
+        for x, y in together([len(h) for h in texts]):
+            h, c = np.concatenate(texts[x:y]), middle[np.maximum(np.concatenate(levels[x:y]), 0)]
+            with quiet():
+                pair = filters.levels(pair_keys(h)) if filters else np.zeros(len(h), np.int8)
+            before = np.concatenate((c[-1:], c[:-1]))  # the end's count stands at each text's end
+            joint = np.minimum(middle[np.maximum(pair, 0)], np.minimum(before, c))
+            p = (joint + mu * np.maximum(c + 0.5, 0.5) / 0.5 * floor_p) / (before + mu)
+            held = pair >= 0
+            ends = np.cumsum(np.concatenate(([0], np.add.reduceat(held, np.cumsum([0, *(len(t) for t in texts[x : y - 1])]), dtype=np.int64))))
+            logs = np.log10(p[held])
+            out.extend(float(logs[a:b].sum()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+        return out
 
     def first_pass(filters, pairs, fused: bool, last: bool) -> DataFrame:
         """Token counts, the head's part of the base, what is left for the join, and words' levels as far as this group knows them; if fused, the first group of pairs is scored at once."""
@@ -306,14 +334,14 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
                 new = h[known:]  # counts and levels of words met for the first time
                 known_counts[known : len(h)], known_levels[known : len(h)] = exact(head_keys, head_counts, new), levels_of(new)
                 known = len(h)
-                rows = []
-                for ids in cut:
-                    own, levels = np.append(h[ids], END), np.append(known_levels[ids], end_level)
+                rows, owns, all_levels = [], [np.append(h[ids], END) for ids in cut], [np.append(known_levels[ids], end_level) for ids in cut]
+                scores = pair_scores(owns, all_levels, pairs.value if pairs else None) if fused else [0.0] * len(cut)
+                for ids, own, levels, score in zip(cut, owns, all_levels, scores):
                     c = np.append(known_counts[ids], end_count)
                     left = own[c == 0] if split else np.zeros(0, np.uint64)
                     left, times = sum_pairs(left, np.ones(len(left), np.int64))
                     seen = c[c > 0]
-                    rows.append((len(c), len(seen), float(np.log10(seen + 0.5).sum()), left.view(np.int64), times, levels.tobytes(), pair_score(own, levels, pairs.value if pairs else None) if fused else 0.0))
+                    rows.append((len(c), len(seen), float(np.log10(seen + 0.5).sum()), left.view(np.int64), times, levels.tobytes(), score))
                 cols = list(zip(*rows))
                 arrow = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.float64()]
                 arrays = {"doc_id": b.column(0), "text": b.column(1)} | {n: pa.array(list(x), k) for n, x, k in zip(("n_tokens", "n_known", "base", "left", "times", "levels", "score"), cols, arrow)}
@@ -329,7 +357,8 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
             for b in batches_of(batches):
                 if lexicon.full():
                     lexicon.reset()
-                out = [np.maximum(np.frombuffer(old, np.int8), filters.value.levels(hashes_of(words_of(t), lexicon))).tobytes() for t, old in zip(as_bytes(b.column(1)), b.column(at).to_pylist())]
+                found = looked_up([hashes_of(words_of(t), lexicon) for t in as_bytes(b.column(1))], filters.value.levels)
+                out = [np.maximum(np.frombuffer(old, np.int8), new).tobytes() for new, old in zip(found, b.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.binary()), *b.columns[at + 1 :]], names=b.schema.names)
 
         return df.mapInArrow(run, df.schema)
@@ -344,9 +373,9 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
             for b in batches_of(batches):
                 if lexicon.full():
                     lexicon.reset()
-                out = []
-                for text, levels, score in zip(as_bytes(b.column(1)), b.column(held).to_pylist(), b.column(at).to_pylist()):
-                    out.append(score + pair_score(hashes_of(words_of(text), lexicon), np.frombuffer(levels, np.int8), filters.value if filters else None))
+                texts, levels = [hashes_of(words_of(t), lexicon) for t in as_bytes(b.column(1))], [np.frombuffer(x, np.int8) for x in b.column(held).to_pylist()]
+                more = pair_scores(texts, levels, filters.value if filters else None)
+                out = [score + added for score, added in zip(b.column(at).to_pylist(), more)]
                 arrays = {n: x for n, x in zip(b.schema.names, b.columns)} | {"score": pa.array(out, pa.float64())}
                 yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
 
@@ -369,15 +398,19 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon, now = Lexicon(), None
-            wanted: dict[int, list[np.ndarray]] = {WORDS: [], PAIRS: []}
+            wanted: list[np.ndarray] = []
 
             def out() -> Iterator[pa.RecordBatch]:
-                for kind, parts in wanted.items():
-                    rows = list(packed(np.concatenate(parts), shards)) if parts else []
+                if not wanted:
+                    return
+                h = np.concatenate(wanted)
+                wanted.clear()
+                for kind in (WORDS, PAIRS):
+                    with quiet():
+                        rows = list(packed(h if kind == WORDS else pair_keys(h), shards))
                     for k in range(0, len(rows), 64):
                         own = rows[k : k + 64]
                         yield pa.RecordBatch.from_arrays([pa.array([now] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int8()), pa.array([x for x, _ in own], pa.int32()), pa.array([h for _, h in own], pa.binary())], names=["chunk", "kind", "shard", "h"])
-                    parts.clear()
 
             for b in batches_of(batches):
                 if lexicon.full():
@@ -386,10 +419,7 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
                     if chunk != now:
                         yield from out()
                         now = chunk
-                    h = hashes_of(words_of(text), lexicon)
-                    wanted[WORDS].append(h)
-                    with quiet():
-                        wanted[PAIRS].append(pair_keys(h))
+                    wanted.append(hashes_of(words_of(text), lexicon))
             yield from out()
 
         def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
@@ -405,10 +435,9 @@ def score_texts(documents: DataFrame, training: DataFrame, *, mu: float = 300.0,
             for kind in (WORDS, PAIRS):
                 own = [(h, g) for k, h, g in zip(*(answers.column(c).to_pylist() for c in ("kind", "h", "given"))) if k == kind]
                 known[kind] = Answers(np.frombuffer(b"".join(h for h, _ in own), np.uint64), np.frombuffer(b"".join(g for _, g in own), np.int8))
-            lexicon, scores = Lexicon(), []
-            for text in as_bytes(texts.column("text").combine_chunks()):
-                h = hashes_of(words_of(text), lexicon)
-                scores.append(pair_score(h, known[WORDS].levels(h), known[PAIRS]))
+            lexicon = Lexicon()
+            own = [hashes_of(words_of(text), lexicon) for text in as_bytes(texts.column("text").combine_chunks())]
+            scores = pair_scores(own, looked_up(own, known[WORDS].levels), known[PAIRS])
             return pa.table([*(texts.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
 
         chunks = written(rows.mapInArrow(deal, StructType([*rows.schema.fields, StructField("chunk", LongType())])), "chunks")

@@ -29,6 +29,26 @@ def test_levels_are_floor_log2():
     assert lm.level_of(c).tolist() == [1, 2, 2, 3, 3, 4, 10, 11]
 
 
+def test_texts_are_looked_up_together():
+    """A call for each text made the probes take eight times as long."""
+    rng, asked = np.random.default_rng(2), []
+    texts = [np.append(rng.integers(0, 2**64, n, dtype=np.uint64), lm.END) for n in [*rng.integers(0, 40, 3000), 200_000, 0, 3]]
+
+    def levels_of(keys):
+        asked.append(len(keys))
+        return (keys % np.uint64(7)).astype(np.int8)
+
+    found = lm.looked_up(texts, levels_of)
+    assert all((x == (h % np.uint64(7)).astype(np.int8)).all() and len(x) == len(h) for x, h in zip(found, texts, strict=True))
+    assert len(asked) <= 4 and max(asked) == 200_001 and lm.looked_up([], levels_of) == []
+    with lm.quiet():
+        assert (lm.pair_keys(np.concatenate(texts)) == np.concatenate([lm.pair_keys(h) for h in texts])).all()
+    for most in (1, 10, 1000):
+        runs = list(lm.together([len(h) for h in texts], most))
+        assert [x for x, _ in runs] + [len(texts)] == [0] + [y for _, y in runs]
+        assert all(y == x + 1 or sum(len(h) for h in texts[x:y]) <= most for x, y in runs)
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [None]
 
