@@ -1,12 +1,16 @@
-"""Sets of word shingles: wide cells for SimHash fingerprints, and the exact check of links.
+"""Sets of word shingles: wide SimHash fingerprints with their grid cells, and the exact check of links.
 
-Two texts of Jaccard similarity 0.8 differ in about 10 of 64 fingerprint bits. Cells of segment groups reach two or three
-bits, since their choices grow as the groups over the radius. For a wide radius the cells come from bands instead: a key
-is a hash of `ROWS` minimal hashes of the text's shingle set, and a pair of similarity J shares one of `BANDS` keys with
-probability 1 - (1 - J^4)^16, 0.9998 at J = 0.8.
+Two texts of Jaccard similarity 0.8 differ in about 15 % of a fingerprint's bits, 10 of 64, which no grid on choices of
+segment groups reaches: its choices grow as the groups over the radius. So a set has a fingerprint of 1024 bits here. Its
+segments (of one bit, as the narrowest tell most) are dealt to 64 groups, twice, and the counts of each group's
+segments are a cell. Two fingerprints of 63 or fewer differing bits have a group in common in each dealing; those of 15 %
+agree in 4.7 of the 64 groups on the average, and hardly ever in none of the 128 (measured in a test). Sets of few shingles
+differ in more bits, so they are dealt ten times.
 
 Links are decided by the exact Jaccard similarity of the two shingle sets. Components of candidates meet in one task
 each; components of more than `most` texts are cut into chunks, and each pair of chunks is a task of its own.
+
+`minima` and `band_keys` (minimal hashes) are what these cells are compared with in tests; no query uses them.
 """
 
 from __future__ import annotations
@@ -19,12 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED, Lexicon, as_bytes, batches_of, chain, quiet, shingle_hashes, small_batches, words_of
+from .common import SEED, Lexicon, as_bytes, batches_of, chain, mix, quiet, shingle_hashes, small_batches, words_of
 
 BANDS, ROWS = 16, 4
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 FACTORS, OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
+#: 64-bit words of a wide fingerprint, those that a cell's row has, groups of its segments in a dealing, dealings, and those of sets of at most FEW shingles.
+WIDE, SHOWN, GROUPS, DEALINGS, MORE_DEALINGS, FEW = 16, 3, 64, 2, 10, 64
+TWISTS = np.random.default_rng(SEED + 1).integers(0, 2**64, WIDE, np.uint64)
+DEALT = np.stack([np.random.default_rng(SEED + 2 + k).permutation(64 * WIDE) for k in range(MORE_DEALINGS)])
+
 
 def shingle_set(text: bytes, lexicon: Lexicon, shingle: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
@@ -69,25 +78,69 @@ def text_print(own: np.ndarray) -> np.uint64:
     return np.packbits(ones * 2 > len(own), bitorder="little").view(np.uint64)[0]
 
 
+def wide_print(own: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in WIDE words: a bit is 1 if it is set in over half of them; at half, as in the shingle that comes first in an order of each word's own."""
+    ones, least, first = np.zeros(64 * WIDE, np.int64), np.full(WIDE, 2**64 - 1, np.uint64), np.zeros(WIDE, np.uint64)
+    for at in range(0, len(own), 4080):
+        with quiet():
+            h = mix(own[at : at + 4080, None] ^ TWISTS)
+            rank = h * FACTORS[0]
+        place = rank.argmin(0)
+        lowest, words = np.take_along_axis(rank, place[None], 0)[0], np.take_along_axis(h, place[None], 0)[0]
+        least, first = np.minimum(least, lowest), np.where(lowest <= least, words, first)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits stay within a byte
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    over = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
+    half = np.packbits(2 * ones == len(own), bitorder="little").view(np.uint64)
+    return over | (half & first)
+
+
+def wide_cells(prints: np.ndarray, dealings: int = DEALINGS) -> np.ndarray:
+    """Keys of the grid cells of each fingerprint, a key for each group of segments of each dealing: the group's number, then its segments' counts."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    counts = np.packbits(bits[:, DEALT[:dealings].ravel()].reshape(len(prints), dealings * GROUPS, -1), axis=2, bitorder="little")
+    return counts.view("<u2")[:, :, 0].astype(np.int64) | np.arange(dealings * GROUPS, dtype=np.int64) << 16
+
+
 def sketches(documents: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """node (hash of the set), keys (of its cells), fp (its SimHash) and the columns to keep of each document (first text, then the others)."""
+    """node (hash of the set), prints (its wide SimHash), size (its shingles) and the columns to keep of each document (first text, then the others)."""
     small_batches(documents.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
         for b in batches_of(batches):
-            nodes, keys, prints = [], [], []
+            nodes, prints, sizes = [], [], []
             for text in as_bytes(b.column(0)):
                 own = shingle_set(text, lexicon, shingle)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                keys.append(band_keys(minima(own)).view(np.int64))
-                prints.append(text_print(own))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(np.array(prints, np.uint64).view(np.int64)), *b.columns[1:]], names=["node", "keys", "fp", *keep])
+                prints.append(wide_print(own).view(np.int64))
+                sizes.append(len(own))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * WIDE, pa.int32()), pa.array(np.concatenate(prints)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64()), *b.columns[1:]], names=["node", "prints", "size", *keep])
 
     rows = documents.select(F.col("text").cast("string").alias("text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["node long, keys array<long>, fp long", *(f"`{c}` {kinds[c]}" for c in keep)]))
+    return rows.mapInArrow(run, ", ".join(["node long, prints array<long>, size long", *(f"`{c}` {kinds[c]}" for c in keep)]))
+
+
+def keyed(nodes: DataFrame) -> DataFrame:
+    """key, node, and the first SHOWN words of its fingerprint, for each cell of each node (node, prints, size)."""
+    names = ["key", "node", *(f"fp{k}" for k in range(SHOWN))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            all_nodes, few = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False) <= FEW
+            all_prints = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(all_nodes), WIDE)
+            for which, dealings in ((few, MORE_DEALINGS), (~few, DEALINGS)):
+                own, prints, n = all_nodes[which], all_prints[which], dealings * GROUPS
+                step = 65_536 // n
+                for at in range(0, len(own), step):
+                    part = prints[at : at + step]
+                    cols = (wide_cells(part, dealings).ravel(), np.repeat(own[at : at + step], n), *(np.repeat(part[:, k], n) for k in range(SHOWN)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+
+    return nodes.select("node", "prints", "size").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def reached(n: int, linked) -> list[tuple[int, int]]:

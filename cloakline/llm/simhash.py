@@ -305,54 +305,99 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2,
     return docs.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("group"), *keep)
 
 
-def near_pairs(keyed: DataFrame, radius: int, width: int, cell_rows: int) -> DataFrame:
-    """Candidate links a, b between nodes of a cell (key, node, fp): the Manhattan bound of the bit counts, then the exact distance. What a cell holds beyond cell_rows is linked to its first node, for the exact check to decide."""
+def near_pairs(keyed: DataFrame, radius: int, width: int, cell_rows: int, small: int = 32) -> DataFrame:
+    """Candidate links a, b between nodes of a cell (key, node, words of a fingerprint): the Manhattan bound of the bit counts,
+    then the exact distance. All nodes of a cell of cell_rows or more are linked to its first, for the exact check to decide.
+
+    Cells of at most `small` rows are compared many at once, a row with the next one, the one after that, and so on.
+    """
+
+    def near(x: np.ndarray, y: np.ndarray, fps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which rows x are near to the rows y of the same places, or to one row y."""
+        out = np.abs(counts[x] - counts[y]).sum(-1, dtype=np.int16) <= radius
+        out[out] = np.bitwise_count(fps[x[out]] ^ (fps[y[out]] if np.ndim(y) else fps[y])).sum(1) <= radius
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, first = [], [], 0
-        for _, again, parts in bands.groups_of(batches, cell_rows):
-            nodes = np.concatenate([p[0].to_numpy(zero_copy_only=False) for p in parts])
-            if again:
-                a += [first] * len(nodes)
-                b += nodes.tolist()
-            elif len(nodes) > 1:
-                first = int(nodes[0])
-                fps = np.concatenate([p[1].to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
-                counts = bit_counts(fps, width).astype(np.int16)
-
-                def near(one: int, many: np.ndarray) -> np.ndarray:
-                    many = many[np.abs(counts[many] - counts[one]).sum(1) <= radius]
-                    return many[np.bitwise_count(fps[many] ^ fps[one]) <= radius]
-
-                for x, y in bands.reached(len(nodes), near):
-                    a.append(int(nodes[x]))
-                    b.append(int(nodes[y]))
-            else:
-                first = int(nodes[0])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held, size, going_on = [], 0, None  # going_on: key and first node of a cell of which a piece was compared
+
+        def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Links of whole cells; the first and last may be pieces of one."""
+            nonlocal going_on
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            if going_on and keys[0] == going_on[0]:
+                yield np.full(sizes[0], going_on[1], np.int64), nodes[: sizes[0]]
+                starts, sizes = starts[1:], sizes[1:]
+            large = (sizes > small) | (sizes >= cell_rows)
+            wanted = np.repeat((sizes > 1) & ~large, sizes)
+            at = np.flatnonzero(np.concatenate((np.zeros(len(keys) - len(wanted), bool), wanted)))
+            own = fps[at]
+            counts = bit_counts(own.reshape(-1), width).reshape(len(own), 64 * own.shape[1] // width).astype(np.int8)
+            for step in range(1, small):
+                x = np.flatnonzero(keys[at[step:]] == keys[at[:-step]])
+                if not len(x):
+                    break
+                for part in np.array_split(x, -(-len(x) // 20_000)):
+                    part = part[near(part, part + step, own, counts)]
+                    yield nodes[at[part]], nodes[at[part + step]]
+            for start, n in zip(starts[large].tolist(), sizes[large].tolist()):
+                if n >= cell_rows:
+                    yield np.full(n - 1, nodes[start], np.int64), nodes[start + 1 : start + n]
+                    continue
+                own = fps[start : start + n]
+                counts = bit_counts(own.reshape(-1), width).reshape(len(own), 64 * own.shape[1] // width).astype(np.int8)
+                found = bands.reached(n, lambda one, many: many[near(many, one, own, counts)])
+                if found:
+                    x, y = np.array(found).T
+                    yield nodes[start + x], nodes[start + y]
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, going_on
+            keys, nodes, *words = (np.concatenate(x) for x in zip(*held))
+            fps = np.stack(words, 1).view(np.uint64)
+            # The last cell may go on in the next batch.
+            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+            whole = len(keys) - cut >= cell_rows
+            end = len(keys) if whole else cut
+            if end:
+                found = list(links(keys[:end], nodes[:end], fps[:end]))
+                if whole and not (going_on and going_on[0] == keys[-1]):
+                    going_on = (keys[-1], int(nodes[cut]))
+                if found:
+                    x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
+                    for at in range(0, len(x), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]), pa.array(y[at : at + 50_000])], names=["a", "b"])
+            held = [(keys[end:], nodes[end:], *(w[end:] for w in words))] if end < len(keys) else []
+            size = 0
+
+        for batch in batches_of(batches):
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            size += batch.num_rows
+            if size >= 50_000:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(documents: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 22, width: int = 2, cell_rows: int = 100_000, chunk: int = 20_000) -> DataFrame:
+def one_of_each(documents: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 64, width: int = 2, cell_rows: int = 100_000, chunk: int = 20_000) -> DataFrame:
     """One document of each group of near duplicates, with its columns: texts whose sets of five-word shingles have a
     Jaccard similarity of `least` or more are linked. The document with the smallest doc_id stays (null last), of equal
     ids the one with the smallest hash of its row; rows that are equal in every column are one document.
 
-    Cells come from bands of minimal hashes (see bands.py); in a cell the fingerprints' bit counts bound the distance,
-    then the fingerprints decide at `radius`, and of the candidates left the shingle sets decide.
+    Cells are groups of segments of a wide fingerprint of the set (see bands.py); in a cell the bit counts of its first 192
+    bits bound the distance, then these bits decide at `radius`, and of the candidates left the shingle sets decide.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_own"), row_hashes(documents).alias("_row"), "doc_id", F.col("text").cast("string").alias("text")).select("*", "_row.a", "_row.b")
     place = F.struct(F.col("doc_id").isNull().alias("empty"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row"))
     found = scratch.table(bands.sketches(rows.select("text", place.alias("place")), shingle, ("place",)), "sketches")
     # Equal sets are one node.
-    nodes = scratch.table(found.groupBy("node").agg(F.min("place").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
-    links = scratch.table(near_pairs(nodes.select(F.explode("keys").alias("key"), "node", "fp"), radius, width, cell_rows), "links")
+    nodes = scratch.table(found.groupBy("node").agg(F.min("place").alias("first"), F.first("prints").alias("prints"), F.first("size").alias("size")), "nodes")
+    # A set of n shingles has a similarity of n / (n + 1) at most to another one.
+    links = scratch.table(near_pairs(bands.keyed(nodes.filter(F.col("size") * (1 - least) >= least - 1e-6)), radius, width, cell_rows), "links")
     alike = components(scratch, links, "candidates")
     # A component's smallest node is its root and has no row of its own.
     alike = scratch.table(alike.union(alike.select("root", "root")).distinct().join(nodes.select("node", "first.row"), "node"), "alike")

@@ -95,3 +95,62 @@ def test_links_connect_what_pairs_connect():
             assert bands.jaccard(sets[x], sets[y]) >= 0.8
             root[x] = root[y] = min(root[x], root[y])
     assert set(root) == {0}
+
+
+def test_near_fingerprints_share_a_cell_of_the_grid():
+    rng = np.random.default_rng(4)
+    for dealings in (bands.DEALINGS, bands.MORE_DEALINGS):
+        for n in (0, 1, 30, bands.GROUPS - 1):
+            a = rng.integers(0, 2**64, bands.WIDE, np.uint64)
+            bits = np.unpackbits(a.view(np.uint8), bitorder="little")
+            bits[rng.choice(64 * bands.WIDE, n, replace=False)] ^= 1
+            x, y = bands.wide_cells(np.stack((a, np.packbits(bits, bitorder="little").view(np.uint64))), dealings)
+            assert len(x) == dealings * bands.GROUPS and (x == y).reshape(dealings, -1).any(1).all()
+
+
+def test_grid_reaches_pairs_at_the_least_similarity():
+    rng, lexicon = random.Random(2), Lexicon()
+    for low, high, pairs in ((8, 70, 500), (100, 800, 500)):
+        met = total = 0
+        while total < pairs:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(low, high))]
+            other = edited(rng, words, max(1, len(words) // 48)) if total % 2 else words[: len(words) - rng.randrange(1, max(2, len(words) // 6))]
+            a, b = (bands.shingle_set(" ".join(w).encode(), lexicon) for w in (words, other))
+            if 0.8 <= bands.jaccard(a, b) < 0.85:
+                total += 1
+                x, y = bands.wide_print(a), bands.wide_print(b)
+                cells = bands.wide_cells(np.stack((x, y)), bands.MORE_DEALINGS if max(len(a), len(b)) <= bands.FEW else bands.DEALINGS)
+                met += bool((cells[0] == cells[1]).any()) and int(np.bitwise_count((x ^ y)[: bands.SHOWN]).sum()) <= 64
+        assert met >= 0.995 * pairs
+
+
+def test_cells_of_any_size_give_the_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows, node = [], 0
+    for key, n in enumerate([1, 2, 5, 40, 1, 90, 3]):
+        base = rng.integers(0, 2**64, (3, bands.SHOWN), np.uint64)
+        for k in range(n):
+            own = base[k % 3].copy()
+            for bit in rng.choice(64 * bands.SHOWN, 20, replace=False).tolist():
+                own[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            rows.append((key, node, *own.view(np.int64).tolist()))
+            node += 1
+    want = {(r[1] - k, r[1]) for i, r in enumerate(rows) for k in range(1, i + 1) if rows[i - k][0] == r[0] and k % 3 == 0}
+    df = spark.createDataFrame(rows, "key long, node long, fp0 long, fp1 long, fp2 long")
+    for options in ({"small": 32}, {"small": 2}, {"small": 100}, {"small": 2, "cell_rows": 20}):
+        got = {(min(r), max(r)) for r in simhash.near_pairs(df, 64, 2, **({"cell_rows": 1000} | options)).collect()}
+        root = list(range(node))
+        for _ in range(8):
+            for a, b in got:
+                root[a] = root[b] = min(root[a], root[b])
+        assert all(root[a] == root[b] for a, b in want), options
+        assert "cell_rows" in options or got <= want, options
+
+
+def test_stage_takes_its_candidates_from_the_grid(spark, monkeypatch):
+    for name in ("minima", "band_keys"):
+        monkeypatch.delattr(bands, name)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words), " ".join(edited(random.Random(7), words, 3)), "other words stand here all alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {0, 2}
